@@ -8,6 +8,7 @@ from ..common import scratch_path, write_out
 from ..operators.encode import encode_hashed, tokens
 from ..operators.labelling import label_binary
 from ..operators.sampling import adjust_contamination, partial_labels, stratified_split
+from ..sources.corpora import read_table
 from ..sources.results import RESULT_SCHEMA
 
 SHARE = 0.5  # ten even classes: a smaller share would leave almost no anomalies
@@ -41,23 +42,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, f"{sf}/documents.parquet")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return raw_documents(spark, sf).withColumnRenamed("doc_id", "row_id")
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return (table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return (raw_documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
             .withColumnRenamed("doc_id", "row_id"))
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(row_id, embedding, y) of the labelled documents, y = toxic."""
-    return encode_hashed(labelled_documents(spark, sf)).select("row_id", "embedding", F.col("toxic").alias("y"))
+    """(row_id, embedding, y) of the labelled documents, y = toxic; encoded once, then read."""
+    encoded = encode_hashed(labelled_documents(spark, sf))
+    return write_out(encoded.select("row_id", "embedding", F.col("toxic").alias("y")), "vectors")
 
 
 def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents dressed as wiki pages: row_id, title, ns, text."""
-    return table(spark, sf, "documents").select(
+    return raw_documents(spark, sf).select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("title"), F.expr(WIKI_NS).alias("ns"),
         F.expr(WIKI_TEXT).alias("text"))
 
@@ -91,20 +97,21 @@ def train(spark: SparkSession, sf: str) -> DataFrame:
     return split(spark, sf).filter(F.col("split") == "train")
 
 
-def semi(spark: SparkSession, sf: str) -> DataFrame:
-    """Written train and test rows with y and y_semi (LEVEL of the train rows revealed)."""
-    data = write_out(split(spark, sf), "split")
+def revealed(spark: SparkSession, sf: str) -> DataFrame:
+    """Train and test rows with y and y_semi (LEVEL of the train rows revealed)."""
+    data = split(spark, sf)
     known = partial_labels(data.filter(F.col("split") == "train"), contamination=LEVEL)
-    test = data.filter(F.col("split") == "test").withColumn("y_semi", F.lit(0))
-    return write_out(known.unionByName(test), "semi")
+    return known.unionByName(data.filter(F.col("split") == "test").withColumn("y_semi", F.lit(0)))
+
+
+def semi(spark: SparkSession, sf: str) -> DataFrame:
+    return write_out(revealed(spark, sf), "semi")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """A closed-form score with many ties over the split vectors."""
-    known = partial_labels(train(spark, sf), contamination=LEVEL)
-    test = split(spark, sf).filter(F.col("split") == "test").withColumn("y_semi", F.lit(0))
     first = F.col("embedding")[0].cast("double")
-    return (known.unionByName(test).withColumn("score", F.floor(first * 10) / F.lit(10.0))
+    return (revealed(spark, sf).withColumn("score", F.floor(first * 10) / F.lit(10.0))
             .select("row_id", "split", "y", "y_semi", "score"))
 
 
@@ -118,7 +125,7 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def long_vectors(df: DataFrame, column: str = "embedding", digits: int = 6) -> DataFrame:
     """(row_id, dim, value): vectors as rows, for comparison."""
-    return (df.select("row_id", F.posexplode(column).alias("dim", "value"))
+    return (df.select("row_id", F.posexplode_outer(column).alias("dim", "value"))
             .withColumn("value", F.round(F.col("value").cast("double"), digits)))
 
 

@@ -183,8 +183,7 @@ def strip_markup(spark, sf):
 
 @query
 def drop_empty(spark, sf):
-    rows = src.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"),
-                                                    F.expr(src.MAYBE_EMPTY).alias("text"))
+    rows = src.raw_documents(spark, sf).select(F.col("doc_id").alias("row_id"), F.expr(src.MAYBE_EMPTY).alias("text"))
     return rows.filter(tx.not_empty("text"))
 
 

@@ -38,12 +38,21 @@ def without(text: str | Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
+def computed_once(value: Column) -> Column:
+    """`value` behind a one-row generator: a filter on it does not make Catalyst compute it a second time."""
+    return F.explode_outer(F.array(value))
+
+
 def main_category(found: Column) -> Column:
     """The first name of the priority list that occurs in any category; NULL if none does."""
-    def occurs(name: str) -> Column:
-        return F.exists(found, lambda c: F.lower(c).contains(name.lower()))
+    def first_of(cats: Column) -> Column:
+        def occurs(name: str) -> Column:
+            return F.exists(cats, lambda c: F.lower(c).contains(name.lower()))
+
+        return F.coalesce(*[F.when(occurs(p), F.lit(p)) for p in PRIORITY])
 
-    return F.coalesce(*[F.when(occurs(p), F.lit(p)) for p in PRIORITY])
+    # The lambda binds `found`, so that the pattern is matched once and not per name.
+    return F.get(F.transform(F.array(found), first_of), F.lit(0))
 
 
 def dates(text: str | Column) -> Column:
@@ -69,11 +78,11 @@ def not_empty(text: str) -> Column:
 
 def wiki_articles(pages: DataFrame, *keep: str) -> DataFrame:
     """Pages (ns, text) to articles (text, label): cheap row filters first, the markup chain last."""
-    found = categories("text")
-    articles = (pages.filter((F.col("ns") == 0) & ~is_redirect("text"))
-                .withColumn("label", main_category(found)).filter(F.col("label").isNotNull()))
     body = reduce(without, (CATEGORY, SOURCE, DATE), F.col("text"))
-    return (articles.select(*keep, strip_markup(body).alias("text"), "label").filter(not_empty("text")))
+    return (pages.filter((F.col("ns") == 0) & ~is_redirect("text"))
+            .select(*keep, "text", computed_once(main_category(categories("text"))).alias("label"))
+            .filter(F.col("label").isNotNull())
+            .select(*keep, computed_once(strip_markup(body)).alias("text"), "label").filter(not_empty("text")))
 
 
 def text_and_label(df: DataFrame, *keys: str) -> tuple[str, str]:

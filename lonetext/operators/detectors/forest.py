@@ -75,8 +75,8 @@ class IsolationForest(Detector):
             kept = F.filter(trees, lambda t: F.pmod(F.xxhash64("row_id", t, seed), F.lit(span)) < int(share * span))
         else:
             kept = trees
-        candidates = train.select("row_id", "embedding", F.explode(kept).alias("tree")).withColumn(
-            "place", F.xxhash64("row_id", "tree", seed))
+        candidates = train.select("row_id", "embedding", F.explode_outer(kept).alias("tree")).filter(
+            F.col("tree").isNotNull()).withColumn("place", F.xxhash64("row_id", "tree", seed))
         # Samples are small but growing a tree is work: keep trees in separate tasks.
         tasks = min(self.n_trees, train.sparkSession.sparkContext.defaultParallelism * 2)
         candidates = candidates.repartition(tasks, "tree")

@@ -18,7 +18,8 @@ class HBOS(Detector):
         self.n_bins, self.alpha, self.tol = n_bins, alpha, tol
 
     def fit(self, train: DataFrame) -> "HBOS":
-        values = train.select(F.posexplode(as_doubles("embedding")).alias("dim", "x"))
+        # The outer form keeps Catalyst from testing for empty vectors first, which would compute them twice.
+        values = train.select(F.posexplode_outer(as_doubles("embedding")).alias("dim", "x"))
         ranges = (values.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
                   .orderBy("dim").collect())
         if not ranges:
@@ -31,7 +32,7 @@ class HBOS(Detector):
         n = ranges[0].n
 
         bins = F.transform(self._places(), lambda p: F.least(F.floor(p), F.lit(self.n_bins - 1)).cast("int"))
-        counts = (with_model(train, lo=self.lo, width=self.width).select(F.posexplode(bins).alias("dim", "bin")).groupBy("dim", "bin")
+        counts = (with_model(train, lo=self.lo, width=self.width).select(F.posexplode_outer(bins).alias("dim", "bin")).groupBy("dim", "bin")
                   .agg(F.count("*").alias("n")).collect())
         density = np.zeros((len(lo), self.n_bins))
         for c in counts:

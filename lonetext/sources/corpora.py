@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import as_corpus
+from ..common import spread_small
+from ..functions.text import as_corpus, wiki_articles
 
 # Split names, and column names of the two corpora that need renaming.
 SPLITS = ("train", "test", "validation")
@@ -17,6 +18,11 @@ SENTIMENT_RENAME = {"tweet_text": "text", "sentiment": "label"}
 PAGE_SCHEMA = "title string, ns int, id long, revision struct<text: string>"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet corpus, dealt out to all cores when it is small."""
+    return spread_small(spark.read.parquet(path))
+
+
 def read_splits(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",
                 splits: Sequence[str] = SPLITS, rename: Mapping[str, str] | None = None,
                 schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -49,8 +55,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, source: str, location, **kwargs) -> DataFrame:
     """Dispatch by kind of source: 'splits', 'delimited', 'pages' (as articles) or 'table'."""
-    from ..functions.text import wiki_articles
-
     if source == "splits":
         return read_splits(spark, location, **kwargs)
     if source == "delimited":
@@ -58,6 +62,6 @@ def read_corpus(spark: SparkSession, source: str, location, **kwargs) -> DataFra
     if source == "pages":
         return wiki_articles(read_pages(spark, location), "row_id")
     if source == "table":
-        df = spark.read.parquet(location).withColumnsRenamed({"body": "text", "main_category": "label"})
+        df = read_table(spark, location).withColumnsRenamed({"body": "text", "main_category": "label"})
         return as_corpus(df, *(["row_id"] if "row_id" in df.columns else []))
     raise ValueError(f"unknown source: {source}")
