@@ -88,20 +88,22 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, n_rows: int | None = None,
-                hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Inner join of `rows` to a lookup with one row per key, where one key may hold much of `rows`.
 
     The `hot_keys` most frequent keys (of at least `hot_rows` rows) are matched by broadcast, at most
     `hot_keys` lookup rows; every other key holds less than 1/hot_keys of the rows and is shuffled.
+    `counts` (key, w) saves counting the rows per key, `n_rows` under `hot_rows` saves looking at all.
     """
     if n_rows is not None and n_rows < hot_rows:
         return rows.join(lookup, key)
-    frequent = (rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= hot_rows)
-                .orderBy(F.desc("__n"), key).limit(hot_keys).select(key))
-    hot = frequent.collect()
-    if not hot:
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("w"))
+    hot = counts.filter(F.col("w") >= hot_rows).orderBy(F.desc("w"), key).limit(hot_keys).select(key)
+    found = hot.collect()
+    if not found:
         return rows.join(lookup, key)
-    keys = local_table(rows.sparkSession, hot, frequent.schema)
+    keys = local_table(rows.sparkSession, found, hot.schema)
     hot_lookup = lookup.join(F.broadcast(keys), key, "left_semi")
     on_hot = rows.join(F.broadcast(hot_lookup), key)
     on_rest = rows.join(F.broadcast(keys), key, "left_anti").join(lookup, key)

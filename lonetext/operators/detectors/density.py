@@ -21,9 +21,8 @@ class KDE(Detector):
         return self
 
     def score(self, rows: DataFrame) -> DataFrame:
-        queries = write_out(distinct_vectors(rows).select(F.col("loc").alias("qid"), "vec"), "queries")
-        sums = self.index.log_kernel_sum(queries, self.bandwidth)
+        queries = write_out(distinct_vectors(rows).withColumnRenamed("loc", "qid"), "queries")
+        sums = self.index.log_kernel_sum(queries.select("qid", "vec"), self.bandwidth)
         dim = self.index.pivots.shape[1]
         norm = math.log(self.index.rows) + dim * math.log(self.bandwidth * math.sqrt(2 * math.pi))
-        scored = queries.join(sums, "qid").select("vec", (F.lit(norm) - F.col("log_sum")).alias("score"))
-        return attach(rows, scored)
+        return attach(rows, queries, sums.select("qid", (F.lit(norm) - F.col("log_sum")).alias("score")))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ...common import as_doubles, matrix, write_out
+from ...common import matrix, write_out
 
 # Per-task sums that may reach the driver at once; more are first added up on executors.
 MAX_PARTIALS = 64
@@ -49,8 +49,8 @@ def sum_over_rows(table: DataFrame, per_batch: Callable, state, partials: int) -
 class GradientFit:
     """Adam over epochs of `batches` mini-batches; a row's batch is a hash of its id.
 
-    The training rows are written once, one folder per mini-batch, so a step reads only its own rows and a
-    lost executor costs nothing but a re-read.
+    With several batches the training rows are written once, one folder per batch, so a step reads only its
+    own rows. With one batch every step reads `train` itself, which should be a stored table.
     """
 
     def __init__(self, epochs: int = 100, batches: int = 1, rate: float = 0.01, decay: float = 0.0, seed: int = 42):
@@ -58,13 +58,13 @@ class GradientFit:
         self.history: list[float] = []
 
     def prepare(self, train: DataFrame, columns: Sequence[str] = ()) -> "GradientFit":
-        rows = train.select("row_id", as_doubles("embedding").alias("embedding"), *columns)
+        rows = train.select("row_id", "embedding", *columns)
         if self.batches > 1:
             place = F.pmod(F.xxhash64("row_id", F.lit(self.seed)), F.lit(self.batches)).cast("int")
-            self.table = write_out(rows.withColumn("batch", place), "training", ["batch"])
-        else:
-            self.table = write_out(rows, "training")
-        self.partials = self.table.rdd.getNumPartitions()
+            rows = write_out(rows.withColumn("batch", place), "training", ["batch"])
+        # A task yields one weight-sized sum, so no more tasks than the cores can use.
+        self.partials = min(rows.rdd.getNumPartitions(), 2 * train.sparkSession.sparkContext.defaultParallelism)
+        self.table = rows.coalesce(self.partials)
         return self
 
     def sum(self, per_batch: Callable, state) -> np.ndarray:

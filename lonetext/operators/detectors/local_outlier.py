@@ -43,21 +43,26 @@ class LOF(Detector):
         return met.groupBy("qid").agg((1.0 / (reach / self.k + 1e-10)).alias("density"))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        queries = distinct_vectors(rows).select(F.col("loc").alias("qid"), "vec")
-        queries = write_out(queries, "queries")
         # Vectors of the training set were searched while fitting.
-        places = self.index.locations.select("vec", "loc")
-        known = (queries.join(places, "vec").select(F.col("loc").alias("own"), "qid")
-                 .join(self.near.withColumnRenamed("qid", "own"), "own").drop("own"))
-        fresh = self.index.nearest(queries.join(places, "vec", "left_anti"), self.k)
-        near = known.filter(F.col("place") <= self.k).unionByName(fresh)
-        met = join_lookup(self._counted(near), self.fitted, "nbr", None if self.index.size > 10_000 else 0)
+        places = self.index.locations.select("vec", F.col("loc").alias("own"))
+        queries = write_out(distinct_vectors(rows).withColumnRenamed("loc", "qid").join(places, "vec", "left"),
+                            "queries")
+        known = (queries.filter(F.col("own").isNotNull()).select("qid", "own")
+                 .join(self.near.filter(F.col("place") <= self.k).withColumnRenamed("qid", "own"), "own").drop("own"))
+        fresh = self.index.nearest(queries.filter(F.col("own").isNull()).select("qid", "vec"), self.k)
+        n_queries = queries.count()
+        met = join_lookup(self._counted(known.unionByName(fresh)), self.fitted, "nbr", n_queries * self.k)
         mean_reach = F.sum(F.col("used") * F.greatest("k_distance", "d")) / self.k
         mean_density = F.sum(F.col("used") * F.col("density")) / self.k
         found = met.groupBy("qid").agg((mean_density * (mean_reach + 1e-10)).alias("score"))
-        return attach(rows, queries.join(found, "qid").select("vec", "score"))
+        return attach(rows, queries, found)
 
 
-def attach(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    """Give every row the score of its vector; a vector shared by very many rows is matched by broadcast."""
-    return join_lookup(rows.withColumn("vec", as_doubles("embedding")), scored, "vec").drop("vec")
+def attach(rows: DataFrame, queries: DataFrame, scores: DataFrame) -> DataFrame:
+    """Give every row the score (qid, score) of its vector, `queries` being the distinct (qid, vec, w) of the rows.
+
+    A vector shared by very many rows is matched by broadcast.
+    """
+    scored = queries.select("qid", "vec").join(scores, "qid").select("vec", "score")
+    keyed = rows.withColumn("vec", as_doubles("embedding"))
+    return join_lookup(keyed, scored, "vec", counts=queries).drop("vec")

@@ -68,8 +68,25 @@ def proportional_quotas(sizes: Sequence[tuple], total: int) -> list[tuple]:
 
 
 def head_sample(df: DataFrame, max_samples: int, row_id: str = "row_id") -> DataFrame:
-    """The first rows by id, the order a keyless file has implicitly."""
-    return df.orderBy(row_id).limit(max_samples)
+    """The `max_samples` smallest ids, the order a keyless file has implicitly.
+
+    The last id that belongs is narrowed down by quantiles over the ids alone; the rows are then a filter
+    on it, which reaches the scan, and are never sorted.
+    """
+    ids = df.select(row_id)
+    n, wider = ids.count(), 1.5
+    if n <= max_samples:
+        return df
+    while n > 4 * max_samples + 1 and wider * max_samples < n:
+        cut = ids.agg(F.percentile_approx(row_id, wider * max_samples / n, F.lit(10_000))).first()[0]
+        fewer = ids.filter(F.col(row_id) <= cut)
+        m = fewer.count()
+        if m < max_samples or m == n:
+            wider *= 4  # the quantile is not exact: aim higher
+            continue
+        ids, n = fewer, m
+    last = ids.orderBy(row_id).limit(max_samples).agg(F.max(row_id)).first()[0]
+    return df.filter(F.col(row_id) <= last) if max_samples else df.limit(0)
 
 
 def stratified_sample(df: DataFrame, max_samples: int = 60_000, label: str = "label",

@@ -130,6 +130,14 @@ def test_sampling_strategies(spark):
         smp.sample_rows(data, 4, "other")
 
 
+@pytest.mark.parametrize("k", [0, 1, 7, 1000, 19_999, 20_000, 30_000])
+def test_head_sample(spark, k):
+    data = spark.range(20_000).select((F.col("id") * F.col("id")).alias("row_id"))  # uneven ids
+    out = smp.head_sample(data.repartition(5), k)
+    assert sorted(ids(out)) == [i * i for i in range(min(k, 20_000))]
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_majority_tie_goes_to_the_smallest_label(spark):
     data = spark.createDataFrame([(i, v) for i, v in enumerate("bbaac")], "row_id long, label string")
     assert lab.majority_label(data).first().label == "a"
