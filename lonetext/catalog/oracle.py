@@ -247,7 +247,7 @@ ORACLE: dict[str, str] = {
     "encode_hashed": f"WITH {DOC}, {HASHED} {LONG} FROM hashed",
     "pool_cls": f"WITH {TOKENS} {LONG} FROM tv WHERE pos = 0",
     "pool_mean": f"""WITH {TOKENS}, p AS (SELECT row_id, mask, CAST(unnest(range(8)) AS INTEGER) AS dim, unnest(vec) AS v
-          FROM tv) SELECT row_id, dim, round(sum(v * mask) / greatest(sum(mask)::DOUBLE, 1e-9), 6) AS value
+          FROM tv) SELECT row_id, dim, round(sum(v * mask) / greatest(sum(mask)::DOUBLE, 1e-9), 9) AS value
         FROM p GROUP BY row_id, dim""",
     "truncate_tokens": f"""WITH t AS (SELECT doc_id AS row_id, {_words('text')}[1:128] AS w FROM documents)
         SELECT row_id, len(w) AS n_tokens, array_to_string(w, ' ') AS text FROM t""",
