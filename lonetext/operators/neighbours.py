@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..common import as_doubles, local_table, matrix, write_out
 
@@ -94,11 +94,11 @@ class Cells:
         return nearest
 
     def _tiles(self, queries: DataFrame, kernel: Callable, schema: str, every_piece: bool = True) -> DataFrame:
-        """Meet each (qid, vec, cells) query with the pieces of its cells; `kernel(batch, piece)` per tile.
+        """Meet each (qid, vec, cells, reach) query with the pieces of its cells; `kernel(batch, piece)` per tile.
 
         With `every_piece` off, a query meets one piece per cell only.
         """
-        visits = queries.select("qid", "vec", F.explode("cells").alias("cell"))
+        visits = queries.select("qid", "vec", "reach", F.explode("cells").alias("cell"))
         met = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()
         share = {c: 1 if every_piece else n for c, n in self.pieces.items()}
         parallel = self.spark.sparkContext.defaultParallelism
@@ -113,7 +113,7 @@ class Cells:
         one = F.pmod(F.xxhash64("qid", F.lit(1)), F.col("pieces")).cast("int")
         left = self._with_parts(left, pieces, "pieces").select(
             "cell", "batch", (every if every_piece else one).alias("piece"), "qid",
-            F.col("vec").alias("query"))
+            F.col("vec").alias("query"), "reach")
         right = self._with_parts(self.locations, batches, "batches").select(
             "cell", "piece", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "loc", "w", "vec")
         keys = ["cell", "piece", "batch"]
@@ -123,21 +123,23 @@ class Cells:
         table = local_table(self.spark, sorted(parts.items()), f"cell int, {n} int")
         return df.drop(n).join(F.broadcast(table), "cell")
 
-    def _all_cells(self) -> Column:
-        return F.array(*[F.lit(int(c)) for c in sorted(self.pieces)])
+    def _everywhere(self, queries: DataFrame) -> DataFrame:
+        """Queries that visit every cell; for an index of one cell."""
+        cells = F.array(*[F.lit(int(c)) for c in sorted(self.pieces)])
+        return queries.select("qid", "vec", cells.alias("cells"), F.lit(np.inf).alias("reach"))
 
     def nearest(self, queries: DataFrame, m: int) -> DataFrame:
         """(qid, nbr, w, d, place): the m nearest distinct locations of each (qid, vec) query."""
         if len(self.pieces) == 1:
-            return self._nearest_in(queries.withColumn("cells", self._all_cells()), m, self.single_piece)
+            return self._nearest_in(self._everywhere(queries), m, self.single_piece)
         # A batch against one piece of its own cell bounds the distance of the m-th neighbour ...
         home = queries.withColumn("_at", self._nearest_pivot()("vec")).select(
-            "qid", "vec", F.array("_at.cell").alias("cells"))
+            "qid", "vec", F.array("_at.cell").alias("cells"), F.lit(np.inf).alias("reach"))
         reach = self._reach(home, m)
-        # ... and only cells that come closer than that are searched.
+        # ... only cells that come closer than that are searched, and nothing farther is kept.
         to_visit = self._cells_within()
         planned = write_out(queries.join(reach, "qid").select(
-            "qid", "vec", to_visit("vec", "reach").alias("cells")), "visits")
+            "qid", "vec", "reach", to_visit("vec", "reach").alias("cells")), "visits")
         return self._nearest_in(planned, m, False)
 
     def _reach(self, home: DataFrame, m: int) -> DataFrame:
@@ -187,6 +189,7 @@ class Cells:
                 x = matrix(rows["query"])
                 d2 = _squared(x, y)
                 cut = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + 1e-6
+                cut = np.minimum(cut, rows["reach"].to_numpy() + 1e-6)
                 r, c = np.nonzero(d2 <= (cut * cut)[:, None])
                 d = np.sqrt(((x[r] - y[c]) ** 2).sum(1))
                 order = np.lexsort((loc[c], np.round(d, TIE_DECIMALS), r))
@@ -210,10 +213,11 @@ class Cells:
         A cell is left out only if the most it could add is under `tolerance` of the least the rest adds.
         """
         if len(self.pieces) == 1:
-            planned = queries.withColumn("cells", self._all_cells())
+            planned = self._everywhere(queries)
         else:
-            planned = write_out(queries.select("qid", "vec", self._cells_that_count(bandwidth, tolerance)("vec")
-                                               .alias("cells")), "visits")
+            counting = self._cells_that_count(bandwidth, tolerance)
+            planned = write_out(queries.select("qid", "vec", counting("vec").alias("cells"),
+                                               F.lit(np.inf).alias("reach")), "visits")
         scale = 2.0 * bandwidth * bandwidth
 
         def partial(batch: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
