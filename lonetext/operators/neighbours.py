@@ -21,6 +21,8 @@ MAX_CELLS = 4_096
 PIECE_ROWS = 2_048
 BATCH_ROWS = 4_096
 MIN_BATCH_ROWS = 256
+# Rows of a batch compared at a time, so that a block of distances stays in the cache.
+BLOCK_ROWS = 256
 # Distances are compared at this many decimals; equal ones are ordered by location.
 TIE_DECIMALS = 9
 
@@ -32,7 +34,11 @@ def distinct_vectors(df: DataFrame, row_id: str = "row_id", embedding: str = "em
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0)
+    out = x @ y.T
+    out *= -2.0
+    out += (x * x).sum(1)[:, None]
+    out += (y * y).sum(1)[None, :]
+    return np.maximum(out, 0.0, out=out)
 
 
 class Cells:
@@ -184,12 +190,13 @@ class Cells:
             y, loc, w = matrix(piece["vec"]), piece["loc"].to_numpy(), piece["w"].to_numpy()
             k = min(m, len(loc))
             out = []
-            for start in range(0, len(batch), 256):
-                rows = batch.iloc[start:start + 256]
+            for start in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.iloc[start:start + BLOCK_ROWS]
                 x = matrix(rows["query"])
                 d2 = _squared(x, y)
-                cut = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + 1e-6
-                cut = np.minimum(cut, rows["reach"].to_numpy() + 1e-6)
+                cut = rows["reach"].to_numpy() + 1e-6
+                if not np.isfinite(cut).all():
+                    cut = np.minimum(cut, np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + 1e-6)
                 r, c = np.nonzero(d2 <= (cut * cut)[:, None])
                 d = np.sqrt(((x[r] - y[c]) ** 2).sum(1))
                 order = np.lexsort((loc[c], np.round(d, TIE_DECIMALS), r))
@@ -223,9 +230,16 @@ class Cells:
         def partial(batch: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
             if not len(batch) or not len(piece):
                 return pd.DataFrame({"qid": [], "top": [], "total": []})
-            logs = np.log(piece["w"].to_numpy())[None, :] - _squared(matrix(batch["query"]), matrix(piece["vec"])) / scale
-            top = logs.max(1)
-            return pd.DataFrame({"qid": batch["qid"], "top": top, "total": np.exp(logs - top[:, None]).sum(1)})
+            y, log_w = matrix(piece["vec"]), np.log(piece["w"].to_numpy())
+            out = []
+            for start in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.iloc[start:start + BLOCK_ROWS]
+                logs = log_w - _squared(matrix(rows["query"]), y) / scale
+                top = logs.max(1)
+                logs -= top[:, None]
+                total = np.exp(logs, out=logs).sum(1)
+                out.append(pd.DataFrame({"qid": rows["qid"], "top": top, "total": total}))
+            return pd.concat(out)
 
         parts = self._tiles(planned, partial, "qid long, top double, total double")
         if self.single_piece:
