@@ -298,6 +298,21 @@ ORACLE: dict[str, str] = {
         s AS (SELECT 1 AS one, y, score FROM thin JOIN hbos USING (row_id)), {_metrics('s', 'one')}
         SELECT p::BIGINT AS n_pos, n::BIGINT AS n_neg, round(auc, 6) AS auc, round(ap, 6) AS ap
         FROM totals JOIN auc USING (one) JOIN ap USING (one)""",
+    "bench_exact": f"""WITH {SPLIT}, {_hbos('train', 'spl')}, {_lof('train', 'spl')}, {_kde('train', 'spl')},
+        sco AS (SELECT model, split, y, d.score FROM spl JOIN (SELECT 'HBOS' AS model, row_id, score FROM hbos
+          UNION ALL SELECT 'LOF', row_id, score FROM lof UNION ALL SELECT 'KDE', row_id, score FROM kde) d
+          USING (row_id)),
+        sets AS (SELECT concat(model, '/', split) AS part, y, score FROM sco), {_metrics('sets', 'part')},
+        m AS (SELECT split_part(part, '/', 1) AS model, split_part(part, '/', 2) AS split, auc, ap, p + n AS size
+          FROM totals JOIN auc USING (part) JOIN ap USING (part))
+        SELECT 'run-exact' AS run_id, model, 'embeddings' AS dataset, CAST(NULL AS DOUBLE) AS contamination,
+          CAST(0 AS INTEGER) AS round, CAST(0 AS INTEGER) AS n_known_outliers,
+          CAST(max(size) FILTER (split = 'train') AS BIGINT) AS train_size,
+          CAST(max(size) FILTER (split = 'test') AS BIGINT) AS test_size, CAST(NULL AS DOUBLE) AS train_auc_semi,
+          round(max(auc) FILTER (split = 'train'), 6) AS train_auc,
+          round(max(auc) FILTER (split = 'test'), 6) AS test_auc, CAST(0 AS DOUBLE) AS train_ap_semi,
+          round(max(ap) FILTER (split = 'train'), 6) AS train_ap, round(max(ap) FILTER (split = 'test'), 6) AS test_ap
+        FROM m GROUP BY model""",
     "score_histogram": f"""WITH {THIN},
         s AS (SELECT CASE WHEN y = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, vec[1] AS s FROM thin),
         e AS (SELECT min(s) AS low, (max(s) - min(s)) / 30 AS width FROM s),

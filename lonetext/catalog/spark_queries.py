@@ -452,14 +452,23 @@ def _short_models() -> tuple[dict, dict]:
 @query
 def bench_unsup(spark, sf):
     data = benchmark.prepare(src.vectors(spark, sf), src.SHARE)
-    return _rounded(benchmark.run_unsupervised(data, _short_models()[0], "embeddings", _run_id("unsup")))
+    rows = benchmark.run_unsupervised(data, _short_models()[0], "embeddings", _run_id("unsup"), parallel=4)
+    return _rounded(rows)
+
+
+@query
+def bench_exact(spark, sf):
+    """The unsupervised run with the detectors whose scores SQL can compute."""
+    data = benchmark.prepare(src.vectors(spark, sf), src.SHARE)
+    models = {"HBOS": HBOS, "LOF": LOF, "KDE": KDE}
+    return _rounded(benchmark.run_unsupervised(data, models, "embeddings", _run_id("exact"), parallel=3)).drop("error")
 
 
 @query
 def bench_semi(spark, sf):
     data = benchmark.prepare(src.vectors(spark, sf), src.SHARE)
     rows, _ = benchmark.run_semisupervised(data, _short_models()[1], "embeddings", levels=(0.05, 0.1), n_rounds=1,
-                                           run_id=_run_id)
+                                           run_id=_run_id, parallel=4)
     return _rounded(rows)
 
 
@@ -472,7 +481,7 @@ def bench_grid(spark, sf):
     pairs = {"embeddings_given": lambda: src.vectors(spark, sf), "toxic_hashed64": hashed("toxic", 64),
              "quality_hashed32": hashed("quality", 32)}
     rows = benchmark.run_grid(pairs, {"HBOS": HBOS, "IForest": IsolationForest}, {"MLP": DETECTORS["mlp"]},
-                              run_id=_run_id, spark=spark)
+                              run_id=_run_id, spark=spark, parallel=4)
     return _rounded(rows)
 
 

@@ -50,8 +50,8 @@ class LOF(Detector):
         known = (queries.filter(F.col("own").isNotNull()).select("qid", "own")
                  .join(self.near.filter(F.col("place") <= self.k).withColumnRenamed("qid", "own"), "own").drop("own"))
         fresh = self.index.nearest(queries.filter(F.col("own").isNull()).select("qid", "vec"), self.k)
-        n_queries = queries.count()
-        met = join_lookup(self._counted(known.unionByName(fresh)), self.fitted, "nbr", n_queries * self.k)
+        counted = write_out(self._counted(known.unionByName(fresh)), "neighbours")
+        met = join_lookup(counted, self.fitted, "nbr", queries.count() * self.k)
         mean_reach = F.sum(F.col("used") * F.greatest("k_distance", "d")) / self.k
         mean_density = F.sum(F.col("used") * F.col("density")) / self.k
         found = met.groupBy("qid").agg((mean_density * (mean_reach + 1e-10)).alias("score"))
@@ -63,6 +63,7 @@ def attach(rows: DataFrame, queries: DataFrame, scores: DataFrame) -> DataFrame:
 
     A vector shared by very many rows is matched by broadcast.
     """
-    scored = queries.select("qid", "vec").join(scores, "qid").select("vec", "score")
+    # Written, because a hot vector makes the join read the scores twice.
+    scored = queries.select("qid", "vec").join(write_out(scores, "vector_scores"), "qid").select("vec", "score")
     keyed = rows.withColumn("vec", as_doubles("embedding"))
     return join_lookup(keyed, scored, "vec", counts=queries).drop("vec")

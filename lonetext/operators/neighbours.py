@@ -18,8 +18,8 @@ from ..common import as_doubles, local_table, matrix, write_out
 
 CELL_ROWS = 4_096
 MAX_CELLS = 4_096
-PIECE_ROWS = 2_048
-BATCH_ROWS = 4_096
+PIECE_ROWS = 4_096
+BATCH_ROWS = 8_192
 MIN_BATCH_ROWS = 256
 # Rows of a batch compared at a time, so that a block of distances stays in the cache.
 BLOCK_ROWS = 256

@@ -48,6 +48,19 @@ def test_semisupervised_run(spark, data):
         assert set(lists[r.run_id]) <= outliers
 
 
+def test_evaluate_model_returns_scores(spark, data):
+    row, scores = benchmark.evaluate_model(IsolationForest(10), data.withColumn("y_semi", F.col("y")), uncertainty=True)
+    assert scores.columns == ["row_id", "split", "y", "y_semi", "score", "uncertainty"]
+    assert scores.count() == data.count() and row.first().train_auc == row.first().train_auc_semi
+
+
+def test_parallel_fits_change_nothing(spark, data):
+    models = {"HBOS": HBOS, "IForest": lambda: IsolationForest(10), "Broken": Broken}
+    one = benchmark.run_unsupervised(data, models, "d", "r").drop("error").collect()
+    three = benchmark.run_unsupervised(data, models, "d", "r", parallel=3).drop("error").collect()
+    assert sorted(one, key=str) == sorted(three, key=str)
+
+
 def test_high_rates_reveal_every_outlier(spark, data):
     rows, _ = benchmark.run_semisupervised(data, {"HBOS": HBOS}, "d", levels=(0.9,), n_rounds=1)
     row = rows.first()

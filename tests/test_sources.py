@@ -106,6 +106,16 @@ def test_index_log_in_parts(spark):
     assert [i for r in parts for i in r.indices] == list(range(0, 95, 3))
 
 
+def test_csv_export(spark, tmp_path):
+    known = spark.range(3).select(F.lit("r").alias("run_id"), F.lit(0.1).alias("contamination"),
+                                  F.lit(0).alias("round"), F.col("id").alias("row_id"))
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        results.export_csv(results.as_csv_rows(results.labelled_index_log(known)), path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).collect()
+    assert len(rows) == 2 and json.loads(rows[0].indices) == [0, 1, 2]
+
+
 def test_results_are_appended_and_pruned(spark, tmp_path):
     root = str(tmp_path / "out")
     row = ("id", "m1", "d", None, 0, 1, 10, 5, None, 0.5, 0.6, 0.0, 0.7, 0.8, None)
