@@ -130,6 +130,28 @@ def _kde(fit: str, rows: str) -> str:
   FROM {rows} q CROSS JOIN {fit} t GROUP BY q.row_id)"""
 
 
+def _mahalanobis(fit: str, rows: str, dim: int = 64) -> str:
+    """z' C^-1 z, which the sum over all principal axes equals; C is inverted by elimination, a step per dimension."""
+    return f"""pv AS (SELECT row_id, unnest(range(1, {dim + 1})) AS i, unnest(vec) AS x FROM {fit}),
+moment AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM pv GROUP BY i),
+zt AS (SELECT row_id, i, (x - m) / s AS z FROM pv JOIN moment USING (i)),
+cv AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / ((SELECT count(*) FROM {fit}) - 1) AS c
+  FROM zt a JOIN zt b USING (row_id) GROUP BY a.i, b.i),
+elim(k, i, r) AS (
+  SELECT 0, i, list_concat(list(c ORDER BY j),
+    list_transform(range(1, {dim + 1}), lambda q: CASE WHEN q = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))
+  FROM cv GROUP BY i
+  UNION ALL
+  SELECT a.k + 1, a.i, CASE WHEN a.i = p.i THEN list_transform(a.r, lambda x: x / p.r[p.i])
+    ELSE list_transform(range(1, {2 * dim + 1}), lambda q: a.r[q] - p.r[q] * a.r[p.i] / p.r[p.i]) END
+  FROM elim a JOIN elim p ON p.i = a.k + 1 WHERE a.k < {dim}),
+inverse AS (SELECT i, unnest(range(1, {dim + 1})) AS j, unnest(r[{dim + 1}:]) AS v FROM elim WHERE k = {dim}),
+za AS (SELECT row_id, i, (x - m) / s AS z FROM (
+  SELECT row_id, unnest(range(1, {dim + 1})) AS i, unnest(vec) AS x FROM {rows}) JOIN moment USING (i)),
+pca AS (SELECT a.row_id, sum(a.z * v * b.z) AS score FROM za a JOIN inverse USING (i)
+  JOIN za b ON b.row_id = a.row_id AND b.i = j GROUP BY a.row_id)"""
+
+
 def _detected(score: str) -> str:
     return f"SELECT s.row_id, s.split, s.y, round(d.score, 6) AS score FROM spl s JOIN {score} d USING (row_id)"
 
@@ -271,6 +293,7 @@ ORACLE: dict[str, str] = {
     "hbos": f"WITH {SPLIT}, {_hbos('train', 'spl')} {_detected('hbos')}",
     "lof": f"WITH {SPLIT}, {_lof('train', 'spl')} {_detected('lof')}",
     "kde": f"WITH {SPLIT}, {_kde('train', 'spl')} {_detected('kde')}",
+    "pca_score": f"WITH RECURSIVE {SPLIT}, {_mahalanobis('train', 'spl')} {_detected('pca')}",
     "hbos_documents": f"""WITH {DOC_VECTORS}, {_hbos('vecs', 'vecs')}
         SELECT row_id, y, round(score, 6) AS score FROM vecs JOIN hbos USING (row_id)""",
     "lof_documents": f"""WITH {DOC_VECTORS}, {_lof('vecs', 'vecs')}

@@ -287,6 +287,28 @@ def test_lookup_join_with_hot_keys(spark):
     hot = join_lookup(rows, lookup, "k", hot_rows=100, hot_keys=1)
     assert sorted(hot.collect()) == sorted(plain.select(hot.columns).collect())
     assert sorted(join_lookup(rows, lookup, "k", n_rows=10).collect()) == sorted(plain.collect())
+    counts = rows.groupBy("k").agg(F.count("*").alias("w"))
+    known = join_lookup(rows, lookup, "k", counts=counts, hot_rows=40, hot_keys=5)
+    assert sorted(known.collect()) == sorted(plain.select(known.columns).collect())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_wise_scoring_does_not_shuffle(spark):
+    x, y = planted()
+    data = table(spark, x, y)
+    for detector in (det.HBOS(), det.IsolationForest(10), det.PCADetector(), det.OCSVM(epochs=1)):
+        assert "Exchange" not in plan_of(detector.fit(data).score(data))
+
+
+def test_neighbour_scores_need_no_cross_join(spark):
+    x, y = planted()
+    data = table(spark, x, y)
+    for detector in (det.LOF(10, **SMALL), det.KDE(**SMALL)):
+        plan = plan_of(detector.fit(data).score(data))
+        assert not any(bad in plan for bad in ("Cartesian", "NestedLoop", "SinglePartition"))
 
 
 def test_row_wise_scores_apply_to_a_stream(spark, tmp_path):
