@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...common import as_doubles
@@ -18,21 +20,20 @@ class HBOS(Detector):
         self.n_bins, self.alpha, self.tol = n_bins, alpha, tol
 
     def fit(self, train: DataFrame) -> "HBOS":
-        # The outer form keeps Catalyst from testing for empty vectors first, which would compute them twice.
-        values = train.select(F.posexplode_outer(as_doubles("embedding")).alias("dim", "x"))
-        ranges = (values.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-                  .orderBy("dim").collect())
-        if not ranges:
+        ranges = train.select(Summarizer.metrics("count", "min", "max")
+                              .summary(array_to_vector(as_doubles("embedding"))).alias("m")).first().m
+        n = ranges["count"]
+        if not n:
             raise ValueError("no training rows")
-        lo = np.array([r.lo for r in ranges])
-        hi = np.array([r.hi for r in ranges])
+        lo, hi = ranges["min"].toArray(), ranges["max"].toArray()
         flat = hi == lo
         self.lo = np.where(flat, lo - 0.5, lo)
         self.width = (np.where(flat, hi + 0.5, hi) - self.lo) / self.n_bins
-        n = ranges[0].n
 
         bins = F.transform(self._places(), lambda p: F.least(F.floor(p), F.lit(self.n_bins - 1)).cast("int"))
-        counts = (with_model(train, lo=self.lo, width=self.width).select(F.posexplode_outer(bins).alias("dim", "bin")).groupBy("dim", "bin")
+        # The outer form keeps Catalyst from testing for empty vectors first, which would compute them twice.
+        counts = (with_model(train, lo=self.lo, width=self.width)
+                  .select(F.posexplode_outer(bins).alias("dim", "bin")).groupBy("dim", "bin")
                   .agg(F.count("*").alias("n")).collect())
         density = np.zeros((len(lo), self.n_bins))
         for c in counts:

@@ -29,17 +29,13 @@ def group_sizes(df: DataFrame, by: Sequence[str]) -> list[tuple]:
     return [tuple(r) for r in collect_bounded(counts, MAX_CLASSES, f"groups of {', '.join(by)}")]
 
 
-def flag_picked(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_id: str = "row_id",
-                seed: int | Column = 42, flag: str = "picked") -> DataFrame:
-    """Add a boolean that is true for exactly k rows of each group listed in `quotas` as (group..., k).
-
-    Groups without a quota get none. A quota must not exceed its group.
-    """
+def _last_places(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_id: str,
+                 seed: int | Column) -> DataFrame:
+    """(by..., _last): the place of the k-th row of each group in `quotas`, as a table of values."""
     fields = [T.StructField(c, df.schema[c].dataType) for c in by]
     wanted = local_table(df.sparkSession, quotas, T.StructType([*fields, T.StructField("_k", T.LongType())]))
-    place = hash_place(seed, row_id)
 
-    keyed = df.select(*by, F.col(row_id).alias("_id"), place.alias("_h"))
+    keyed = df.select(*by, F.col(row_id).alias("_id"), hash_place(seed, row_id).alias("_h"))
     keyed = keyed.withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
     runs = join_null_safe(keyed.groupBy(*by, "_p").agg(F.count("*").alias("_n")), F.broadcast(wanted), by)
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p"))
@@ -51,12 +47,24 @@ def flag_picked(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_i
             .filter(F.col("_r") == F.col("_rest"))
             .select(*by, F.struct("_h", "_id").alias("_last")))
     # One value per quota, taken once: later steps compare against values, not against a nested plan.
-    last = local_table(df.sparkSession, last.collect(), last.schema)
-    within = F.struct(place.alias("_h"), F.col(row_id).alias("_id")) <= F.col("_last")
+    return local_table(df.sparkSession, last.collect(), last.schema)
+
+
+def _flag(df: DataFrame, by: Sequence[str], last: DataFrame, row_id: str, seed: int | Column, flag: str) -> DataFrame:
+    within = F.struct(hash_place(seed, row_id).alias("_h"), F.col(row_id).alias("_id")) <= F.col("_last")
     flagged = join_null_safe(df, F.broadcast(last), by, "left")
     return flagged.withColumn(flag, F.when(F.col("_last").isNull(), False).otherwise(within)).drop("_last")
 
 
+def flag_picked(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_id: str = "row_id",
+                seed: int | Column = 42, flag: str = "picked") -> DataFrame:
+    """Add a boolean that is true for exactly k rows of each group listed in `quotas` as (group..., k).
+
+    Groups without a quota get none. A quota must not exceed its group.
+    """
+    return _flag(df, by, _last_places(df, by, quotas, row_id, seed), row_id, seed, flag)
+
+
 def proportional_quotas(sizes: Sequence[tuple], total: int) -> list[tuple]:
     """Share `total` over the groups by largest remainder; equal remainders go to the smaller group."""
     n = sum(s[-1] for s in sizes)
@@ -150,17 +158,37 @@ def partial_labels(df: DataFrame, n_known: int | None = None, contamination: flo
     return flagged.withColumn("y_semi", F.col("picked").cast("int")).drop("picked")
 
 
+def _scenarios(df: DataFrame, levels: Sequence[float], n_rounds: int, y: str,
+               row_id: str) -> tuple[DataFrame, list[tuple]]:
+    """(row_id, y) repeated per level and round, and the quota of each scenario."""
+    sizes = dict(group_sizes(df, [y]))
+    n_rows, n_out = sum(sizes.values()), sizes.get(1, 0)
+    scenarios = [(float(c), r) for c in levels for r in range(n_rounds)]
+    quotas = [(1, c, r, known_quota(n_rows, n_out, None, c)) for c, r in scenarios]
+    grid = F.array(*[F.struct(F.lit(c).alias("contamination"), F.lit(r).alias("round")) for c, r in scenarios])
+    return df.select(F.col(row_id), F.col(y), F.inline(grid)), quotas
+
+
 def partial_labels_grid(df: DataFrame, levels: Sequence[float], n_rounds: int, seed: int = 42,
                         y: str = "y", row_id: str = "row_id") -> DataFrame:
     """(row_id, y, contamination, round, y_semi) for every level and round, in one job.
 
     Rounds differ by seed + round, so within a round a lower level's labels are part of a higher one's.
     """
-    sizes = dict(group_sizes(df, [y]))
-    n_rows, n_out = sum(sizes.values()), sizes.get(1, 0)
-    scenarios = [(float(c), r) for c in levels for r in range(n_rounds)]
-    quotas = [(1, c, r, known_quota(n_rows, n_out, None, c)) for c, r in scenarios]
-    grid = F.array(*[F.struct(F.lit(c).alias("contamination"), F.lit(r).alias("round")) for c, r in scenarios])
-    long = df.select(F.col(row_id), F.col(y), F.inline(grid))
+    long, quotas = _scenarios(df, levels, n_rounds, y, row_id)
     flagged = flag_picked(long, [y, "contamination", "round"], quotas, row_id, F.lit(seed) + F.col("round"))
     return flagged.withColumn("y_semi", F.col("picked").cast("int")).drop("picked")
+
+
+def partial_labels_per_scenario(df: DataFrame, levels: Sequence[float], n_rounds: int, seed: int = 42, y: str = "y",
+                                row_id: str = "row_id") -> dict[tuple[float, int], DataFrame]:
+    """The rows with `y_semi`, per (level, round). The cuts of all scenarios are found in one job."""
+    long, quotas = _scenarios(df, levels, n_rounds, y, row_id)
+    outliers = long.filter(F.col(y) == 1)
+    last = _last_places(outliers, [y, "contamination", "round"], quotas, row_id, F.lit(seed) + F.col("round"))
+    out = {}
+    for _, level, r, _ in quotas:
+        here = last.filter((F.col("contamination") == level) & (F.col("round") == r)).select(y, "_last")
+        flagged = _flag(df, [y], here, row_id, seed + r, "picked")
+        out[level, r] = flagged.withColumn("y_semi", F.col("picked").cast("int")).drop("picked")
+    return out

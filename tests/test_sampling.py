@@ -114,6 +114,10 @@ def test_grid_equals_single_scenarios(spark):
             single = smp.partial_labels(data, contamination=level, seed=5 + r)
             here = grid.filter((F.col("contamination") == level) & (F.col("round") == r))
             assert ids(here.filter("y_semi = 1")) == ids(single.filter("y_semi = 1"))
+    each = smp.partial_labels_per_scenario(data, [0.02, 0.1], 2, seed=5)
+    for (level, r), out in each.items():
+        single = smp.partial_labels(data, contamination=level, seed=5 + r)
+        assert out.columns == single.columns and sorted(out.collect()) == sorted(single.collect())
 
 
 def test_stratified_sample(spark):
