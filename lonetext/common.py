@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -31,6 +33,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="lonetext-"), "lonetext")
+        root, name = os.path.split(package)
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, name))
+        _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
