@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lonetext.llm import mixing, secrets
+import corpus_pipeline
+from lonetext.llm import (decontamination, html_text, jaccard_join, lm_scoring, mixing, quality_classifier,
+                          quality_rules, secrets, token_counts, warc)
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.judge(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = mixing.write_out(mixing.with_size(docs), "sizes")
@@ -18,6 +27,39 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminations(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("contamination.item_id")))
+    return found.select("doc_id", F.size("contamination").cast("long").alias("n_regions"), items.alias("item_ids"),
+                        (F.size("contamination") > 0).alias("contaminated"))
+
+
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels).select("doc_id", *quality_classifier.SCORES, "kept")
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -29,7 +71,16 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_quality_outliers": quality_outliers,
     "op2_mix_sources": mix_sources,
+    "op3_jaccard_join": jaccard_groups,
+    "op4_benchmark_passages": benchmark_passages,
+    "op5_lm_scores": lm_scores,
+    "op6_warc_round_trip": warc_round_trip,
+    "op7_cotrained_quality": cotrained_quality,
+    "op8_page_text": page_texts,
+    "op9_token_counts": unigram_counts,
     "op10_secret_scan": secret_scan,
 }
 
@@ -77,3 +128,5 @@ SELECT doc_id, size, source_size, target, taken,
 """
 
 LLM_ORACLE = {"op2_mix_sources": MIX_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -8,7 +8,8 @@ are then range-sorted by that time.
 
 Defined results: NULL texts and texts without words have size 0, take nothing, have no position and come last. A NULL
 source is a source of its own, last in order. Rows repeated with one id count one by one. An empty table gives an empty
-table. Columns named like an output column are replaced, all others are carried along.
+table. Columns named like an output column are replaced, all others are carried along (names that start with mix_ are
+refused).
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ BUCKET_ROWS = 20_000  # rows of a source per bucket of its seeded order
 BUCKETS = 1 << 16
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """`docs` without their text, with `size`: the words of the text."""
-    names = [c for c in docs.columns if c not in ("text", "size")]
+def with_size(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """`docs` with `size`, the words of the text, and with or without the text."""
+    names = [c for c in docs.columns if c != "size" and (keep_text or c != "text")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("size", T.LongType())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,7 @@ def with_size(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names]
                                                  + [pa.array(sizes, pa.int64())], [*names, "size"])
 
-    return docs.select(*names, "text").mapInArrow(count, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(count, schema)
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -116,13 +117,16 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
     """
     spark = rows.sparkSession
     rows = rows.drop("source_size", "target", "taken", "position", "occurrences")
+    if any(c.startswith("mix_") for c in rows.columns):
+        raise ValueError("column names that start with mix_ are reserved")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     place = F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
     narrow = rows.select("doc_id", "source", "size") if narrow is None else narrow
-    bucket = F.floor(F.col("mix_place") * F.least(F.ceil(F.col("n_rows") / BUCKET_ROWS), F.lit(BUCKETS)) / BUCKETS)
-    per = targets(narrow, weights, cap)
-    per = per.withColumn("schedule", (F.col("rank") % len(schedules)).cast("int"))
-    per = per.join(F.broadcast(curriculum(spark, schedules)), "schedule").withColumnsRenamed({"source": "mix_source"})
+    bucket = F.floor(F.col("mix_place") * F.least(F.ceil(F.col("mix_rows") / BUCKET_ROWS), F.lit(BUCKETS)) / BUCKETS)
+    per = targets(narrow, weights, cap).withColumn("schedule", (F.col("rank") % len(schedules)).cast("int"))
+    per = per.join(F.broadcast(curriculum(spark, schedules)), "schedule").select(
+        F.col("source").alias("mix_source"), "source_size", "target", F.col("n_rows").alias("mix_rows"),
+        F.col("pieces").alias("mix_pieces"), F.col("whole").alias("mix_whole"))
     per = write_out(per, "mix-sources")
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -144,14 +148,12 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
     def used(p: Column) -> Column:
         begin = p * F.col("source_size") + start
         taken = F.greatest(F.lit(0), F.least(F.col("size"), goal - begin))
-        share = (begin + taken / 2) / F.col("target")
+        share = (begin + taken / 2) / F.nullif(F.col("target"), F.lit(0.0))
         return F.struct(p.alias("pass"), taken.cast("long").alias("taken"),
-                        time_of(share, F.col("pieces"), F.col("whole")).alias("position"))
+                        time_of(share, F.col("mix_pieces"), F.col("mix_whole")).alias("position"))
 
     every = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), used), lambda o: o["taken"] > 0)
-    placed = placed.withColumn("occurrences", F.when(F.col("target") > 0, every)
-                               .otherwise(F.slice(F.array(used(F.lit(0))), 1, 0)))
-    return placed.select(
+    return placed.withColumn("occurrences", every).select(
         *rows.columns, "source_size", "target",
         F.aggregate("occurrences", F.lit(0).cast("long"), lambda a, o: a + o["taken"]).alias("taken"),
         F.when(F.size("occurrences") > 0, F.col("occurrences")[0]["position"]).alias("position"), "occurrences")

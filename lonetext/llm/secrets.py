@@ -30,7 +30,7 @@ THRESHOLDS: Mapping[str, float] = {"hex": 2.9, "single": 3.4, "mixed": 3.7}
 ALLOWED: Sequence[str] = (
     r"[0-9_/+-]+",  # numbers, dates, telephone numbers
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",  # UUID
-    r"([A-Za-z]+[_/+-]+)*[A-Za-z]*[0-9]{1,4}([_/+-]+[A-Za-z0-9]{1,4})*",  # words and a number, paths
+    r"[A-Za-z]*[0-9]{0,4}([_/+-]+[A-Za-z]*[0-9]{0,4})*",  # words and short numbers, paths, names of versions
 )
 
 
@@ -62,9 +62,9 @@ def best_entropy(value: Column, window: int = WINDOW) -> Column:
     powers = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])  # c * log2(c)
 
     def step(acc: Column, i: Column) -> Column:
-        come = acc["codes"][i]
+        come = F.coalesce(F.get(acc["codes"], i), F.lit(0))
         leaves = i >= window
-        gone = F.when(leaves, acc["codes"][F.greatest(i - window, F.lit(0))]).otherwise(F.lit(-1))
+        gone = F.when(leaves, F.get(acc["codes"], i - window)).otherwise(F.lit(-1))
         n_in = acc["counts"][come]
         n_out = F.when(leaves, acc["counts"][F.greatest(gone, F.lit(0))] + (come == gone).cast("int")).otherwise(0)
         total = acc["total"] + powers[n_in + 1] - powers[n_in]

@@ -83,25 +83,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's word n-grams, A-Z lower-cased.
+def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's word n-grams in order, A-Z lower-cased, and the bounds of each text's n-grams.
 
     A text with fewer than `width` words is one n-gram (its length is part of the hash), one without words has none.
     """
     words, bounds = split(pc.ascii_lower(texts))
     ids, dictionary = coded(words)
     codes = hashed(dictionary)[ids] if len(ids) else np.empty(0, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        grams = np.zeros(max(0, len(codes) - width + 1), np.uint64)
-        for k in range(width):
-            grams = mixed((grams + codes[k:len(codes) - width + 1 + k]) * factor)
-    result = []
-    for start, end in zip(bounds[:-1], bounds[1:]):
-        if end - start >= width:
-            result.append(np.unique(grams[start:end - width + 1]))
-        elif end > start:
-            result.append(np.array([xxhash.xxh3_64_intdigest(codes[start:end].tobytes(), int(end - start))], np.uint64))
-        else:
-            result.append(np.empty(0, np.uint64))
-    return result
+    n = np.diff(bounds)
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    out = np.concatenate([[0], np.cumsum(count)])
+    result = np.empty(out[-1], np.uint64)
+    long = n >= width
+    if long.any():
+        grams = np.zeros(len(codes) - width + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                grams = mixed((grams + codes[k:len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15))
+        size = count[long]
+        start = np.repeat(bounds[:-1][long] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        target = np.repeat(out[:-1][long] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        step = np.arange(size.sum())
+        result[target + step] = grams[start + step]
+    for t in np.flatnonzero((n > 0) & ~long):
+        result[out[t]] = xxhash.xxh3_64_intdigest(codes[bounds[t]:bounds[t + 1]].tobytes(), int(n[t]))
+    return result, out
