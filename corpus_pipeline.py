@@ -11,6 +11,10 @@ from lonetext.common import scratch_path, ship_package, write_out
 from lonetext.llm import decontamination, jaccard_join, mixing, quality_classifier, secrets
 
 
+SHINGLE_WORDS = 5
+SHARE_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of every group of linked documents."""
+    """One document, the one with the smallest id, of every group of documents that five-word shingles link."""
     ship_package(spark)
-    found = jaccard_join.join_components(docs.select("doc_id", "text"))
+    found = jaccard_join.join_components(docs.select("doc_id", "text"), SHINGLE_WORDS, SHARE_PERCENT)
     losers = write_out(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .select(F.col("doc_id").alias("lost_id")).distinct(), "pipeline-losers")
     return docs.join(losers, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left_anti")

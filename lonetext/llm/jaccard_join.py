@@ -63,10 +63,12 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
             blocks = total.reshape(-1, CELL_BLOCK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()),
-                 pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "salt", "counts"])
+                 pa.array([b.astype(np.uint32).tobytes() for b in blocks], pa.binary())], ["block", "salt", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in frame["counts"])
+        total = np.zeros(CELL_BLOCK, np.int64)
+        for c in frame["counts"]:  # 4 bytes a cell from a task, 8 once added up
+            total += np.frombuffer(c, np.uint32 if len(c) == 4 * CELL_BLOCK else np.int64)
         return pd.DataFrame({"block": frame["block"][:1], "salt": frame["salt"][:1], "counts": [total.tobytes()]})
 
     schema = "block int, salt int, counts binary"

@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SCHEDULES: tuple[Schedule, ...] = (
     ((0.0, 0.5), (0.6, 1.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)))
 CAP = 3
-BUCKET_ROWS = 20_000  # rows of a source per bucket of its seeded order
+BUCKET_ROWS = 500  # rows of a source per bucket of its seeded order
 BUCKETS = 1 << 16
 
 

@@ -33,21 +33,22 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 UNIT = 1024  # statistics are whole multiples of 1 / UNIT
-NAMES = ("length", "symbols", "lines", "repeats")
+NAMES = ("length", "symbols", "lines", "repeats", "stutter")
 DIM = len(NAMES)
 # The least standard deviation of each statistic: most texts have no symbols and no repeats at all, and a scatter
 # estimate of zero would reject any that has one.
-FLOOR = (0.12, 0.02, 0.05, 0.05)
+FLOOR = (0.12, 0.02, 0.1, 0.05, 0.05)
 MIN_ROWS = 100
 SHARE = 0.75  # of a stratum's rows in the concentration steps
 STEPS = 6  # at most; steps stop when no stratum's subset changes its size or sums
 BINS = 4096
-CUTOFF = 27.86  # chi-square quantile 0.99999 with 4 degrees of freedom is 28.47, 0.99998 is 26.9
-# Of the central SHARE of normal rows: their covariance is too small by this factor (4 dimensions, 0.75).
-CONSISTENCY = 1.52
-REWEIGHT = 11.14  # chi-square quantile 0.975: rows within it make the final estimate
+CUTOFF = 30.86  # chi-square quantile 0.99999 with 5 degrees of freedom
+# Of the central SHARE of normal rows: their covariance is too small by this factor (5 dimensions, 0.75).
+CONSISTENCY = 1.41
+REWEIGHT = 12.83  # chi-square quantile 0.975: rows within it make the final estimate
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_stutters",)  # words equal to the word before
 
 
 def repeated_words(ids: np.ndarray, bounds: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -114,7 +115,7 @@ def duplicate_lines(texts: pa.Array) -> np.ndarray:
 def with_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang and source of `docs`, with the counts."""
     names = ["doc_id", "lang", "source"]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in COUNTS])
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE)])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +125,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
                 ids, _ = coded(words)
                 length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
                 symbols = pc.count_substring_regex(texts, "[#*$%&|<>]").to_numpy(zero_copy_only=False)
+                again = np.concatenate([[False], (ids[1:] == ids[:-1])]) if len(ids) else np.zeros(0, bool)
+                again[bounds[:-1][np.diff(bounds) > 0]] = False
                 values = (np.diff(bounds), totals(length, bounds), symbols, duplicate_lines(texts),
-                          repeated_words(ids, bounds))
+                          repeated_words(ids, bounds), totals(again.astype(np.int64), bounds))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(c)) for c in names]
-                    + [pa.array(v, pa.int64()) for v in values], [*names, *COUNTS])
+                    + [pa.array(v, pa.int64()) for v in values], [*names, *COUNTS, *MORE])
 
     return docs.select(*names, "text").mapInArrow(count, schema)
 
@@ -142,7 +145,7 @@ def statistics() -> list[Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     values = (F.log(F.greatest(F.col("word_chars") / words, F.lit(0.1))),
               F.log1p(F.col("n_symbols") / words), F.log1p(8 * F.col("n_dup_lines") / words),
-              F.col("n_repeat_words") / words)
+              F.col("n_repeat_words") / words, F.col("n_stutters") / words)
     return [F.round(v * UNIT).cast("double").alias(f"x{i}") for i, v in enumerate(values)]
 
 
@@ -202,7 +205,7 @@ def _central(rows: DataFrame, share: float) -> DataFrame:
     whole = Window.partitionBy("stratum")
     cut = (counts.withColumn("upto", F.sum("k").over(running)).withColumn("all", F.sum("k").over(whole))
            .filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("stratum").agg(F.min("bin").alias("last")))
-    return binned.join(cut, "stratum").filter(F.col("bin") <= F.col("last"))
+    return binned.join(write_out(cut, "mcd-cut"), "stratum").filter(F.col("bin") <= F.col("last"))
 
 
 def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:

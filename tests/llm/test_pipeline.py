@@ -34,7 +34,7 @@ def test_quality_keeps_good_documents(spark, sf, stages):
 
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[1]
-    groups = jaccard_join.join_components(before).groupBy("component_id").agg(F.min("doc_id").alias("keeper")).collect()
+    groups = jaccard_join.join_components(before, cp.SHINGLE_WORDS, cp.SHARE_PERCENT).groupBy("component_id").agg(F.min("doc_id").alias("keeper")).collect()
     assert sorted(r.doc_id for r in after.collect()) == sorted(r.keeper for r in groups)
 
 

@@ -63,14 +63,14 @@ def _inverse(x: np.ndarray, factor: float) -> np.ndarray:
 
 def test_estimate_matches_brute_force(spark):
     r = np.random.default_rng(2)
-    x = r.normal(size=(3000, 4)) @ np.diag([0.3, 0.2, 0.3, 0.25])
+    x = r.normal(size=(3000, qr.DIM)) @ np.diag([0.3, 0.2, 0.3, 0.25, 0.2])
     x[:300] += 5
     x = np.round(x * qr.UNIT)
-    df = spark.createDataFrame([("g", *map(float, row)) for row in x], "stratum string, x0 double, x1 double, x2 double, x3 double")
+    df = spark.createDataFrame([("g", *map(float, row)) for row in x], "stratum string, " + ", ".join(f"x{i} double" for i in range(qr.DIM)))
     row = qr.fit(df).first()
     mean, precision = brute_mcd(x / qr.UNIT, qr.SHARE)
-    assert np.allclose([row[f"m{i}"] / qr.UNIT for i in range(4)], mean, atol=0.02)
-    found = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)])
+    assert np.allclose([row[f"m{i}"] / qr.UNIT for i in range(qr.DIM)], mean, atol=0.02)
+    found = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(qr.DIM)] for i in range(qr.DIM)])
     assert np.allclose(found, precision, rtol=0.1, atol=0.5)
 
 
