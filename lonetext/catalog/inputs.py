@@ -20,6 +20,7 @@ WIKI_TEXT = """concat(
   '{{data|', lang, '-', cast(doc_id % 28 + 1 AS string), '}}', chr(10),
   '{{Infobox|{{small|', lang, '}}|x}}', repeat(chr(39), 3), source, repeat(chr(39), 3),
   ' [[', lang, '|', source, ']] [[Lisboa]] [https://example.com/', source, ' site] <!-- nota -->',
+  ' 3 < 5 and 7 > 2 &amp; more&nbsp;x {{a{{b{{c{{d}}}}}}}} {{x|{y}|z}} {| class=t | a || b |}',
   '<ref name="a">r', chr(10), 's</ref>', chr(10), '== ', lang, ' ==', chr(10),
   text, chr(10), '{{Fonte|', source, '}}', chr(10),
   '[[Categoria:', CASE doc_id % 7 WHEN 0 THEN 'Cultura' WHEN 1 THEN 'economia do Brasil'
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, f"{sf}/documents.parquet")
+    """The documents, dealt out to the session's shuffle partitions: the given tables are small single files."""
+    return read_table(spark, f"{sf}/documents.parquet", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +92,8 @@ def thinned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(thinned(spark, sf))
+    """All vectors, split."""
+    return stratified_split(binary(spark, sf))
 
 
 def train(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,12 +61,17 @@ quota AS (SELECT cls, k + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls) <
   THEN 1 ELSE 0 END AS k FROM floors)"""
 
 
-SPLIT = f"""{THIN}, {_quotas("thin", "y", "sum(n) - ceil(CAST(0.2 AS DOUBLE) * sum(n))")},
+def _split(tables: str, source: str) -> str:
+    return f"""{tables}, {_quotas(source, "y", "sum(n) - ceil(CAST(0.2 AS DOUBLE) * sum(n))")},
 spl AS (SELECT t.row_id, t.vec, t.y, CASE WHEN t.rk <= q.k THEN 'train' ELSE 'test' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_place()}) AS rk FROM thin) t
+  FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_place()}) AS rk FROM {source}) t
   JOIN quota q ON q.cls = t.y),
 train AS (SELECT * FROM spl WHERE split = 'train')"""
 
+
+SPLIT = _split(BINARY, "bin")
+THIN_SPLIT = _split(THIN, "thin")
+
 SEMI = f"""{SPLIT},
 known AS (SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY {_place()}) AS rk FROM train WHERE y = 1)
   WHERE rk <= (SELECT floor(CAST({src.LEVEL} AS DOUBLE) * count(*)) FROM train)),
@@ -124,9 +129,10 @@ lof AS (SELECT sn.a AS row_id, sum(lrd.lrd) / (SELECT k FROM kk)
   FROM sn JOIN kd ON kd.b = sn.b JOIN lrd ON lrd.b = sn.b GROUP BY sn.a)"""
 
 
-def _kde(fit: str, rows: str) -> str:
-    return f"""kde AS (SELECT q.row_id, ln((SELECT count(*) FROM {fit})) + len(any_value(q.vec)) * ln(sqrt(2 * pi()))
-    - ln(sum(exp(-list_distance(q.vec, t.vec) * list_distance(q.vec, t.vec) / 2))) AS score
+def _kde(fit: str, rows: str, bandwidth: float = 1.0) -> str:
+    return f"""kde AS (SELECT q.row_id, ln((SELECT count(*) FROM {fit}))
+    + len(any_value(q.vec)) * ln({bandwidth}::DOUBLE * sqrt(2 * pi()))
+    - ln(sum(exp(-pow(list_distance(q.vec, t.vec) / {bandwidth}::DOUBLE, 2) / 2))) AS score
   FROM {rows} q CROSS JOIN {fit} t GROUP BY q.row_id)"""
 
 
@@ -152,6 +158,45 @@ pca AS (SELECT a.row_id, sum(a.z * v * b.z) AS score FROM za a JOIN inverse USIN
   JOIN za b ON b.row_id = a.row_id AND b.i = j GROUP BY a.row_id)"""
 
 
+def _forest(fit: str, rows: str, n_trees: int = 100, psi: int = 256, height: int = 8, seed: int = 42) -> str:
+    """Trees grown level by level from hashed draws, with the scored rows walking along: forest(row_id, score, spread).
+
+    `grow{l}` and `walk{l}` hold the rows that are at a node of level l; `cut{l}` the nodes that are split.
+    """
+    def mean_path(n: str) -> str:
+        return f"""CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n}
+          WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"""
+
+    def number(first: int, digits: int) -> str:
+        return f"(CAST(concat('0x', substr(h, {first}, {digits})) AS BIGINT) / {2 ** (4 * digits)}::DOUBLE)"
+
+    parts = [f"""tree AS (SELECT CAST(unnest(range({n_trees})) AS INTEGER) AS tree),
+grow0 AS (SELECT tree, 1 AS node, row_id, vec FROM (SELECT tree, row_id, vec, row_number() OVER (PARTITION BY tree
+    ORDER BY md5(concat('{seed}:', tree, ':row:', row_id)), row_id) AS rk FROM {fit}, tree) WHERE rk <= {psi}),
+walk0 AS (SELECT tree, 1 AS node, row_id, vec FROM {rows}, tree)"""]
+    for level in range(height):
+        parts.append(f"""box{level} AS (SELECT tree, node, dim, min(x) AS lo, max(x) AS hi FROM (SELECT tree, node,
+    unnest(range(1, len(vec) + 1)) AS dim, unnest(vec) AS x FROM grow{level}) GROUP BY ALL HAVING max(x) > min(x)),
+cut{level} AS (SELECT tree, node, d[1 + floor({number(1, 8)} * len(d))::INT] AS pick,
+    pick.lo + {number(9, 12)} * (pick.hi - pick.lo) AS cut FROM (SELECT tree, node,
+      list(struct_pack(dim := dim, lo := lo, hi := hi) ORDER BY dim) AS d,
+      md5(concat('{seed}:', tree, ':node:', node)) AS h FROM box{level} GROUP BY tree, node))""")
+        for name in ("grow", "walk"):
+            parts.append(f"""{name}{level + 1} AS (SELECT tree, 2 * node + CASE WHEN vec[pick.dim] <= cut THEN 0 ELSE 1 END
+    AS node, row_id, vec FROM {name}{level} JOIN cut{level} USING (tree, node))""")
+        parts.append(f"size{level} AS (SELECT tree, node, count(*) AS n FROM grow{level} GROUP BY tree, node)")
+        parts.append(f"""stop{level} AS (SELECT row_id, tree, {level} + {mean_path('n')} AS path FROM walk{level}
+    JOIN size{level} USING (tree, node) ANTI JOIN cut{level} USING (tree, node))""")
+    parts.append(f"""size{height} AS (SELECT tree, node, count(*) AS n FROM grow{height} GROUP BY tree, node),
+stop{height} AS (SELECT row_id, tree, {height} + {mean_path('coalesce(n, 0)')} AS path FROM walk{height}
+    LEFT JOIN size{height} USING (tree, node))""")
+    every = " UNION ALL ".join(f"SELECT * FROM stop{i}" for i in range(height + 1))
+    parts.append(f"""norm AS (SELECT {mean_path('n')} AS c FROM (SELECT count(*) AS n FROM grow0 WHERE tree = 0)),
+forest AS (SELECT row_id, pow(2, -avg(path / c)) AS score, stddev_pop(path / c) AS spread
+  FROM ({every}), norm GROUP BY row_id)""")
+    return ",\n".join(parts)
+
+
 def _detected(score: str) -> str:
     return f"SELECT s.row_id, s.split, s.y, round(d.score, 6) AS score FROM spl s JOIN {score} d USING (row_id)"
 
@@ -187,14 +232,19 @@ def _replace(text: str, pattern: str, to: str = "") -> str:
     return f"regexp_replace({text}, {_q(pattern.replace('(?id)', '(?i)'))}, {_q(to.replace('$1', chr(92) + '1'))}, 'g')"
 
 
-def _plain(text: str) -> str:
-    for pattern, to in [*tx.MARKUP_BEFORE, *[tx.TEMPLATE] * tx.TEMPLATE_PASSES, *tx.MARKUP_AFTER]:
-        text = _replace(text, pattern, to)
-    return _replace(text, f"^{tx.BLANK}+|{tx.BLANK}+$")
+def _plain(categories: bool) -> str:
+    """What is left of the pages of `inputs.WIKI_TEXT`, written piece by piece and not by patterns."""
+    last = """'Categoria:', CASE doc_id % 7 WHEN 0 THEN 'Cultura' WHEN 1 THEN 'economia do Brasil' WHEN 2 THEN 'Política'
+        WHEN 3 THEN 'Esporte' WHEN 4 THEN 'Saúde' WHEN 5 THEN 'Ciência e Tecnologia' ELSE 'Mundo' END,
+      CASE WHEN doc_id % 3 = 0 THEN 'categoria:Economia' ELSE '' END"""
+    pieces = f"""concat(CASE WHEN doc_id % 11 = 0 THEN concat('#Redirect ', source, chr(10)) ELSE '' END, chr(10), source,
+      ' ', source, ' Lisboa site ', ' 3 < 5 and 7 > 2 & more x   ', chr(10), lang, chr(10), text, chr(10), chr(10),
+      {last if categories else "''"})"""
+    return _replace(pieces, f"^{tx.BLANK}+|{tx.BLANK}+$")
 
 
-def _main_category() -> str:
-    cats = f"regexp_extract_all(text, {_q(tx.CATEGORY)}, 1)"
+def _main_category(text: str = "text") -> str:
+    cats = f"regexp_extract_all({text}, {_q(tx.CATEGORY)}, 1)"
     cases = " ".join(f"WHEN len(list_filter({cats}, lambda c: contains(lower(c), {_q(p.lower())}))) > 0 THEN {_q(p)}"
                      for p in tx.PRIORITY)
     return f"CASE {cases} END"
@@ -202,7 +252,6 @@ def _main_category() -> str:
 
 NOT_REDIRECT = "NOT regexp_matches(text, '(?i)#redirect \\[\\[.*?\\]\\]')"
 NOT_EMPTY = f"regexp_matches(text, {_q('[^' + tx.BLANK[1:-1] + ']')})"
-BODY = _replace(_replace(_replace("text", tx.CATEGORY), tx.SOURCE), tx.DATE)
 LONG = "SELECT row_id, CAST(unnest(range(len(vec))) AS INTEGER) AS dim, round(unnest(vec), 6) AS value"
 TOKENS = f"""{DOC}, words AS (SELECT row_id, unnest({_words('text')}) AS token,
   CAST(unnest(range(len({_words('text')}))) AS INTEGER) AS pos FROM doc),
@@ -221,7 +270,7 @@ ORACLE: dict[str, str] = {
     "csv_corpus": f"WITH {DOC} SELECT row_id, text, toxic AS label FROM doc",
     "xml_pages": f"WITH {WIKI} SELECT row_id, title, ns, text FROM wiki",
     "artifact_store": f"""WITH {DOC_VECTORS}, stored AS (SELECT row_id, y, list_transform(vec, lambda v: v::FLOAT::DOUBLE)
-        AS vec FROM vecs) {LONG}, CAST(y AS VARCHAR) AS label FROM stored""",
+        AS vec FROM vecs) {LONG}, y AS label FROM stored""",
     "cached_preparation": f"WITH {DOC} SELECT true AS first_built, false AS second_built, count(*) AS n_rows FROM doc",
     "combine": f"""{LONG}, label FROM (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vec, label
         FROM embeddings)""",
@@ -231,7 +280,7 @@ ORACLE: dict[str, str] = {
     "result_readback": f"""WITH {DOC}, {RES} SELECT model, dataset, 2 * count(*) AS n, round(avg(test_auc), 6) AS mean_auc
         FROM res WHERE model IN ('m0', 'm2') AND dataset = 'en' GROUP BY model, dataset""",
     "labelled_index_log": f"""WITH {_grid()} SELECT concat('run-', contamination, '-', round) AS run_id, contamination,
-          round, CAST(0 AS INTEGER) AS part, count(*) AS n_indices,
+          round, count(*) AS n_indices,
           concat('[', string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id), ']') AS indices
         FROM gridded WHERE y_semi = 1 GROUP BY contamination, round""",
     "namespace_filter": f"WITH {WIKI} SELECT row_id, title FROM wiki WHERE ns = 0",
@@ -245,11 +294,12 @@ ORACLE: dict[str, str] = {
     "extract_dates": f"""WITH {WIKI} SELECT row_id,
         array_to_string(regexp_extract_all(text, {_q(tx.DATE)}, 1), '|') AS dates,
         {_replace('text', tx.DATE)} AS text FROM wiki""",
-    "strip_markup": f"WITH {WIKI} SELECT row_id, {_plain('text')} AS text FROM wiki",
+    "strip_markup": f"SELECT doc_id AS row_id, {_plain(True)} AS text FROM documents",
     "drop_empty": f"""WITH t AS (SELECT doc_id AS row_id, {src.MAYBE_EMPTY} AS text FROM documents)
         SELECT row_id, text FROM t WHERE {NOT_EMPTY}""",
-    "wiki_articles": f"""WITH {WIKI}, a AS (SELECT row_id, {_plain(BODY)} AS text, {_main_category()} AS label
-          FROM wiki WHERE ns = 0 AND {NOT_REDIRECT})
+    "wiki_articles": f"""WITH {WIKI}, a AS (SELECT row_id, {_plain(False)} AS text, {_main_category("page")} AS label
+          FROM (SELECT w.* EXCLUDE text, w.text AS page, d.* FROM wiki w JOIN documents d ON d.doc_id = w.row_id)
+          WHERE ns = 0 AND {NOT_REDIRECT.replace("text", "page")})
         SELECT row_id, text, label FROM a WHERE label IS NOT NULL AND {NOT_EMPTY}""",
     "detect_columns": "SELECT doc_id AS row_id, text, lang AS label FROM documents",
     "join_list_text": "SELECT doc_id AS row_id, array_to_string(string_split(text, ' '), ' ') AS text, lang AS label "
@@ -290,6 +340,9 @@ ORACLE: dict[str, str] = {
         PARTITION BY y ORDER BY {_place()}) <= 5 THEN 1 ELSE 0 END AS y_semi FROM train""",
     "partial_labels_c": f"WITH {SEMI} SELECT row_id, y, y_semi FROM sco WHERE split = 'train'",
     "partial_labels_grid": f"WITH {_grid()} SELECT row_id, y, contamination, round, y_semi FROM gridded",
+    "iforest": f"WITH {SPLIT}, {_forest('train', 'spl')} {_detected('forest')}",
+    "iforest_uncertainty": f"""WITH {SPLIT}, {_forest('train', 'spl')} SELECT s.row_id, s.split, s.y,
+        round(d.score, 6) AS score, round(d.spread, 6) AS uncertainty FROM spl s JOIN forest d USING (row_id)""",
     "hbos": f"WITH {SPLIT}, {_hbos('train', 'spl')} {_detected('hbos')}",
     "lof": f"WITH {SPLIT}, {_lof('train', 'spl')} {_detected('lof')}",
     "kde": f"WITH {SPLIT}, {_kde('train', 'spl')} {_detected('kde')}",
@@ -300,6 +353,13 @@ ORACLE: dict[str, str] = {
         SELECT row_id, y, round(score, 6) AS score FROM vecs JOIN lof USING (row_id)""",
     "kde_documents": f"""WITH {DOC_VECTORS}, {_kde('vecs', 'vecs')}
         SELECT row_id, y, round(score, 6) AS score FROM vecs JOIN kde USING (row_id)""",
+    "lof_cells": f"""WITH {DOC_VECTORS}, {_lof('vecs', 'vecs')}
+        SELECT row_id, y, round(score, 6) AS score FROM vecs JOIN lof USING (row_id)""",
+    "kde_cells": f"""WITH {DOC_VECTORS}, {_kde('vecs', 'vecs', 0.2)}
+        SELECT row_id, y, round(score, 6) AS score FROM vecs JOIN kde USING (row_id)""",
+    "keyless_corpus": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, text, lang AS label FROM documents",
+    "positional_artifacts": f"""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, label,
+          CAST(embedding AS DOUBLE[]) AS vec, concat('text ', vec_id) AS text FROM embeddings) {LONG}, text, label FROM e""",
     "roc_auc": f"WITH {SEMI}, {_metrics('sco', 'split')} SELECT split, round(auc, 6) AS auc FROM auc",
     "average_precision": f"WITH {SEMI}, {_metrics('sco', 'split')} SELECT split, round(ap, 6) AS ap FROM ap",
     "split_sizes": f"""WITH {SPLIT} SELECT count(*) FILTER (WHERE split = 'train') AS train_size,
@@ -321,7 +381,7 @@ ORACLE: dict[str, str] = {
         s AS (SELECT 1 AS one, y, score FROM thin JOIN hbos USING (row_id)), {_metrics('s', 'one')}
         SELECT p::BIGINT AS n_pos, n::BIGINT AS n_neg, round(auc, 6) AS auc, round(ap, 6) AS ap
         FROM totals JOIN auc USING (one) JOIN ap USING (one)""",
-    "bench_exact": f"""WITH {SPLIT}, {_hbos('train', 'spl')}, {_lof('train', 'spl')}, {_kde('train', 'spl')},
+    "bench_exact": f"""WITH {THIN_SPLIT}, {_hbos('train', 'spl')}, {_lof('train', 'spl')}, {_kde('train', 'spl')},
         sco AS (SELECT model, split, y, d.score FROM spl JOIN (SELECT 'HBOS' AS model, row_id, score FROM hbos
           UNION ALL SELECT 'LOF', row_id, score FROM lof UNION ALL SELECT 'KDE', row_id, score FROM kde) d
           USING (row_id)),
@@ -336,16 +396,16 @@ ORACLE: dict[str, str] = {
           round(max(auc) FILTER (split = 'test'), 6) AS test_auc, CAST(0 AS DOUBLE) AS train_ap_semi,
           round(max(ap) FILTER (split = 'train'), 6) AS train_ap, round(max(ap) FILTER (split = 'test'), 6) AS test_ap
         FROM m GROUP BY model""",
-    "score_histogram": f"""WITH {THIN},
-        s AS (SELECT CASE WHEN y = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, vec[1] AS s FROM thin),
+    "score_histogram": f"""WITH {BINARY},
+        s AS (SELECT CASE WHEN y = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, vec[1] AS s FROM bin),
         e AS (SELECT min(s) AS low, (max(s) - min(s)) / 30 AS width FROM s),
         t AS (SELECT label, count(*) AS total FROM s GROUP BY label),
         c AS (SELECT label, CAST(least(floor((s - low) / width), 29) AS INTEGER) AS bin, count(*) AS n
           FROM s, e GROUP BY ALL)
         SELECT label, bin, round(low + bin * width, 6) AS lo, round(low + (bin + 1) * width, 6) AS hi, n,
           round(n / (total * width), 6) AS density FROM c JOIN t USING (label), e""",
-    "score_density": f"""WITH {THIN},
-        s AS (SELECT CASE WHEN y = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, vec[1] AS s FROM thin),
+    "score_density": f"""WITH {BINARY},
+        s AS (SELECT CASE WHEN y = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, vec[1] AS s FROM bin),
         t AS (SELECT label, count(*) AS n, min(s) AS lo, max(s) AS hi,
           stddev_samp(s) * pow(count(*), CAST(-0.2 AS DOUBLE)) AS bw FROM s GROUP BY label),
         g AS (SELECT label, n, bw, point, lo + point * (hi - lo) / 199 AS x

@@ -22,7 +22,7 @@ from . import inputs as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-EPOCHS = 20
+EPOCHS = 100  # as the configured runs
 
 
 def query(fn: Query) -> Query:
@@ -61,7 +61,32 @@ def csv_corpus(spark, sf):
      .select("row_id", F.col("text").alias("tweet_text"), F.col("toxic").alias("sentiment"))
      .write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
                     ignoreTrailingWhiteSpace=False).csv(path))
-    return corpora.read_delimited(spark, path, "row_id long, tweet_text string, sentiment int", keep=["row_id"])
+    return corpora.read_delimited(spark, path, "row_id long, tweet_text string, sentiment int", keep=["row_id"],
+                                  multiLine=True)
+
+
+@query
+def keyless_corpus(spark, sf):
+    """Texts and labels without ids, stored in the order of their ids: the position is the id."""
+    path = src.fresh_folder(spark, "keyless")
+    docs = src.table(spark, sf, "documents").orderBy("doc_id").select("text", F.col("lang").alias("label"))
+    docs.write.parquet(path)
+    return tx.as_corpus(corpora.read_keyed(spark, path), "row_id")
+
+
+@query
+def positional_artifacts(spark, sf):
+    """Three files aligned by position, cut into different numbers of parts."""
+    root = src.fresh_folder(spark, "positional")
+    rows = src.table(spark, sf, "embeddings")
+    wide = [F.col("embedding")[i].alias(str(i)) for i in range(64)]
+    for name, parts, columns in (("texts", 3, [F.concat(F.lit("text "), "vec_id").alias("text")]),
+                                 ("labels", 1, ["label"]), ("embeddings", 5, wide)):
+        rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").select(*columns).write.parquet(
+            f"{root}/{name}")
+    corpus, vectors = artifacts.read_positional(spark, *[f"{root}/{n}" for n in ("texts", "labels", "embeddings")])
+    combined = artifacts.combine(corpus, vectors)
+    return src.long_vectors(combined).join(combined.select("row_id", "text", "label"), "row_id")
 
 
 @query
@@ -386,6 +411,17 @@ def kde_documents(spark, sf):
     return _detect_documents(KDE(), spark, sf)
 
 
+@query
+def lof_cells(spark, sf):
+    """Document vectors in small cells, so that bounds decide which cells are searched."""
+    return _detect_documents(LOF(cell_rows=32), spark, sf)
+
+
+@query
+def kde_cells(spark, sf):
+    return _detect_documents(KDE(bandwidth=0.2, cell_rows=32), spark, sf)
+
+
 # --- metrics
 
 
@@ -439,8 +475,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in df.columns if "_auc" in c or "_ap" in c})
 
 
-def _short_models() -> tuple[dict, dict]:
-    """The configured models with short training."""
+def _configured_models() -> tuple[dict, dict]:
+    """The configured models."""
     make = DETECTORS
     plain = {"IForest": make["iforest"], "LOF": make["lof"], "DeepSVDD": make["deep_svdd"], "OCSVM": make["ocsvm"],
              "OneClassSVM": make["oneclass_svm"], "AutoEncoder": make["autoencoder"], "VAE": make["vae"],
@@ -452,7 +488,7 @@ def _short_models() -> tuple[dict, dict]:
 @query
 def bench_unsup(spark, sf):
     data = benchmark.prepare(src.vectors(spark, sf), src.SHARE)
-    rows = benchmark.run_unsupervised(data, _short_models()[0], "embeddings", _run_id("unsup"), parallel=4)
+    rows = benchmark.run_unsupervised(data, _configured_models()[0], "embeddings", _run_id("unsup"), parallel=4)
     return _rounded(rows)
 
 
@@ -467,7 +503,7 @@ def bench_exact(spark, sf):
 @query
 def bench_semi(spark, sf):
     data = benchmark.prepare(src.vectors(spark, sf), src.SHARE)
-    rows, _ = benchmark.run_semisupervised(data, _short_models()[1], "embeddings", levels=(0.05, 0.1), n_rounds=1,
+    rows, _ = benchmark.run_semisupervised(data, _configured_models()[1], "embeddings", levels=(0.05, 0.1), n_rounds=1,
                                            run_id=_run_id, parallel=4)
     return _rounded(rows)
 
@@ -480,16 +516,34 @@ def bench_grid(spark, sf):
 
     pairs = {"embeddings_given": lambda: src.vectors(spark, sf), "toxic_hashed64": hashed("toxic", 64),
              "quality_hashed32": hashed("quality", 32)}
-    rows = benchmark.run_grid(pairs, {"HBOS": HBOS, "IForest": IsolationForest}, {"MLP": DETECTORS["mlp"]},
-                              run_id=_run_id, spark=spark, parallel=4)
+    rows, _ = benchmark.run_grid(pairs, {"HBOS": HBOS, "IForest": IsolationForest}, {"MLP": DETECTORS["mlp"]},
+                                 run_id=_run_id, spark=spark, parallel=4, uncertainty=["IForest"])
     return _rounded(rows)
 
 
+@query
+def grid_tables(spark, sf):
+    """Both tables that a grid over pairs of datasets and encoders leaves behind: metric rows and revealed labels."""
+    root = src.fresh_folder(spark, "grid")
+    pairs = enc.encoder_pairs(local_table(spark, [("toxic", "en"), ("quality", "de")], "name string, lang string"),
+                              local_table(spark, [("64", "multi"), ("32", "en")], "name string, lang string"))
+
+    def load(dataset: str, encoder: str) -> DataFrame:
+        vectors = enc.encode_hashed(src.labelled_documents(spark, sf), int(encoder))
+        return vectors.select("row_id", "embedding", F.col(dataset).alias("label"))
+
+    benchmark.run_study(load, pairs, spark, unsupervised={"HBOS": HBOS}, semisupervised={}, levels=(0.02, 0.04),
+                        n_rounds=2, root=root, run_id=_run_id, normal_labels={"quality/64": [1, 2]})
+    revealed = results.read_log(spark, root).groupBy("run_id").agg(F.count("*").alias("n"), F.min("row_id").alias("low"))
+    done = results.read_results(spark, root).select("run_id", F.col("train_size").alias("n"), F.lit(-1).cast("long").alias("low"))
+    return revealed.unionByName(done)
+
+
 # --- reporting tables
 
 
 def _first_value(spark: SparkSession, sf: str) -> DataFrame:
-    return src.thinned(spark, sf).select("y", F.col("embedding")[0].cast("double").alias("score"))
+    return src.binary(spark, sf).select("y", F.col("embedding")[0].cast("double").alias("score"))
 
 
 @query

@@ -12,8 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# Rows a table may have to be sent to every executor, and hot keys that get the same treatment.
-SMALL_ROWS = 100_000
+# Keys that hold at least this many rows are matched by broadcast, at most so many of them.
 HOT_KEYS = 1_000
 HOT_ROWS = 1_000_000
 
@@ -62,17 +61,6 @@ def write_out(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame, core_bytes: int = 32 << 20) -> DataFrame:
-    """Deal a small table out to all cores ahead of costly work on each row.
-
-    A file of a few megabytes is one task however long its rows take. Tables that fill the cores anyway
-    pass unchanged, so nothing large is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * core_bytes else df
-
-
 def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
     """A driver-made table as a local relation (no job to scan it)."""
     if isinstance(schema, str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -16,14 +17,18 @@ PRIORITY = ("Política", "Economia", "Saúde", "Ciência e tecnologia", "Cultura
 
 BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
-# Markup and what it leaves behind, in the order applied; templates go innermost first.
-TEMPLATE = (r"\{\{[^{}]*\}\}", "")
+# Markup and what it leaves behind, in the order applied. Templates and tables go innermost first; their content may
+# hold single braces and bars. A tag starts with a letter, so that "3 < 5" stays.
+NESTED = (r"\{\{(?:[^{}]|\{[^{}]|\}[^{}])*\}\}", r"\{\|(?:[^{|]|\{[^{|]|\|+[^{|}])*\|+\}")
+OPENING = (r"\{\{", r"\{\|")
 MARKUP_BEFORE = ((r"(?s)<!--.*?-->", ""), (r"(?i)<ref[^>]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""),
-                 (r"<[^>]*>", ""))
+                 (r"</?[A-Za-z][^<>]*>", ""))
 MARKUP_AFTER = ((r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"),
                 (r"\[https?://[^ \]]+ ([^\]]*)\]", "$1"), (r"\[https?://[^ \]]+\]", ""), (r"'{2,}", ""),
                 (r"(?m)^=+[ \t]*([^=\n]*?)[ \t]*=+[ \t]*$", "$1"))
-TEMPLATE_PASSES = 3
+# The named references that pages use; the ampersand comes last.
+ENTITIES = (("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&quot;", '"'), ("&apos;", "'"),
+            ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def is_redirect(text: str) -> Column:
@@ -63,13 +68,27 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
-def strip_markup(text: Column, passes: int = TEMPLATE_PASSES) -> Column:
-    """Wiki markup to plain text by a fixed chain of replacements.
+def _without(pattern: str, opening: str) -> Callable[[Column], Column]:
+    """Remove innermost matches until none is left: there are no more levels than openings."""
+    def once(t: Column, _: Column) -> Column:
+        return F.regexp_replace(t, pattern, "")
 
-    An approximation of a full markup parser: templates nested deeper than `passes` stay in the text.
-    """
-    chain = [*MARKUP_BEFORE, *[TEMPLATE] * passes, *MARKUP_AFTER]
-    return stripped(reduce(lambda t, step: F.regexp_replace(t, *step), chain, text))
+    def removed(text: Column) -> Column:
+        levels = F.regexp_count(text, F.lit(opening))
+        return F.when(levels == 0, text).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), text, once))
+
+    return removed
+
+
+def strip_markup(text: Column) -> Column:
+    """Wiki markup to plain text by a chain of replacements: an approximation of a full markup parser."""
+    text = reduce(lambda t, step: F.regexp_replace(t, *step), MARKUP_BEFORE, text)
+    for pattern, opening in zip(NESTED, OPENING):
+        # The lambda binds the text so far, so that it is computed once.
+        text = F.get(F.transform(F.array(text), _without(pattern, opening)), F.lit(0))
+    text = reduce(lambda t, step: F.regexp_replace(t, *step), MARKUP_AFTER, text)
+    return stripped(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text))
 
 
 def not_empty(text: str) -> Column:

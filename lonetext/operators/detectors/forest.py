@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...common import matrix
 from .base import Detector
@@ -18,16 +20,24 @@ def mean_path(n):
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
+def draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """The two random numbers of a node, in [0, 1), from a hash of its name: any engine can repeat them."""
+    digits = hashlib.md5(f"{seed}:{tree}:node:{node}".encode()).hexdigest()
+    return int(digits[:8], 16) / 2.0 ** 32, int(digits[8:20], 16) / 2.0 ** 48
+
+
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Split one tree's sample at random until points are alone or the height limit is reached."""
+    """Split one tree's sample at random until points are alone or the height limit is reached.
+
+    Nodes are numbered as in a heap: the children of node n are 2n and 2n + 1.
+    """
     tree = int(pdf["tree"].iloc[0])
-    x = matrix(pdf.sort_values(["place", "row_id"])["embedding"])
-    rng = np.random.default_rng([seed, tree])
+    x = matrix(pdf["embedding"])
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+    todo = [(np.arange(len(x)), 0, 1, -1, 0)]
     while todo:
-        idx, depth, parent, side = todo.pop()
+        idx, depth, name, parent, side = todo.pop()
         node = len(nodes)
         nodes.append([tree, node, -1, 0.0, -1, -1, len(idx)])
         if parent >= 0:
@@ -38,11 +48,12 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
         varied = np.flatnonzero(hi > lo)
         if not len(varied):
             continue
-        feature = int(rng.choice(varied))
-        threshold = float(rng.uniform(lo[feature], hi[feature]))
+        which, where = draws(seed, tree, name)
+        feature = int(varied[int(which * len(varied))])
+        threshold = float(lo[feature] + where * (hi[feature] - lo[feature]))
         below = x[idx, feature] <= threshold
         nodes[node][2:4] = feature, threshold
-        todo += [(idx[below], depth + 1, node, 4), (idx[~below], depth + 1, node, 5)]
+        todo += [(idx[below], depth + 1, 2 * name, node, 4), (idx[~below], depth + 1, 2 * name + 1, node, 5)]
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "low", "high", "size"])
 
 
@@ -68,15 +79,15 @@ class IsolationForest(Detector):
 
     def _nodes(self, train: DataFrame, share: float) -> pd.DataFrame:
         """All node rows of all trees, at most 2 * psi - 1 per tree."""
-        seed = F.lit(self.seed)
+        def place(tree: Column) -> Column:
+            return F.md5(F.concat_ws(":", F.lit(str(self.seed)), tree.cast("string"), F.lit("row"),
+                                     F.col("row_id").cast("string")))
+
         trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
-        if share < 1:
-            span = 1 << 40
-            kept = F.filter(trees, lambda t: F.pmod(F.xxhash64("row_id", t, seed), F.lit(span)) < int(share * span))
-        else:
-            kept = trees
+        # Places are hexadecimal digits, so a share of them is those below a string.
+        kept = F.filter(trees, lambda t: place(t) < f"{int(share * (1 << 48)):012x}") if share < 1 else trees
         candidates = train.select("row_id", "embedding", F.explode_outer(kept).alias("tree")).filter(
-            F.col("tree").isNotNull()).withColumn("place", F.xxhash64("row_id", "tree", seed))
+            F.col("tree").isNotNull()).withColumn("place", place(F.col("tree")))
         # Samples are small but growing a tree is work: keep trees in separate tasks.
         tasks = min(self.n_trees, train.sparkSession.sparkContext.defaultParallelism * 2)
         candidates = candidates.repartition(tasks, "tree")

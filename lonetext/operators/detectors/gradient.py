@@ -14,8 +14,8 @@ from ...common import matrix, write_out
 MAX_PARTIALS = 64
 
 
-def sum_over_rows(table: DataFrame, per_batch: Callable, state, partials: int) -> np.ndarray:
-    """Sum of `per_batch(state, batch)` vectors over all Arrow batches of the table."""
+def sum_over_rows(table: DataFrame, per_batch: Callable, state, partials: int) -> np.ndarray | None:
+    """Sum of `per_batch(state, batch)` vectors over all Arrow batches of the table; None without rows."""
     shared = table.sparkSession.sparkContext.broadcast(state)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,9 +41,7 @@ def sum_over_rows(table: DataFrame, per_batch: Callable, state, partials: int) -
         sums = sums.repartition(MAX_PARTIALS).mapInPandas(merge, "total array<double>")
     rows = sums.collect()
     shared.unpersist()
-    if not rows:
-        raise ValueError("no training rows")
-    return np.sum([r.total for r in rows], axis=0)
+    return np.sum([r.total for r in rows], axis=0) if rows else None
 
 
 class GradientFit:
@@ -62,13 +60,14 @@ class GradientFit:
         if self.batches > 1:
             place = F.pmod(F.xxhash64("row_id", F.lit(self.seed)), F.lit(self.batches)).cast("int")
             rows = write_out(rows.withColumn("batch", place), "training", ["batch"])
-        # A task yields one weight-sized sum, so no more tasks than the cores can use.
-        self.partials = min(rows.rdd.getNumPartitions(), 2 * train.sparkSession.sparkContext.defaultParallelism)
-        self.table = rows.coalesce(self.partials)
+        self.table, self.partials = rows, rows.rdd.getNumPartitions()
         return self
 
     def sum(self, per_batch: Callable, state) -> np.ndarray:
-        return sum_over_rows(self.table, per_batch, state, self.partials)
+        total = sum_over_rows(self.table, per_batch, state, self.partials)
+        if total is None:
+            raise ValueError("no training rows")
+        return total
 
     def minimise(self, loss: Callable, theta: np.ndarray) -> np.ndarray:
         """`loss(theta, batch, step)` returns the summed loss and its gradient for one Arrow batch."""
@@ -84,9 +83,8 @@ class GradientFit:
                     value, gradient = loss(state, batch, now)
                     return np.concatenate([[len(batch), value], gradient])
 
-                try:
-                    total = sum_over_rows(rows, per_batch, theta, self.partials)
-                except ValueError:
+                total = sum_over_rows(rows, per_batch, theta, self.partials)
+                if total is None:
                     continue  # a mini-batch without rows
                 step += 1
                 gradient = total[2:] / total[0] + self.decay * theta
@@ -96,7 +94,9 @@ class GradientFit:
                 theta = theta - self.rate * (first / (1 - 0.9 ** step)) / hat
                 epoch_rows += total[0]
                 epoch_loss += total[1]
-            self.history.append(epoch_loss / max(epoch_rows, 1))
+            if not epoch_rows:
+                raise ValueError("no training rows")
+            self.history.append(epoch_loss / epoch_rows)
         return theta
 
 

@@ -14,9 +14,18 @@ def majority_label(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def label_binary(df: DataFrame, label: str = "label", normal_label=None) -> DataFrame:
-    """Add `y`: 0 for the normal class (majority unless named), 1 for all else, NULL labels included."""
-    normal = majority_label(df, label).scalar() if normal_label is None else F.lit(normal_label)
-    return df.withColumn("y", F.when(F.col(label) == normal, 0).otherwise(1))
+    """Add `y`: 0 for the normal class (majority unless named, or any of a list), 1 for all else, NULL labels included.
+
+    The majority is looked up once and enters the plan as a value, so later passes do not count the labels again.
+    """
+    if normal_label is None:
+        found = majority_label(df, label).first()
+        if found is None:
+            return df.withColumn("y", F.lit(1))
+        normal_label = found[0]
+    several = isinstance(normal_label, (list, tuple, set, frozenset))
+    normal = F.col(label).isin(list(normal_label)) if several else F.col(label) == F.lit(normal_label)
+    return df.withColumn("y", F.when(normal, 0).otherwise(1))
 
 
 def class_report(df: DataFrame, label: str = "label") -> DataFrame:

@@ -33,7 +33,25 @@ def distinct_vectors(df: DataFrame, row_id: str = "row_id", embedding: str = "em
             .agg(F.min(row_id).alias("loc"), F.count("*").alias("w")))
 
 
+SLACK = 1e-6
+
+
+def _slack(x: np.ndarray, y: np.ndarray) -> float:
+    """How far a distance by the product form may be off, with room to spare: rounding grows with the norms."""
+    return SLACK * float(np.sqrt((x * x).sum(1).max(initial=0.0) + (y * y).sum(1).max(initial=0.0)))
+
+
+def _by_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances without cancellation, one dimension at a time."""
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        step = x[:, k, None] - y[None, :, k]
+        out += step * step
+    return out
+
+
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by the product form, of vectors that are centred beforehand."""
     out = x @ y.T
     out *= -2.0
     out += (x * x).sum(1)[:, None]
@@ -57,6 +75,8 @@ class Cells:
         order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("loc").cast("string")))
         pivots = found.orderBy(order, "loc").limit(n_cells).select("vec").collect()
         self.pivots = np.array([r.vec for r in pivots], dtype=np.float64)
+        self.centre = self.pivots.mean(axis=0)
+        self.pivots -= self.centre
         if n_cells == 1:
             placed = found.withColumn("cell", F.lit(0))
             self.radius, self.weight = np.array([np.inf]), np.array([self.rows])
@@ -87,14 +107,15 @@ class Cells:
         return counted.withColumn(part, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
 
     def _nearest_pivot(self) -> Callable:
-        pivots = self.spark.sparkContext.broadcast(self.pivots)
+        pivots, centre = self.spark.sparkContext.broadcast(self.pivots), self.centre
 
         @F.pandas_udf("cell int, distance double")
         def nearest(vec: pd.Series) -> pd.DataFrame:
-            d2 = _squared(matrix(vec), pivots.value)
+            x = matrix(vec) - centre
+            d2 = _squared(x, pivots.value)
             cell = d2.argmin(1)
             # Slack keeps bounds safe against the rounding of the product form.
-            distance = np.sqrt(d2[np.arange(len(cell)), cell]) + 1e-6
+            distance = np.sqrt(d2[np.arange(len(cell)), cell]) + _slack(x, pivots.value)
             return pd.DataFrame({"cell": cell.astype(np.int32), "distance": distance})
 
         return nearest
@@ -149,54 +170,57 @@ class Cells:
         return self._nearest_in(planned, m, False)
 
     def _reach(self, home: DataFrame, m: int) -> DataFrame:
-        schema = "qid long, reach double"
+        schema, centre = "qid long, reach double", self.centre
 
         def bound(batch: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
             if not len(batch):
                 return pd.DataFrame({"qid": [], "reach": []})
             reach = np.full(len(batch), np.inf)
             if len(piece) >= m:
-                d2 = _squared(matrix(batch["query"]), matrix(piece["vec"]))
-                reach = np.sqrt(np.partition(d2, m - 1, axis=1)[:, m - 1]) + 1e-6
+                x, y = matrix(batch["query"]) - centre, matrix(piece["vec"]) - centre
+                reach = np.sqrt(np.partition(_squared(x, y), m - 1, axis=1)[:, m - 1]) + _slack(x, y)
             return pd.DataFrame({"qid": batch["qid"], "reach": reach})
 
         return self._tiles(home, bound, schema, every_piece=False).groupBy("qid").agg(F.min("reach").alias("reach"))
 
     def _cells_within(self) -> Callable:
         shared = self.spark.sparkContext.broadcast(
-            (self.pivots, self.radius, np.sqrt(_squared(self.pivots, self.pivots))))
+            (self.pivots, self.radius, np.sqrt(_squared(self.pivots, self.pivots)), self.centre))
 
         @F.pandas_udf("array<int>")
         def within(vec: pd.Series, reach: pd.Series) -> pd.Series:
-            pivots, radius, apart = shared.value
-            d2 = _squared(matrix(vec), pivots)
+            pivots, radius, apart, centre = shared.value
+            x = matrix(vec) - centre
+            d2, slack = _squared(x, pivots), _slack(x, pivots)
             home = d2.argmin(1)
             low = np.sqrt(d2) - radius[None, :]
             # A location of another cell lies beyond the plane halfway between the two pivots.
             gap = apart[home]
-            plane = (d2 - d2[np.arange(len(home)), home][:, None]) / (2 * np.where(gap > 0, gap, np.inf))
-            near = np.maximum(low, plane) <= reach.to_numpy()[:, None] + 1e-6
+            # Squared distances are off by slack^2 at most, which a small gap magnifies.
+            plane = (d2 - d2[np.arange(len(home)), home][:, None] - 2 * slack * slack) / (
+                2 * np.where(gap > slack, gap, np.inf))
+            near = np.maximum(low, plane) <= reach.to_numpy()[:, None] + slack
             near &= np.isfinite(radius)[None, :]
             return pd.Series([np.flatnonzero(row).astype(np.int32) for row in near])
 
         return within
 
     def _nearest_in(self, queries: DataFrame, m: int, complete: bool) -> DataFrame:
-        schema = "qid long, nbr long, w long, d double, place int"
+        schema, centre = "qid long, nbr long, w long, d double, place int", self.centre
 
         def best(batch: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
             if not len(batch) or not len(piece):
                 return pd.DataFrame({"qid": [], "nbr": [], "w": [], "d": [], "place": []})
-            y, loc, w = matrix(piece["vec"]), piece["loc"].to_numpy(), piece["w"].to_numpy()
+            y, loc, w = matrix(piece["vec"]) - centre, piece["loc"].to_numpy(), piece["w"].to_numpy()
             k = min(m, len(loc))
             out = []
             for start in range(0, len(batch), BLOCK_ROWS):
                 rows = batch.iloc[start:start + BLOCK_ROWS]
-                x = matrix(rows["query"])
-                d2 = _squared(x, y)
-                cut = rows["reach"].to_numpy() + 1e-6
+                x = matrix(rows["query"]) - centre
+                d2, slack = _squared(x, y), _slack(x, y)
+                cut = rows["reach"].to_numpy() + 2 * slack
                 if not np.isfinite(cut).all():
-                    cut = np.minimum(cut, np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + 1e-6)
+                    cut = np.minimum(cut, np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + 2 * slack)
                 r, c = np.nonzero(d2 <= (cut * cut)[:, None])
                 d = np.sqrt(((x[r] - y[c]) ** 2).sum(1))
                 order = np.lexsort((loc[c], np.round(d, TIE_DECIMALS), r))
@@ -225,16 +249,19 @@ class Cells:
             counting = self._cells_that_count(bandwidth, tolerance)
             planned = write_out(queries.select("qid", "vec", counting("vec").alias("cells"),
                                                F.lit(np.inf).alias("reach")), "visits")
-        scale = 2.0 * bandwidth * bandwidth
+        scale, centre = 2.0 * bandwidth * bandwidth, self.centre
 
         def partial(batch: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
             if not len(batch) or not len(piece):
                 return pd.DataFrame({"qid": [], "top": [], "total": []})
-            y, log_w = matrix(piece["vec"]), np.log(piece["w"].to_numpy())
+            y, log_w = matrix(piece["vec"]) - centre, np.log(piece["w"].to_numpy())
             out = []
             for start in range(0, len(batch), BLOCK_ROWS):
                 rows = batch.iloc[start:start + BLOCK_ROWS]
-                logs = log_w - _squared(matrix(rows["query"]), y) / scale
+                x = matrix(rows["query"]) - centre
+                # The product form is off by about 1e-4 * slack^2; where the bandwidth feels that, take differences.
+                squared = _by_difference if _slack(x, y) ** 2 * 1e-4 > tolerance * scale else _squared
+                logs = log_w - squared(x, y) / scale
                 top = logs.max(1)
                 logs -= top[:, None]
                 total = np.exp(logs, out=logs).sum(1)
@@ -250,17 +277,18 @@ class Cells:
                      .alias("log_sum")))
 
     def _cells_that_count(self, bandwidth: float, tolerance: float) -> Callable:
-        shared = self.spark.sparkContext.broadcast((self.pivots, self.radius, self.weight))
+        shared = self.spark.sparkContext.broadcast((self.pivots, self.radius, self.weight, self.centre))
 
         @F.pandas_udf("array<int>")
         def counting(vec: pd.Series) -> pd.Series:
-            pivots, radius, weight = shared.value
+            pivots, radius, weight, centre = shared.value
             filled = weight > 0
             log_w = np.log(np.where(filled, weight, 1.0))
-            d = np.sqrt(_squared(matrix(vec), pivots))
+            x = matrix(vec) - centre
+            d, slack = np.sqrt(_squared(x, pivots)), _slack(x, pivots)
             scale = 2.0 * bandwidth * bandwidth
-            most = log_w - np.maximum(d - radius - 1e-6, 0) ** 2 / scale
-            least = np.where(filled, log_w - (d + radius + 1e-6) ** 2 / scale, -np.inf)
+            most = log_w - np.maximum(d - radius - slack, 0) ** 2 / scale
+            least = np.where(filled, log_w - (d + radius + slack) ** 2 / scale, -np.inf)
             top = least.max(1, keepdims=True)
             floor = top + np.log(np.exp(least - top).sum(1, keepdims=True))
             keep = (most >= floor + np.log(tolerance / len(pivots))) & filled

@@ -12,10 +12,10 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..common import collect_bounded, join_null_safe, local_table
+from ..common import join_null_safe, local_table, write_out
+from .ranges import with_rank
 
 PREFIX_DIGITS = 4
-MAX_CLASSES = 100_000
 
 
 def hash_place(seed: int | Column, row_id: str) -> Column:
@@ -23,87 +23,89 @@ def hash_place(seed: int | Column, row_id: str) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), F.col(row_id).cast("string")))
 
 
-def group_sizes(df: DataFrame, by: Sequence[str]) -> list[tuple]:
-    """(group values..., rows) of every group, ordered by group."""
-    counts = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by)
-    return [tuple(r) for r in collect_bounded(counts, MAX_CLASSES, f"groups of {', '.join(by)}")]
+def normal_and_anomalous(df: DataFrame, y: str) -> tuple[int, int]:
+    """Rows with y = 0 and with y = 1."""
+    return tuple(df.agg(F.count_if(F.col(y) == 0), F.count_if(F.col(y) == 1)).first())
 
 
-def _last_places(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_id: str,
+def class_sizes(df: DataFrame, by: str) -> DataFrame:
+    """(by, n): the rows of every class, as a table of any length."""
+    return write_out(df.groupBy(by).agg(F.count("*").alias("n")), "class_sizes")
+
+
+def _last_places(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple] | DataFrame, row_id: str,
                  seed: int | Column) -> DataFrame:
     """(by..., _last): the place of the k-th row of each group in `quotas`, as a table of values."""
-    fields = [T.StructField(c, df.schema[c].dataType) for c in by]
-    wanted = local_table(df.sparkSession, quotas, T.StructType([*fields, T.StructField("_k", T.LongType())]))
+    wanted = quotas
+    if not isinstance(quotas, DataFrame):
+        fields = [T.StructField(c, df.schema[c].dataType) for c in by]
+        wanted = local_table(df.sparkSession, quotas, T.StructType([*fields, T.StructField("_k", T.LongType())]))
 
     keyed = df.select(*by, F.col(row_id).alias("_id"), hash_place(seed, row_id).alias("_h"))
     keyed = keyed.withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
-    runs = join_null_safe(keyed.groupBy(*by, "_p").agg(F.count("*").alias("_n")), F.broadcast(wanted), by)
+    runs = join_null_safe(keyed.groupBy(*by, "_p").agg(F.count("*").alias("_n")), wanted, by)
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p"))
     edge = (runs.withColumn("_upto", upto)
             .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
             .select(*by, "_p", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_rest")))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))
-    last = (join_null_safe(keyed, F.broadcast(edge), [*by, "_p"]).withColumn("_r", rank)
+    last = (join_null_safe(keyed, edge, [*by, "_p"]).withColumn("_r", rank)
             .filter(F.col("_r") == F.col("_rest"))
             .select(*by, F.struct("_h", "_id").alias("_last")))
-    # One value per quota, taken once: later steps compare against values, not against a nested plan.
-    return local_table(df.sparkSession, last.collect(), last.schema)
+    # One value per quota, found once: later steps compare against values, not against a nested plan.
+    return write_out(last, "last_places")
 
 
 def _flag(df: DataFrame, by: Sequence[str], last: DataFrame, row_id: str, seed: int | Column, flag: str) -> DataFrame:
     within = F.struct(hash_place(seed, row_id).alias("_h"), F.col(row_id).alias("_id")) <= F.col("_last")
-    flagged = join_null_safe(df, F.broadcast(last), by, "left")
+    flagged = join_null_safe(df, last, by, "left")
     return flagged.withColumn(flag, F.when(F.col("_last").isNull(), False).otherwise(within)).drop("_last")
 
 
-def flag_picked(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple], row_id: str = "row_id",
+def flag_picked(df: DataFrame, by: Sequence[str], quotas: Sequence[tuple] | DataFrame, row_id: str = "row_id",
                 seed: int | Column = 42, flag: str = "picked") -> DataFrame:
-    """Add a boolean that is true for exactly k rows of each group listed in `quotas` as (group..., k).
+    """Add a boolean that is true for exactly k rows of each group in `quotas`: (group..., k), or a table with _k.
 
     Groups without a quota get none. A quota must not exceed its group.
     """
     return _flag(df, by, _last_places(df, by, quotas, row_id, seed), row_id, seed, flag)
 
 
-def proportional_quotas(sizes: Sequence[tuple], total: int) -> list[tuple]:
-    """Share `total` over the groups by largest remainder; equal remainders go to the smaller group."""
-    n = sum(s[-1] for s in sizes)
-    floors = [s[-1] * total // n for s in sizes]
-    by_remainder = sorted(range(len(sizes)), key=lambda i: (-(sizes[i][-1] * total % n), i))
-    for i in by_remainder[: total - sum(floors)]:
-        floors[i] += 1
-    return [(*s[:-1], k) for s, k in zip(sizes, floors)]
+def proportional_quotas(sizes: DataFrame, by: str, total: int) -> DataFrame:
+    """(by, _k): `total` shared over the classes (by, n) by largest remainder; equal remainders go to the smaller class.
+
+    The two windows run over one narrow row per class.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    product = F.col("n").cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    n = F.sum("n").over(whole)
+    rest = (product % n).alias("_rest")
+    shared = sizes.select(by, ((product - product % n) / n).cast("long").alias("_floor"), rest)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_rest"), F.asc_nulls_first(by)))
+    extra = (rank <= F.lit(total) - F.sum("_floor").over(whole)).cast("long")
+    return shared.select(by, (F.col("_floor") + extra).alias("_k"))
 
 
 def head_sample(df: DataFrame, max_samples: int, row_id: str = "row_id") -> DataFrame:
-    """The `max_samples` smallest ids, the order a keyless file has implicitly.
+    """The `max_samples` smallest ids, the order a keyless file has implicitly; ids are numbers and occur once.
 
-    The last id that belongs is narrowed down by quantiles over the ids alone; the rows are then a filter
-    on it, which reaches the scan, and are never sorted.
+    The last id that belongs is found by counts over ranges of ids; the rows are then a filter on it, which reaches
+    the scan, and are never sorted.
     """
-    ids = df.select(row_id)
-    n, wider = ids.count(), 1.5
-    if n <= max_samples:
-        return df
-    while n > 4 * max_samples + 1 and wider * max_samples < n:
-        cut = ids.agg(F.percentile_approx(row_id, wider * max_samples / n, F.lit(10_000))).first()[0]
-        fewer = ids.filter(F.col(row_id) <= cut)
-        m = fewer.count()
-        if m < max_samples or m == n:
-            wider *= 4  # the quantile is not exact: aim higher
-            continue
-        ids, n = fewer, m
-    last = ids.orderBy(row_id).limit(max_samples).agg(F.max(row_id)).first()[0]
-    return df.filter(F.col(row_id) <= last) if max_samples else df.limit(0)
+    if max_samples <= 0:
+        return df.limit(0)
+    ranked = with_rank(df.select(F.lit(0).alias("_all"), row_id), ["_all"], row_id, "_rank")
+    last = ranked.filter(F.col("_rank") == max_samples - 1).first()
+    return df if last is None else df.filter(F.col(row_id) <= last[row_id])
 
 
-def stratified_sample(df: DataFrame, max_samples: int = 60_000, label: str = "label",
+def stratified_sample(df: DataFrame, max_samples: int, label: str = "label",
                       row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Exactly `max_samples` rows with the class shares of the input; smaller inputs pass unchanged."""
-    sizes = group_sizes(df, [label])
-    if sum(s[-1] for s in sizes) <= max_samples:
+    sizes = class_sizes(df, label)
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= max_samples:
         return df
-    quotas = proportional_quotas(sizes, max_samples)
+    quotas = proportional_quotas(sizes, label, max_samples)
     return flag_picked(df, [label], quotas, row_id, seed).filter("picked").drop("picked")
 
 
@@ -118,10 +120,10 @@ def sample_rows(df: DataFrame, max_samples: int, strategy: str = "stratified", *
 def adjust_contamination(df: DataFrame, share: float = 0.05, seed: int = 42, y: str = "y",
                          row_id: str = "row_id") -> DataFrame:
     """Keep every normal row and exactly int(normals * share) anomalies."""
-    sizes = dict(group_sizes(df, [y]))
-    wanted = int(sizes.get(0, 0) * share)
-    if wanted > sizes.get(1, 0):
-        raise ValueError(f"not enough anomalies: {wanted} wanted, {sizes.get(1, 0)} present")
+    normal, anomalous = normal_and_anomalous(df, y)
+    wanted = int(normal * share)
+    if wanted > anomalous:
+        raise ValueError(f"not enough anomalies: {wanted} wanted, {anomalous} present")
     flagged = flag_picked(df, [y], [(1, wanted)], row_id, seed)
     return flagged.filter((F.col(y) == 0) | F.col("picked")).drop("picked")
 
@@ -129,11 +131,14 @@ def adjust_contamination(df: DataFrame, share: float = 0.05, seed: int = 42, y:
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, y: str = "y",
                      row_id: str = "row_id") -> DataFrame:
     """Add `split`: ceil(test_size * n) rows are 'test', classes shared out in proportion."""
-    sizes = group_sizes(df, [y])
-    n = sum(s[-1] for s in sizes)
-    if any(s[-1] < 2 for s in sizes):
+    sizes = class_sizes(df, y)
+    n, least, classes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("n"), F.count("*")).first()
+    if classes and least < 2:
         raise ValueError("a class with fewer than two rows cannot be split")
-    quotas = proportional_quotas(sizes, n - ceil(test_size * n))
+    n_test = ceil(test_size * n)
+    if min(n_test, n - n_test) < classes:
+        raise ValueError(f"{n_test} test and {n - n_test} train rows for {classes} classes")
+    quotas = proportional_quotas(sizes, y, n - n_test)
     flagged = flag_picked(df, [y], quotas, row_id, seed)
     return flagged.withColumn("split", F.when(F.col("picked"), "train").otherwise("test")).drop("picked")
 
@@ -152,8 +157,8 @@ def partial_labels(df: DataFrame, n_known: int | None = None, contamination: flo
     """Add `y_semi`: 1 for the outliers whose label is known, 0 for everything else."""
     if n_known is None and contamination is None:
         raise ValueError("give n_known or contamination")
-    sizes = dict(group_sizes(df, [y]))
-    k = known_quota(sum(sizes.values()), sizes.get(1, 0), n_known, contamination)
+    normal, anomalous = normal_and_anomalous(df, y)
+    k = known_quota(normal + anomalous, anomalous, n_known, contamination)
     flagged = flag_picked(df, [y], [(1, k)], row_id, seed)
     return flagged.withColumn("y_semi", F.col("picked").cast("int")).drop("picked")
 
@@ -161,8 +166,8 @@ def partial_labels(df: DataFrame, n_known: int | None = None, contamination: flo
 def _scenarios(df: DataFrame, levels: Sequence[float], n_rounds: int, y: str,
                row_id: str) -> tuple[DataFrame, list[tuple]]:
     """(row_id, y) repeated per level and round, and the quota of each scenario."""
-    sizes = dict(group_sizes(df, [y]))
-    n_rows, n_out = sum(sizes.values()), sizes.get(1, 0)
+    normal, n_out = normal_and_anomalous(df, y)
+    n_rows = normal + n_out
     scenarios = [(float(c), r) for c in levels for r in range(n_rounds)]
     quotas = [(1, c, r, known_quota(n_rows, n_out, None, c)) for c, r in scenarios]
     grid = F.array(*[F.struct(F.lit(c).alias("contamination"), F.lit(r).alias("round")) for c, r in scenarios])
@@ -181,14 +186,23 @@ def partial_labels_grid(df: DataFrame, levels: Sequence[float], n_rounds: int, s
 
 
 def partial_labels_per_scenario(df: DataFrame, levels: Sequence[float], n_rounds: int, seed: int = 42, y: str = "y",
-                                row_id: str = "row_id") -> dict[tuple[float, int], DataFrame]:
-    """The rows with `y_semi`, per (level, round). The cuts of all scenarios are found in one job."""
+                                row_id: str = "row_id") -> tuple[DataFrame, dict[tuple[float, int], int]]:
+    """The rows with `semi`, an array with a `y_semi` for every level and round, and the place of each in it.
+
+    The cuts of all scenarios are found in one job; the rows are compared with them as values, in one pass.
+    """
     long, quotas = _scenarios(df, levels, n_rounds, y, row_id)
     outliers = long.filter(F.col(y) == 1)
     last = _last_places(outliers, [y, "contamination", "round"], quotas, row_id, F.lit(seed) + F.col("round"))
-    out = {}
+    cuts = {(r.contamination, r["round"]): r["_last"] for r in last.collect()}  # one value per scenario
+    marks, places = [], {}
     for _, level, r, _ in quotas:
-        here = last.filter((F.col("contamination") == level) & (F.col("round") == r)).select(y, "_last")
-        flagged = _flag(df, [y], here, row_id, seed + r, "picked")
-        out[level, r] = flagged.withColumn("y_semi", F.col("picked").cast("int")).drop("picked")
-    return out
+        places[level, r] = len(marks)
+        cut = cuts.get((level, r))
+        if cut is None:
+            marks.append(F.lit(0))
+            continue
+        mine = F.struct(hash_place(seed + r, row_id).alias("_h"), F.col(row_id).alias("_id"))
+        edge = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut["_id"]).cast(df.schema[row_id].dataType).alias("_id"))
+        marks.append(F.when((F.col(y) == 1) & (mine <= edge), 1).otherwise(0))
+    return df.withColumn("semi", F.array(*marks)), places

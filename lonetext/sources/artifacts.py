@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .corpora import read_keyed
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder or file is there; a metadata call, no job."""
@@ -33,10 +35,24 @@ def parity(corpus: DataFrame, embeddings: DataFrame) -> DataFrame:
                     F.count_if(F.col("c").isNull()).alias("missing_texts"))
 
 
+def read_positional(spark: SparkSession, texts: str, labels: str, embeddings: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, text, label) and (row_id, embedding) of three keyless files that are aligned by position."""
+    parts = [read_keyed(spark, p) for p in (texts, labels, embeddings)]
+    text, label, wide = parts
+    names = [next(c for c in p.columns if c != "row_id") for p in (text, label)]
+    corpus = text.select("row_id", F.col(names[0]).alias("text")).join(
+        label.select("row_id", F.col(names[1]).alias("label")), "row_id", "full")
+    sizes = [p.agg(F.count("*")).first()[0] for p in parts]
+    if len(set(sizes)) > 1:
+        raise ValueError(f"texts, labels and embeddings have {sizes} rows")
+    return corpus, fold_wide(wide)
+
+
 class ArtifactStore:
-    """Two partitioned tables under one root: corpus by dataset, embeddings by dataset and encoder.
+    """Two tables per dataset under one root: its corpus, and its embeddings by encoder.
 
-    The sampling settings are part of the dataset key, so a cached sample is never taken for another one.
+    The sampling settings are part of the dataset key, so a cached sample is never taken for another one. Each has a
+    folder of its own, so labels keep their type; a marker is written when a part is whole.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,37 +60,35 @@ class ArtifactStore:
 
     @staticmethod
     def key(dataset: str, max_samples: int | None, strategy: str, seed: int) -> str:
-        return f"{dataset}-{max_samples or 'all'}-{strategy}-{seed}"
+        return f"{dataset}-{'all' if max_samples is None else max_samples}-{strategy}-{seed}"
+
+    def _folder(self, key: str, encoder: str | None = None) -> str:
+        name = quote(key, safe="")
+        return f"{self.root}/corpus/{name}" if encoder is None else f"{self.root}/embeddings/{name}/{quote(encoder, safe='')}"
 
-    def _write(self, df: DataFrame, table: str, by: Sequence[str], values: Sequence[str]) -> None:
-        for name, value in zip(by, values):
-            df = df.withColumn(name, F.lit(value))
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
-         .parquet(f"{self.root}/{table}"))
+    def complete(self, key: str, encoder: str | None = None) -> None:
+        """Mark a dataset's corpus, or its embeddings, as whole."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(key, encoder) + "/_COMPLETE")
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, True).close()
 
     def has_corpus(self, key: str) -> bool:
-        return exists(self.spark, f"{self.root}/corpus/dataset={key}")
+        return exists(self.spark, self._folder(key) + "/_COMPLETE")
 
     def has_embeddings(self, key: str, encoder: str) -> bool:
-        return exists(self.spark, f"{self.root}/embeddings/dataset={key}/encoder={encoder}")
+        return exists(self.spark, self._folder(key, encoder) + "/_COMPLETE")
 
     def write_corpus(self, df: DataFrame, key: str) -> None:
-        self._write(df.select("row_id", "text", F.col("label").cast("string").alias("label")),
-                    "corpus", ["dataset"], [key])
+        df.select("row_id", "text", "label").write.mode("overwrite").parquet(self._folder(key))
 
     def write_embeddings(self, df: DataFrame, key: str, encoder: str) -> None:
         vectors = df.select("row_id", F.col("embedding").cast("array<float>").alias("embedding"))
-        self._write(vectors, "embeddings", ["dataset", "encoder"], [key, encoder])
+        vectors.write.mode("overwrite").parquet(self._folder(key, encoder))
 
     def corpus(self, key: str) -> DataFrame:
-        schema = "row_id long, text string, label string, dataset string"
-        return (self.spark.read.schema(schema).parquet(f"{self.root}/corpus")
-                .filter(F.col("dataset") == key).drop("dataset"))
+        return self.spark.read.parquet(self._folder(key))
 
     def embeddings(self, key: str, encoder: str) -> DataFrame:
-        schema = "row_id long, embedding array<float>, dataset string, encoder string"
-        return (self.spark.read.schema(schema).parquet(f"{self.root}/embeddings")
-                .filter((F.col("dataset") == key) & (F.col("encoder") == encoder)).drop("dataset", "encoder"))
+        return self.spark.read.schema("row_id long, embedding array<float>").parquet(self._folder(key, encoder))
 
     def combined(self, key: str, encoder: str) -> DataFrame:
         return combine(self.corpus(key), self.embeddings(key, encoder))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..common import spread_small
+from ..common import scratch_path
 from ..functions.text import as_corpus, wiki_articles
 
 # Split names, and column names of the two corpora that need renaming.
@@ -15,12 +15,34 @@ SPLITS = ("train", "test", "validation")
 TWEETS_RENAME = {"tweet": "text"}
 SENTIMENT_RENAME = {"tweet_text": "text", "sentiment": "label"}
 
-PAGE_SCHEMA = "title string, ns int, id long, revision struct<text: string>"
+PAGE_SCHEMA = "title string, ns int, id long, revision struct<text: string>, malformed string"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet corpus, dealt out to all cores when it is small."""
-    return spread_small(spark.read.parquet(path))
+def read_table(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """A parquet corpus; `parts` deals a small file out to that many tasks ahead of costly work on each row."""
+    df = spark.read.parquet(path)
+    return df.repartition(parts) if parts else df
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table with `row_id`, the position of a row: files in the order of their names, rows as stored.
+
+    The files' row counts come from a scan without columns; their running sum is one narrow row per file.
+    """
+    rows = spark.read.parquet(path)
+    names = rows.columns
+    placed = rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_file").select((F.col("_start") + F.col("_row")).alias("row_id"), *names)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Any table with a `row_id`: it is written once, and a row's place in the written files is its id."""
+    path = scratch_path(df.sparkSession, "keyed")
+    df.write.parquet(path)
+    return read_keyed(df.sparkSession, path)
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",
@@ -39,18 +61,36 @@ def read_splits(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parqu
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str,
                    rename: Mapping[str, str] = SENTIMENT_RENAME, keep: Sequence[str] = (), **options) -> DataFrame:
-    """A delimited file with a header, quoted fields and line breaks inside quotes; keeps text and label."""
-    settings = {"header": True, "multiLine": True, "quote": '"', "escape": '"', **options}
+    """A delimited file with a header and quoted fields; keeps text and label.
+
+    Line breaks inside quotes need `multiLine=True`, which makes each file one task.
+    """
+    settings = {"header": True, "quote": '"', "escape": '"', **options}
     # A text may be empty, which is not the same as missing.
     df = spark.read.options(**{"emptyValue": "", "nullValue": "\u0000", **settings}).schema(schema).csv(path)
     return df.withColumnsRenamed(dict(rename)).select(*keep, "text", "label")
 
 
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True)
+            .option("columnNameOfCorruptRecord", "malformed").option("ignoreSurroundingSpaces", False)
+            .schema(PAGE_SCHEMA).load(path))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, title, ns, text) of a wiki page dump, plain or bz2; namespaces of the tags are ignored."""
-    pages = (spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True)
-             .option("ignoreSurroundingSpaces", False).schema(PAGE_SCHEMA).load(path))
-    return pages.select(F.col("id").alias("row_id"), "title", "ns", F.col("revision.text").alias("text"))
+    """(row_id, title, ns, text) of a wiki page dump, plain or bz2; namespaces of the tags are ignored.
+
+    Pages that cannot be parsed are left out here and reported by `malformed_pages`.
+    """
+    return _pages(spark, path).filter(F.col("malformed").isNull()).select(
+        F.col("id").alias("row_id"), "title", "ns", F.col("revision.text").alias("text"))
+
+
+def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of a dump that cannot be parsed, as they stand in the file."""
+    # Spark refuses to read the column of unparsed records alone, so the id is read beside it.
+    return _pages(spark, path).filter(F.col("malformed").isNotNull() & F.coalesce(F.col("id") == F.col("id"), F.lit(True))
+                                      ).select("malformed")
 
 
 def read_corpus(spark: SparkSession, source: str, location, **kwargs) -> DataFrame:
@@ -63,5 +103,6 @@ def read_corpus(spark: SparkSession, source: str, location, **kwargs) -> DataFra
         return wiki_articles(read_pages(spark, location), "row_id")
     if source == "table":
         df = read_table(spark, location).withColumnsRenamed({"body": "text", "main_category": "label"})
-        return as_corpus(df, *(["row_id"] if "row_id" in df.columns else []))
+        return as_corpus(df if "row_id" in df.columns else read_keyed(spark, location).withColumnsRenamed(
+            {"body": "text", "main_category": "label"}), "row_id")
     raise ValueError(f"unknown source: {source}")

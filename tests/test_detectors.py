@@ -90,6 +90,30 @@ def test_kde_equals_brute_force(spark, cells, bandwidth):
     assert np.allclose(got, -density, rtol=1e-9)
 
 
+@pytest.mark.parametrize("cells", [{}, SMALL])
+@pytest.mark.parametrize("offset, spread", [(1e4, 0.01), (1e6, 0.01), (1e6, 1.0)])
+def test_neighbours_far_from_the_origin(spark, cells, offset, spread):
+    x = offset + spread * np.random.default_rng(6).normal(size=(300, 8))
+    got = scores(det.LOF(10, **cells).fit(table(spark, x)).score(table(spark, x)))
+    assert np.allclose(got, brute_lof(x, x, 10, True), rtol=1e-5)
+    bandwidth = 0.2 * spread
+    got = scores(det.KDE(bandwidth, **cells).fit(table(spark, x)).score(table(spark, x)))
+    logs = -((x[:, None] - x[None]) ** 2).sum(2) / (2 * bandwidth ** 2)
+    top = logs.max(1)
+    density = top + np.log(np.exp(logs - top[:, None]).sum(1)) - np.log(len(x)) - 8 * np.log(bandwidth * np.sqrt(2 * np.pi))
+    assert np.allclose(got, -density, rtol=1e-9, atol=1e-9)
+
+
+def test_kernel_sums_of_two_far_groups(spark):
+    """Centring does not help here: squared distances are taken by differences."""
+    r = np.random.default_rng(7)
+    x = np.vstack([0.01 * r.normal(size=(60, 3)), 1e6 + 0.01 * r.normal(size=(60, 3))])
+    got = scores(det.KDE(0.01).fit(table(spark, x)).score(table(spark, x)))
+    logs = -((x[:, None] - x[None]) ** 2).sum(2) / 2e-4
+    density = np.log(np.exp(logs).sum(1)) - np.log(len(x)) - 3 * np.log(0.01 * np.sqrt(2 * np.pi))
+    assert np.allclose(got, -density, atol=1e-6)
+
+
 def test_neighbour_search_skips_far_cells(spark):
     x = clustered(5)
     index = Cells(table(spark, x), **SMALL)
@@ -274,6 +298,9 @@ def test_training_in_mini_batches_and_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(gradient, "MAX_PARTIALS", 2)
     many = det.AutoEncoder(hidden=(6, 3), epochs=10).fit(data.repartition(9))
     assert many.loop.partials > 2 and np.allclose(one.theta, many.theta, atol=1e-6)
+    assert many.loop.table.rdd.getNumPartitions() == 9  # a pass has as many tasks as the table has splits
+    with pytest.raises(ValueError):
+        det.AutoEncoder(hidden=(6, 3), epochs=1, batches=2).fit(data.limit(0))
     batched = det.AutoEncoder(hidden=(6, 3), epochs=10, batches=4).fit(data)
     assert batched.loop.history[-1] < one.loop.history[-1]
     paths = batched.loop.table.filter("batch = 1")._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lonetext.operators.detectors import HBOS, MLP, Detector, IsolationForest
 from lonetext.plans import benchmark, report
-from lonetext.sources.results import RESULT_SCHEMA, as_csv_rows, read_results
+from lonetext.sources.results import RESULT_SCHEMA, as_csv_rows, read_log, read_results
 
 
 class Broken(Detector):
@@ -72,11 +72,42 @@ def test_grid_survives_a_failing_pair(spark, sf, tmp_path):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
     pairs = {"good": lambda: vectors, "few": lambda: vectors.filter("label = 0")}
     root = str(tmp_path / "results")
-    out = benchmark.run_grid(pairs, {"HBOS": HBOS}, {"MLP": lambda: MLP(max_iter=3)}, share=0.5, root=root)
+    out, log = benchmark.run_grid(pairs, {"HBOS": HBOS}, {"MLP": lambda: MLP(max_iter=3)}, share=0.5, root=root)
     rows = {(r.dataset, r.model): r for r in out.collect()}
     assert set(rows) == {("good", "HBOS"), ("good", "MLP"), ("few", None)}
     assert "not enough anomalies" in rows["few", None].error
     assert read_results(spark, root, dataset="good").count() == 2
+    known = rows["good", "MLP"].n_known_outliers
+    assert known > 0 and log.count() == known == read_log(spark, root).count()
+
+
+def test_study_over_pairs_of_datasets_and_encoders(spark, sf, monkeypatch):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    pairs, seen = spark.createDataFrame([("a", "en", "x"), ("a", "en", "y")], "dataset string, lang string, encoder string"), []
+
+    class Asked(HBOS):
+        def score(self, rows, uncertainty=False):
+            seen.append(uncertainty)
+            return super().score(rows)
+
+    out, _ = benchmark.run_study(lambda d, e: vectors, pairs, spark, unsupervised={"U": Asked, "P": Asked}, semisupervised={},
+                                 share=0.5, uncertainty=["U"], normal_labels={"a/y": [0, 1, 2]})
+    rows = {(r.dataset, r.model): r for r in out.collect()}
+    assert set(rows) == {("a/x", "U"), ("a/x", "P"), ("a/y", "U"), ("a/y", "P")} and sorted(seen) == [False, False, True, True]
+    assert rows["a/y", "P"].train_size > rows["a/x", "P"].train_size
+
+
+def test_training_reads_stored_labels(spark, data):
+    """No hash, join or sort stands between a training pass and the files."""
+    plans = []
+
+    class Looks(HBOS):
+        def fit(self, train):
+            plans.append(train._jdf.queryExecution().executedPlan().toString())
+            return super().fit(train)
+
+    benchmark.run_semisupervised(data, {"L": Looks}, "d", levels=(0.1,), n_rounds=1)
+    assert plans and all(w not in plans[0] for w in ("md5", "Join", "Exchange")) and "PartitionFilters: [isnotnull(split" in plans[0]
 
 
 def test_default_models_are_all_there():

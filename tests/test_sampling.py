@@ -2,7 +2,7 @@ import hashlib
 from math import ceil
 
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lonetext.operators import labelling as lab
@@ -53,11 +53,12 @@ def test_pick_does_not_depend_on_partitions(spark):
     assert a == b
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(1, 10_000), min_size=1, max_size=12), st.data())
-def test_proportional_quotas(sizes, data):
+def test_proportional_quotas(spark, sizes, data):
     total = data.draw(st.integers(0, sum(sizes)))
-    quotas = [k for _, k in smp.proportional_quotas(list(enumerate(sizes)), total)]
+    table = spark.createDataFrame(list(enumerate(sizes)), "y long, n long")
+    quotas = [r._k for r in smp.proportional_quotas(table, "y", total).orderBy("y").collect()]
     assert sum(quotas) == total
     for n, k in zip(sizes, quotas):
         assert abs(k - n * total / sum(sizes)) < 1 and 0 <= k <= n
@@ -114,10 +115,31 @@ def test_grid_equals_single_scenarios(spark):
             single = smp.partial_labels(data, contamination=level, seed=5 + r)
             here = grid.filter((F.col("contamination") == level) & (F.col("round") == r))
             assert ids(here.filter("y_semi = 1")) == ids(single.filter("y_semi = 1"))
-    each = smp.partial_labels_per_scenario(data, [0.02, 0.1], 2, seed=5)
-    for (level, r), out in each.items():
+    marked, places = smp.partial_labels_per_scenario(data, [0.02, 0.1], 2, seed=5)
+    assert sorted(places) == [(0.02, 0), (0.02, 1), (0.1, 0), (0.1, 1)]
+    for (level, r), at in places.items():
         single = smp.partial_labels(data, contamination=level, seed=5 + r)
-        assert out.columns == single.columns and sorted(out.collect()) == sorted(single.collect())
+        out = marked.withColumn("y_semi", F.col("semi")[at]).select(*single.columns)
+        assert sorted(out.collect()) == sorted(single.collect())
+
+
+def test_many_classes(spark):
+    """Class counts stay a table, whatever their number."""
+    data = spark.range(6000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 1500).alias("label"))
+    out = smp.stratified_sample(data, 2000)
+    sizes = [r["count"] for r in out.groupBy("label").count().collect()]
+    assert sum(sizes) == 2000 and set(sizes) == {1, 2} and len(sizes) == 1500
+
+
+def test_head_sample(spark):
+    data = spark.range(0, 3000, 3).select(F.col("id").alias("row_id"), F.lit("t").alias("text")).repartition(7)
+    for k in (0, 1, 17, 999, 1000, 5000):
+        assert ids(smp.head_sample(data, k)) == set(range(0, 3 * min(k, 1000), 3))
+
+
+def test_split_needs_a_row_of_every_class_on_both_sides(spark):
+    with pytest.raises(ValueError):
+        smp.stratified_split(rows(spark, [i // 2 for i in range(12)]), test_size=0.2)
 
 
 def test_stratified_sample(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lonetext.common import collect_bounded, local_table, scratch_dir, write_out
 from lonetext.operators.encode import encode_hashed
+from lonetext.operators.labelling import majority_label
 from lonetext.plans.preparation import prepare_dataset
 from lonetext.sources import artifacts, corpora, results
 
@@ -29,7 +30,8 @@ def test_page_dump(spark, tmp_path):
 def test_delimited(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('id,tweet_text,sentiment\n1,"a, ""b""\nc",1\n2,"",0\n3,,0\n')
-    rows = corpora.read_delimited(spark, str(path), "id int, tweet_text string, sentiment int").collect()
+    schema = "id int, tweet_text string, sentiment int"
+    rows = corpora.read_delimited(spark, str(path), schema, multiLine=True).collect()
     assert [tuple(r) for r in rows] == [('a, "b"\nc', 1), ("", 0), (None, 0)]
 
 
@@ -80,9 +82,81 @@ def test_store(spark, tmp_path):
 def test_store_reads_only_its_folders(spark, tmp_path):
     store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
     df = spark.range(3).select(F.col("id").alias("row_id"), F.array(F.lit(1.0)).alias("embedding"))
-    store.write_embeddings(df, "a", "x")
-    plan = store.embeddings("a", "x")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dataset" in plan
+    for encoder in ("x", "org/enc y"):
+        store.write_embeddings(df, "a", encoder)
+        files = store.embeddings("a", encoder).inputFiles()
+        assert files and len({f.rsplit("/", 1)[0] for f in files}) == 1
+
+
+def test_names_that_need_escaping_are_cached(spark, tmp_path):
+    store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
+
+    def load():
+        return spark.range(9).select(F.col("id").alias("row_id"), F.lit("t").alias("text"), F.lit(1).alias("label"))
+
+    assert prepare_dataset(store, "SetFit/20_newsgroups", "org/enc", load, encode_hashed)
+    assert not prepare_dataset(store, "SetFit/20_newsgroups", "org/enc", load, encode_hashed)
+    with pytest.raises(ValueError):
+        prepare_dataset(store, "d", "e", load, encode_hashed, max_samples=0)
+
+
+def test_a_half_written_artefact_is_built_again(spark, tmp_path):
+    store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
+    df = spark.range(9).select(F.col("id").alias("row_id"), F.lit("t").alias("text"), F.lit(1).alias("label"))
+    key = store.key("d", None, "stratified", 42)
+    store.write_corpus(df.limit(3), key)
+    assert prepare_dataset(store, "d", "e", lambda: df, encode_hashed) and store.corpus(key).count() == 9
+
+
+def test_labels_keep_their_type(spark, tmp_path):
+    """2 and 10 are tied; as text, 10 would be the smaller one."""
+    store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([(i, "t", 2 if i % 2 else 10) for i in range(10)], "row_id long, text string, label int")
+    prepare_dataset(store, "d", "e", lambda: df, encode_hashed)
+    corpus = store.corpus(store.key("d", None, "stratified", 42))
+    assert dict(corpus.dtypes)["label"] == "int" and majority_label(corpus).first()[0] == 2
+
+
+def test_texts_and_labels_without_ids(spark, tmp_path):
+    store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), ("c", 1)], "text string, label int").repartition(3)
+    assert prepare_dataset(store, "d", "e", lambda: df, encode_hashed)
+    rows = store.corpus(store.key("d", None, "stratified", 42)).collect()
+    assert sorted(r.row_id for r in rows) == [0, 1, 2, 3] and sorted(r.text for r in rows) == ["a", "a", "b", "c"]
+
+
+def test_positions_as_ids(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("texts", "labels", "embeddings")]
+    rows = spark.range(100)
+    parts = (F.concat(F.lit("t"), "id").alias("text"), (F.col("id") % 7).alias("label"), F.col("id").cast("float").alias("0"))
+    for path, n, column in zip(paths, (4, 1, 3), parts):
+        rows.repartitionByRange(n, "id").sortWithinPartitions("id").select(column).write.parquet(path)
+    corpus, vectors = artifacts.read_positional(spark, *paths)
+    joined = artifacts.combine(corpus, vectors).collect()
+    assert len(joined) == 100 and all((r.text, r.label, r.embedding) == (f"t{r.row_id}", r.row_id % 7, [float(r.row_id)])
+                                      for r in joined)
+    rows.limit(99).select(parts[1]).write.mode("overwrite").parquet(paths[1])
+    with pytest.raises(ValueError):
+        artifacts.read_positional(spark, *paths)
+
+
+def test_malformed_pages_are_reported(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text("<m><page><title>a</title><ns>0</ns><id>1</id><revision><text>x</text></revision></page>"
+                    "<page><title>b</title><ns>zero</ns><id>2</id></page></m>")
+    assert [r.row_id for r in corpora.read_pages(spark, str(path)).collect()] == [1]
+    assert "zero" in corpora.malformed_pages(spark, str(path)).first().malformed
+
+
+def test_delimited_files_without_line_breaks_are_split(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("tweet_text,sentiment\n" + "some words,1\n" * 50_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = corpora.read_delimited(spark, str(path), "tweet_text string, sentiment int")
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 50_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_parity(spark):
@@ -96,14 +170,17 @@ def test_wide_matrix(spark):
     assert tuple(artifacts.fold_wide(wide).first()) == (7, [0.5, 1.5])
 
 
-def test_index_log_in_parts(spark):
+def test_index_log(spark, tmp_path):
     known = spark.range(0, 95, 3).select(F.lit("r").alias("run_id"), F.lit(0.1).alias("contamination"),
                                          F.lit(0).alias("round"), F.col("id").alias("row_id"))
     whole = results.as_csv_rows(results.labelled_index_log(known)).collect()
     assert len(whole) == 1 and json.loads(whole[0].indices) == list(range(0, 95, 3))
-    parts = sorted(results.labelled_index_log(known, part_rows=10).collect(), key=lambda r: r.part)
-    assert [r.n_indices for r in parts] == [10, 10, 10, 2]
-    assert [i for r in parts for i in r.indices] == list(range(0, 95, 3))
+    root = str(tmp_path / "log")
+    results.append_log(known, root)
+    results.append_log(known.withColumn("run_id", F.lit("s")), root)
+    log = results.read_log(spark, root)
+    assert log.schema == results.LOG_SCHEMA and log.count() == 64
+    assert sorted(r.row_id for r in log.filter("run_id = 's'").collect()) == list(range(0, 95, 3))
 
 
 def test_csv_export(spark, tmp_path):

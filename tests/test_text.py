@@ -43,8 +43,13 @@ def test_markup(spark, text, expected):
     assert one(spark, text, tx.strip_markup(F.col("text"))) == expected
 
 
-def test_deep_templates_stay(spark):
-    assert "{{" in one(spark, "{{a{{b{{c{{d}}}}}}}}", tx.strip_markup(F.col("text"), passes=2))
+@pytest.mark.parametrize("text, expected", [
+    ("{{a{{b{{c{{d}}}}}}}} z", "z"), ("{{x|{y}|z}}w", "w"), ("{| class=t\n|-\n| a || b\n|}after", "after"),
+    ("{|\n| {| inner |} |}x", "x"), ("a {b} c", "a {b} c"), ("{{open", "{{open"), ("{{a" * 50 + "x" + "}}" * 50 + "y", "y"),
+    ("price 3 < 5 apples and\n then many words 7 > 2 end", "price 3 < 5 apples and\n then many words 7 > 2 end"),
+    ("a&nbsp;b &amp;lt; &lt;c&gt;", "a b &lt; <c>"), ("if a<b then<br>c</br >d", "if a<b thencd")])
+def test_markup_that_nests_and_text_that_looks_like_it(spark, text, expected):
+    assert one(spark, text, tx.strip_markup(F.col("text"))) == expected
 
 
 @pytest.mark.parametrize("text, kept", [("", False), (" \t\n 　", False), (" a ", True)])
