@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lonetext.common import write_out
 from lonetext.llm.components import components
-from lonetext.llm.words import column, shingles, slices, texts_of
+from lonetext.llm.words import column, mixed, shingles, slices, texts_of
 
 WIDTH = 4
 SHARE = 85  # per cent of the union
@@ -44,6 +44,7 @@ BITMAP_BYTES = 128
 SHORT = 16  # sets in a short list
 BLOCK = 2048  # sets of a long list in one task
 STRIPE = 128
+FILTER_BITS = (1 << 20, 1 << 30)  # least and most bits of the filter of documents whose sets are compared
 
 
 # --- frequency order -------------------------------------------------------------------------------------------------
@@ -128,25 +129,70 @@ def set_table(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, share: i
     return rows.mapInArrow(build, "doc_id long, n long, node long, prefix array<long>, bitmap binary")
 
 
+def _bits_of(ids: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of `size` bits (a power of two) for each id; NULL is an id like any other."""
+    raw = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    code = mixed(raw ^ np.where(ids.is_null().to_numpy(zero_copy_only=False), np.uint64(1 << 63), np.uint64(0)))
+    mask = np.uint64(size - 1)
+    return (code & mask).astype(np.int64), ((code >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def id_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of `doc_id`, 16 bits and more an id up to a fixed size; beyond it lets more ids through."""
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (16 * wanted.count()).bit_length()))
+    block = size // 64
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for places in _bits_of(batch.column(0), size):
+                bits[places] = True
+        full = [b for b in range(64) if bits[b * block:(b + 1) * block].any()]
+        if full:
+            salt = TaskContext.get().partitionId() % 256
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([salt] * len(full), pa.int32()),
+                 pa.array([np.packbits(bits[b * block:(b + 1) * block]).tobytes() for b in full], pa.binary())],
+                ["block", "salt", "bits"])
+
+    def either(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"block": frame["block"][:1], "salt": frame["salt"][:1], "bits": [total.tobytes()]})
+
+    schema = "block int, salt int, bits binary"
+    rows = wanted.select("doc_id").mapInArrow(mark, schema)
+    rows = rows.groupBy("block", "salt").applyInPandas(either, schema).groupBy("block").applyInPandas(either, schema)
+    result = np.zeros(size, bool)
+    for r in rows.collect():  # `size` bits, however many documents there are
+        result[r.block * block:(r.block + 1) * block] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return result
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """(node, codes) of the `wanted` (doc_id, node) rows, from the whole texts."""
-    held = docs.sparkSession.sparkContext.broadcast(classes)
+    """(node, codes) of the `wanted` (doc_id) rows at least, from the whole texts.
+
+    A filter of the ids stands where the texts are read, so that texts are not shuffled; a few more sets may pass.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((classes, id_filter(wanted)))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, bits = held.value
         for batch in batches:
+            first, second = _bits_of(column(batch, "doc_id"), len(bits))
+            batch = batch.filter(pa.array(bits[first] & bits[second]))
             for part in slices(batch):
                 grams, bounds = shingles(texts_of(part), width)
-                sets = [ordered_codes(grams[s:e], held.value) for s, e in zip(bounds[:-1], bounds[1:])]
+                sets = [ordered_codes(grams[s:e], classes) for s, e in zip(bounds[:-1], bounds[1:])]
                 nodes = [xxhash.xxh3_64_intdigest(c.tobytes()) - (1 << 63) for c in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes, pa.int64()), pa.array([c.view(np.int64) for c in sets], pa.list_(pa.int64()))],
                     ["node", "codes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    found = rows.mapInArrow(build, "node long, codes array<long>")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return rows.mapInArrow(build, "node long, codes array<long>").dropDuplicates(["node"])
 
 
 # --- index lists -----------------------------------------------------------------------------------------------------
@@ -294,11 +340,15 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
         F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "join-nodes")
     pairs = write_out(pass_bitmaps(short_pairs(lists, share), nodes, share), "join-pairs")
     long = write_out(lists.filter(F.col("k") > SHORT).join(nodes.select("node", "bitmap"), "node"), "join-long")
-    wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-              .unionByName(long.select("node")).distinct())
-    wanted = write_out(wanted.join(nodes.select("node", "doc_id"), "node"), "join-wanted")
-    whole = write_out(whole_sets(docs, wanted, classes, width), "join-sets")
-    checked = write_out(verify(pairs, whole, share), "join-checked")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Verify pairs on the whole sets of their documents."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = write_out(ends.join(nodes, "node").select("doc_id"), "join-wanted")
+        whole = write_out(whole_sets(docs, wanted, classes, width), "join-sets")
+        return verify(pairs, whole, share)
+
+    checked = write_out(compare(pairs), "join-checked")
     labels = components(checked.filter("linked"))
     while True:
         partners = checked.select("a", "b", "overlap", "linked").unionByName(
@@ -312,7 +362,7 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
         new = write_out(long_pairs(members, share), "join-forest")
         if new.isEmpty():
             return labels
-        checked = write_out(checked.unionByName(verify(new, whole, share)), "join-checked")
+        checked = write_out(checked.unionByName(compare(new)), "join-checked")
         labels = components(checked.filter("linked"))
 
 
