@@ -177,12 +177,13 @@ walk0 AS (SELECT tree, 1 AS node, row_id, vec FROM {rows}, tree)"""]
     for level in range(height):
         parts.append(f"""box{level} AS (SELECT tree, node, dim, min(x) AS lo, max(x) AS hi FROM (SELECT tree, node,
     unnest(range(1, len(vec) + 1)) AS dim, unnest(vec) AS x FROM grow{level}) GROUP BY ALL HAVING max(x) > min(x)),
-cut{level} AS (SELECT tree, node, d[1 + floor({number(1, 8)} * len(d))::INT] AS pick,
-    pick.lo + {number(9, 12)} * (pick.hi - pick.lo) AS cut FROM (SELECT tree, node,
+cut{level} AS (SELECT tree, node, pick['dim'] AS dim,
+    pick['lo'] + {number(9, 12)} * (pick['hi'] - pick['lo']) AS cut
+  FROM (SELECT tree, node, h, d[1 + floor({number(1, 8)} * len(d))::INT] AS pick FROM (SELECT tree, node,
       list(struct_pack(dim := dim, lo := lo, hi := hi) ORDER BY dim) AS d,
-      md5(concat('{seed}:', tree, ':node:', node)) AS h FROM box{level} GROUP BY tree, node))""")
+      md5(concat('{seed}:', tree, ':node:', node)) AS h FROM box{level} GROUP BY tree, node)))""")
         for name in ("grow", "walk"):
-            parts.append(f"""{name}{level + 1} AS (SELECT tree, 2 * node + CASE WHEN vec[pick.dim] <= cut THEN 0 ELSE 1 END
+            parts.append(f"""{name}{level + 1} AS (SELECT tree, 2 * node + CASE WHEN vec[dim] <= cut THEN 0 ELSE 1 END
     AS node, row_id, vec FROM {name}{level} JOIN cut{level} USING (tree, node))""")
         parts.append(f"size{level} AS (SELECT tree, node, count(*) AS n FROM grow{level} GROUP BY tree, node)")
         parts.append(f"""stop{level} AS (SELECT row_id, tree, {level} + {mean_path('n')} AS path FROM walk{level}

@@ -281,7 +281,7 @@ def pool_cls(spark, sf):
 
 @query
 def pool_mean(spark, sf):
-    return src.long_vectors(enc.pool_mean(src.token_vectors(spark, sf), 8), digits=9)
+    return src.long_vectors(enc.pool_mean(src.token_vectors(spark, sf)), digits=9)
 
 
 @query

@@ -6,7 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -50,10 +51,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `write_out` writes inside are dropped at the end, but for those written with `keep`."""
+    paths: list[str] = []
+    _owned.append(paths)
+    try:
+        yield
+    finally:
+        _owned.remove(paths)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_out(df: DataFrame, name: str, partition_by: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _owned and not keep:
+        _owned[-1].append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

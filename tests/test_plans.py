@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -81,6 +82,17 @@ def test_grid_survives_a_failing_pair(spark, sf, tmp_path):
     assert known > 0 and log.count() == known == read_log(spark, root).count()
 
 
+def test_scratch_tables_go_with_their_pair(spark, sf, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(benchmark, "write_out", lambda *a, f=benchmark.write_out, **k: written.append((k.get("keep"), f(*a, **k))) or written[-1][1])
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    out, log = benchmark.run_grid({"p": lambda: vectors}, {"HBOS": HBOS}, {}, share=0.5)
+    assert out.count() == 1 and log.count() > 0 and len(written) > 3
+    for keep, df in written:
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").split("/split=")[0]
+        assert os.path.exists(folder.replace("//", "")) is bool(keep)
+
+
 def test_study_over_pairs_of_datasets_and_encoders(spark, sf, monkeypatch):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
     pairs, seen = spark.createDataFrame([("a", "en", "x"), ("a", "en", "y")], "dataset string, lang string, encoder string"), []
