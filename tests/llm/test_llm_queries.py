@@ -1,0 +1,53 @@
+"""The registered queries on the small test tables: columns, types, one row each, and SQL where there is some."""
+
+import hashlib
+import re
+
+import __spark_entry__ as entry
+import pytest
+from compare import difference, duck
+from lonetext.llm.catalog import LLM_ORACLE, LLM_QUERIES
+
+COLUMNS = {
+    "op1_quality_outliers": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint "
+                            "n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op2_mix_sources": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op3_jaccard_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
+    "op4_benchmark_passages": "doc_id:bigint contaminated:boolean",
+    "op5_lm_scores": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double "
+                     "score:double",
+    "op6_warc_round_trip": "page_id:bigint payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint",
+    "op7_cotrained_quality": "doc_id:bigint score:double kept:boolean",
+    "op8_page_text": "page_id:bigint url:string text:string n_chars:bigint",
+    "op9_token_counts": "doc_id:bigint n_tokens:bigint",
+    "op10_secret_scan": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string",
+}
+
+
+def test_all_are_registered():
+    assert set(LLM_QUERIES) == {*COLUMNS, "pipeline"} <= set(entry.queries())
+    assert set(LLM_ORACLE) <= set(LLM_QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(LLM_ORACLE))
+def test_matches_sql(spark, sf, name):
+    assert difference(entry.queries()[name](spark, sf), duck(sf), LLM_ORACLE[name]) is None
+
+
+@pytest.mark.parametrize("name", ["op4_benchmark_passages", "op6_warc_round_trip", "op8_page_text", "op9_token_counts",
+                                  "op10_secret_scan"])
+def test_columns_and_rows(spark, sf, name):
+    df = entry.queries()[name](spark, sf)
+    assert set(COLUMNS[name].split()) <= {f"{n}:{t}" for n, t in df.dtypes}
+    source = "pages" if "page_id" in df.columns else "documents"
+    assert df.count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
+
+
+def test_digest_of_base_spans(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = entry.queries()["op10_secret_scan"](spark, sf).collect()
+    assert sum(r.n_hex for r in rows) > 0
+    for r in rows:
+        base = [s for s in r.spans.split(",") if s and not s.startswith("entropy")]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r.n_hex == len([m for m in re.findall("[0-9a-f]+", texts[r.doc_id] or "") if len(m) >= 24])
