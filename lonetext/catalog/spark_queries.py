@@ -384,7 +384,7 @@ DETECTORS: dict[str, Callable[[], Detector]] = {
     "deep_svdd": lambda: DeepSVDD(epochs=EPOCHS),
     "deep_sad": lambda: DeepSAD(epochs=EPOCHS),
     "devnet": lambda: DevNet(epochs=EPOCHS),
-    "xgbod": lambda: XGBOD(max_iter=10),
+    "xgbod": XGBOD,
     "mlp": lambda: MLP(max_iter=EPOCHS),
 }
 for _name, _make in DETECTORS.items():

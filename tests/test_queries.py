@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from lonetext.catalog.spark_queries import QUERIES as OWN
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in OWN}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
