@@ -35,9 +35,9 @@ from lonetext.llm.words import coded, column, hashed, slices, split, texts_of, t
 CLASSES = 256
 FREQUENT = 1 << 18
 DIM = 24
-SHARDS = 8
+SHARDS = 4
 EPOCHS = 3
-STEPS = 200
+STEPS = 300
 BATCH = 2048
 NOISE = 128
 RATE = 0.1
@@ -284,13 +284,16 @@ def _shard_trainer(held: Broadcast, noise: np.ndarray, epoch: int, shards: int,
 
 def train(triples: DataFrame, known: Vocabulary, shards: int = SHARDS, epochs: int = EPOCHS,
           steps: int = STEPS) -> LogBilinear:
-    """Epochs over the shards of the triple counts; a shard's parameters count by its tokens. Triples are at most
-    (classes + 1)^3 rows, shards a fixed number, and what a shard sends back a few thousand numbers."""
+    """Epochs of `shards` runs that each draw from the counts of all triples; their parameters are averaged.
+
+    Runs on different triples would drift apart. Triples are at most (classes + 1)^3 rows, however many documents there
+    are, shards a fixed number, and what a shard sends back a few thousand numbers.
+    """
     spark = triples.sparkSession
     noise = (known.class_counts + 0.5) / (known.class_counts + 0.5).sum()
     model = LogBilinear.fresh(known.class_counts)
-    dealt = write_out(triples.repartition(shards, F.pmod(F.xxhash64("key"), F.lit(shards)))
-                      .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")), "lm-triples")
+    stored = write_out(triples, "lm-triples")
+    dealt = stored.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     for epoch in range(epochs):
         held = spark.sparkContext.broadcast(model)
 
