@@ -9,7 +9,8 @@ A text's set are its distinct word n-grams. Two texts link when their sets' Jacc
 3. Long lists are walked in order of size, in blocks: a block of sets skips all blocks that size and position rule out.
    What remains is bounded by a bitmap of each set and by answers already computed: if both sets have a known
    overlap with the same third set, their own overlap can only differ from it by what the third set lacks. A list gives
-   only the pairs that could join different components, as a forest, and lists are walked again until none is left.
+   only pairs that could join different components, as a forest and a few more a set, and lists are walked again until
+   none gives any.
 4. Candidates are verified on whole sets. Lists above `BLOCK` sets are split into pairs of blocks.
 
 Every step is exact but for 59-bit hashes of n-grams and 64-bit hashes of sets. Only connections matter for components,
@@ -40,7 +41,7 @@ SHARE = 85  # per cent of the union
 CELLS = 1 << 20  # of the frequency sketch
 CELL_BLOCK = 4096
 CLASS_BITS = 5  # frequency classes ahead of the hash in an n-gram's code
-BITMAP_BYTES = 128
+BITMAP_BYTES = 128  # at least; a bitmap has two bits and more per member
 SHORT = 16  # sets in a short list
 BLOCK = 2048  # sets of a long list in one task
 STRIPE = 128
@@ -100,11 +101,52 @@ def prefix_size(n: int, share: int = SHARE) -> int:
 
 
 def bitmap(codes: np.ndarray) -> bytes:
-    """Per bit the parity of the codes that fall on it: two bitmaps differ in no more bits than the sets in members."""
-    bits = np.bincount((codes & np.uint64(8 * BITMAP_BYTES - 1)).astype(np.int64), minlength=8 * BITMAP_BYTES) & 1
+    """Per bit the parity of the codes that fall on it: two bitmaps differ in no more bits than the sets in members.
+
+    Bits are a power of two, and the halves of a bitmap laid over each other are the bitmap of half the size.
+    """
+    size = max(8 * BITMAP_BYTES, 1 << (2 * len(codes) - 1).bit_length())
+    bits = np.bincount((codes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def stacked(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length, folded to `size` bytes, as rows of 64-bit words."""
+    rows = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+    while rows.shape[1] * 8 > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+class Bitmaps:
+    """Bitmaps of different lengths; a pair is compared at the length of the shorter one."""
+
+    def __init__(self, maps: list[bytes]):
+        self.size = np.array([len(m) for m in maps])
+        self.place = np.zeros(len(maps), np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        sizes = np.unique(self.size).tolist()
+        for size in sizes:
+            own = np.flatnonzero(self.size == size)
+            self.place[own] = np.arange(len(own))
+            for shorter in (s for s in sizes if s <= size):
+                self.rows[size, shorter] = stacked([maps[i] for i in own.tolist()], shorter)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which bitmap a[i] and bitmap b[i] differ."""
+        result = np.zeros(len(a), np.int64)
+        kind = self.size[a] * (1 << 32) + self.size[b]
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            one, other = k >> 32, k & 0xFFFFFFFF
+            shorter = min(one, other)
+            for some in np.array_split(at, len(at) * shorter // (32 << 20) + 1):
+                x, y = self.rows[one, shorter][self.place[a[some]]], self.rows[other, shorter][self.place[b[some]]]
+                result[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return result
+
+
 def set_table(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """(doc_id, n, node, prefix, bitmap) of every document; node is NULL for empty sets."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
@@ -235,14 +277,17 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def list_forest(frame: pd.DataFrame, share: int = SHARE) -> list[tuple[int, int]]:
-    """Pairs of one list (or two of its blocks) that may link and together join all that the list could join."""
+def list_forest(frame: pd.DataFrame, share: int = SHARE, extra: int = 0) -> list[tuple[int, int]]:
+    """Pairs of one list (or two of its blocks) that may link and together join all that the list could join.
+
+    Up to `extra` more pairs a set, those with the highest bounds, save further rounds when some do not link.
+    """
     frame = frame.sort_values(["n", "pos", "node"], kind="stable").reset_index(drop=True)
     n, pos, side = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "side"))
     comp = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
     if comp.max() == 0:
         return []
-    maps = np.frombuffer(b"".join(frame["bitmap"]), np.uint64).reshape(len(frame), -1)
+    maps = Bitmaps(frame["bitmap"].tolist())
     known = frame["ref"].notna().to_numpy()
     ref, overlap = (np.array([v if k else 0 for v, k in zip(frame[c], known)], np.int64) for c in ("ref", "overlap"))
     nodes = frame["node"].to_numpy(np.int64)
@@ -263,8 +308,7 @@ def list_forest(frame: pd.DataFrame, share: int = SHARE) -> list[tuple[int, int]
         if not len(a):
             continue
         least = needed(n[a], n[b], share)
-        differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-        bound = (n[a] + n[b] - differ) // 2
+        bound = (n[a] + n[b] - maps.differ(a, b)) // 2
         # the answer derived from a third set: what one set has of it, and what the other has beside it
         same = known[a] & known[b] & (ref[a] == ref[b])
         derived = np.minimum(overlap[a] + n[b] - overlap[b], overlap[b] + n[a] - overlap[a])
@@ -272,20 +316,23 @@ def list_forest(frame: pd.DataFrame, share: int = SHARE) -> list[tuple[int, int]
         good = bound >= least
         found.append(np.stack([a[good], b[good], (bound - least)[good]], axis=1))
     edges = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-    parent = np.arange(comp.max() + 1)
+    parent, degree = np.arange(comp.max() + 1), np.zeros(len(n), np.int64)
     result = []
     for a, b, _ in edges[np.argsort(-edges[:, 2], kind="stable")].tolist():
         if (a, b) in barred or (b, a) in barred:
             continue
         x, y = _root(parent, comp[a]), _root(parent, comp[b])
-        if x != y:
+        if x != y or degree[a] < extra and degree[b] < extra:
             parent[x] = y
+            degree[[a, b]] += 1
             result.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
     return result
 
 
-def long_pairs(members: DataFrame, share: int = SHARE) -> DataFrame:
-    """Forests of the long lists. A list above BLOCK sets is dealt to blocks, and every two blocks are one group."""
+def long_pairs(members: DataFrame, share: int = SHARE, extra: int = 0) -> DataFrame:
+    """(gram, a, b): forests of the long lists that hold more than one component. A list above BLOCK sets is dealt to blocks, and every two blocks are one group."""
+    open_ = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    members = members.join(open_.filter("low < high").select("gram"), "gram", "left_semi")
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -294,9 +341,10 @@ def long_pairs(members: DataFrame, share: int = SHARE) -> DataFrame:
     dealt = dealt.withColumn("side", side).drop("blocks", "mine", "other", "k")
 
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list_forest(frame, share), columns=["a", "b"], dtype="int64")
+        found = pd.DataFrame(list_forest(frame, share, extra), columns=["a", "b"], dtype="int64")
+        return found.assign(gram=frame["gram"].iloc[0])[["gram", "a", "b"]]
 
-    return dealt.groupBy("gram", "first", "second").applyInPandas(forest, "a long, b long").distinct()
+    return dealt.groupBy("gram", "first", "second").applyInPandas(forest, "gram long, a long, b long")
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -311,8 +359,8 @@ def pass_bitmaps(pairs: DataFrame, nodes: DataFrame, share: int = SHARE) -> Data
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
-            maps = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5)]
-            differ = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1, dtype=np.int64)
+            maps, at = Bitmaps(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.arange(len(a))
+            differ = maps.differ(at, at + len(a))
             good = (n_a + n_b - differ) // 2 >= needed(n_a, n_b, share)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
@@ -350,6 +398,7 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
 
     checked = write_out(compare(pairs), "join-checked")
     labels = components(checked.filter("linked"))
+    round_ = 0
     while True:
         partners = checked.select("a", "b", "overlap", "linked").unionByName(
             checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", "linked"))
@@ -359,9 +408,12 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
         answers = answers.select("node", "best.ref", "best.overlap", "barred")
         members = (long.join(labels, "node", "left").join(answers, "node", "left")
                    .withColumn("component", F.coalesce("component", "node")))
-        new = write_out(long_pairs(members, share), "join-forest")
-        if new.isEmpty():
+        found = write_out(long_pairs(members, share, 4 ** (round_ + 1)), "join-forest")
+        if found.isEmpty():
             return labels
+        # A list that gave no pair is done for good: its candidates only become fewer.
+        long = long.join(found.select("gram").distinct(), "gram", "left_semi")
+        new, round_ = found.select("a", "b").distinct(), round_ + 1
         checked = write_out(checked.unionByName(compare(new)), "join-checked")
         labels = components(checked.filter("linked"))
 

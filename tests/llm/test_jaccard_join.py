@@ -82,12 +82,24 @@ def test_prefix_and_bitmap_bounds_are_safe():
         b = np.unique(np.concatenate([r.choice(a, max(1, len(a) * 9 // 10)), r.integers(0, 400, 5).astype(np.uint64)]))
         overlap, least = len(np.intersect1d(a, b)), jj.needed(len(a), len(b))
         assert (100 * overlap >= 85 * (len(a) + len(b) - overlap)) == (overlap >= least)
-        maps = [np.frombuffer(jj.bitmap(x), np.uint8) for x in (a, b)]
-        assert (len(a) + len(b) - int(np.bitwise_count(maps[0] ^ maps[1]).sum())) // 2 >= overlap
+        differ = jj.Bitmaps([jj.bitmap(a), jj.bitmap(b)]).differ(np.array([0]), np.array([1]))[0]
+        assert (len(a) + len(b) - differ) // 2 >= overlap
         if overlap >= least:
             assert set(a[:jj.prefix_size(len(a))].tolist()) & set(b[:jj.prefix_size(len(b))].tolist())
 
 
+def test_bitmaps_of_different_sizes():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 1 << 60, n).astype(np.uint64)) for n in (3, 500, 600, 1100, 5000)]
+    sets += [np.concatenate([s, s[:2] ^ np.uint64(7)]) for s in sets]
+    maps = jj.Bitmaps([jj.bitmap(s) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for i, j, d in zip(a, b, maps.differ(a, b)):
+        assert d <= len(np.setxor1d(sets[i], sets[j])) and (d == 0) == (i == j)
+    near = maps.differ(np.array([3]), np.array([8]))[0]
+    assert near <= 2 and maps.differ(np.array([1]), np.array([2]))[0] > 400
+
+
 def test_derived_answers_bar_pairs():
     """Two sets that both overlap little with a third, in different members, cannot link."""
     zeros = bytes(jj.BITMAP_BYTES)
