@@ -35,7 +35,10 @@ class _Trained(Detector):
     def _start(self, train: DataFrame, decay: float = 0.0) -> int:
         self.loop = GradientFit(self.epochs, self.batches, self.rate, decay, self.seed)
         self.loop.prepare(train, ["y_semi"] if self.uses_labels else [])
-        return self.loop.table.select(F.size("embedding")).first()[0]
+        first = self.loop.table.select(F.size("embedding")).first()
+        if first is None:
+            raise ValueError("no training rows")
+        return first[0]
 
     def _scored(self, rows: DataFrame, scorer: Callable, state) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(state)
