@@ -1,16 +1,21 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation, over all documents.
 
 Tokens are the words of a text with A-Z in lower case, then one end token. Token counts come from all training
-documents. The model's classes are the most frequent words, the end token and one class for all rarer words; it predicts
-the class of a token from the two classes before it: their vectors, each scaled per dimension, add up to the predicted
-vector, and its product with a class's vector plus the class's offset is the score. Training draws from the counts of all
-class triples of the training documents; each shard runs steps of noise-contrastive estimation and the shards'
-parameters are averaged after every epoch. Scoring normalises by one matrix product per batch of distinct contexts. A
-rare word has its class's probability times its smoothed share of the class, so the probabilities of all words and the
-unknown word add up to one.
-
-Bounds: the classes (`CLASSES`), the table of frequent counts sent to every task (`FREQUENT`; all other words are joined
-by hash), the steps of training. Counts and triples cover every training document. Words are told apart by 64-bit hashes.
+documents. The `WORDS` most frequent words and the end token have a vector as context and one as target. The model
+predicts a token from the two before it in two levels: their vectors, each scaled per dimension, add up to the predicted
+vector, whose products with the heads' vectors plus offsets score the heads. The most frequent words and the end token
+are heads of their own (the classes), the other words are members of heads of `GROUP` words of like frequency, scored
+within their head in the same way, and one head (`REST`) stands for all words beyond the vocabulary. Scoring normalises
+both levels by matrix products. A word beyond the vocabulary has its head's probability times its smoothed share of the
+head, so the probabilities of all words and the unknown word add up to one.
+
+An epoch is a pass over every token of the training documents: texts are kept as word numbers, dealt at random to shards
+of about `SHARD_TOKENS` tokens, whose number grows with the corpus, and every shard runs steps of noise-contrastive
+estimation over its rows. A vector of the next epoch is the mean over the shards, weighted by how often each met it.
+
+Bounds: the vocabulary (`WORDS`), the classes (`CLASSES`), the table of frequent counts sent to every task (`FREQUENT`;
+all other words are joined by hash). Counts and passes cover every training document. Words are told apart by 64-bit
+hashes.
 
 Defined results: a NULL or empty text is the end token alone; a NULL id belongs to the training documents. Repeated rows
 count and score one by one. Without training documents every word is unknown, and the model equals the base.
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,16 +39,20 @@ from lonetext.llm.words import coded, column, hashed, slices, split, texts_of, t
 
 CLASSES = 256
 FREQUENT = 1 << 18
+WORDS = 1 << 17
+GROUP = 256
 DIM = 24
-SHARDS = 4
+SHARD_TOKENS = 4 << 20
 EPOCHS = 3
-STEPS = 300
+STEPS = 300  # at least, in a shard and epoch: a small shard is passed over several times
 BATCH = 2048
 NOISE = 128
+MEMBER_NOISE = 4  # of a row, from its own head
+MODEL_BLOCK = 1024  # rows of the model's table in a row of the shuffle
 RATE = 0.1
 FLUSH = 1 << 20
 END = np.uint64(1)  # the hash of the end token; no word hash is below 16
-REST = 0  # the class of rare words
+REST = 0  # the class of words without one; as a head, of words beyond the vocabulary
 
 HELD_OUT_REMAINDER = 1
 
@@ -121,6 +130,27 @@ class Vocabulary:
     train_tokens: int
     distinct: int
     class_counts: np.ndarray
+    n_members: int = 0  # vocabulary words without a class of their own, numbered after the classes
+    codes: np.ndarray = field(default=None)  # number of each frequent token; REST beyond the vocabulary
+
+    def __post_init__(self) -> None:
+        if self.codes is None:
+            self.codes = self.classes
+        own = self.codes >= self.n_classes
+        self.member_counts = np.zeros(self.n_members, np.int64)
+        self.member_counts[self.codes[own] - self.n_classes] = self.counts[own]
+
+    @property
+    def n_words(self) -> int:
+        return self.n_classes + self.n_members
+
+    @property
+    def head_counts(self) -> np.ndarray:
+        """Counts of the classes, REST without the members, and of the heads of members."""
+        own = self.class_counts.copy()
+        own[REST] -= self.member_counts.sum()
+        return np.concatenate([own, np.add.reduceat(self.member_counts, np.arange(0, self.n_members, GROUP))
+                               if self.n_members else self.member_counts])
 
     @property
     def base_total(self) -> float:
@@ -132,6 +162,11 @@ class Vocabulary:
         own = self.n_classes - 1
         return self.train_tokens - self.class_counts[1:].sum() + 0.5 * (self.distinct - own + 1)
 
+    @property
+    def beyond_total(self) -> float:
+        """The same of the tokens beyond the vocabulary."""
+        return self.rest_total - self.member_counts.sum() - 0.5 * self.n_members
+
     def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token among the frequent ones, and whether it is one."""
         at = np.searchsorted(self.keys, tokens)
@@ -139,7 +174,7 @@ class Vocabulary:
         return at, (self.keys[at] == tokens if len(self.keys) else np.zeros(len(tokens), bool))
 
 
-def vocabulary(counts: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT) -> Vocabulary:
+def vocabulary(counts: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT, words: int = WORDS) -> Vocabulary:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "key").limit(frequent).toArrow()  # at most `frequent` pairs of numbers
     keys, number = top["key"].to_numpy().view(np.uint64), top["c"].to_numpy()
@@ -153,161 +188,325 @@ def vocabulary(counts: DataFrame, n_classes: int = CLASSES, frequent: int = FREQ
     class_counts = np.zeros(size, np.int64)
     class_counts[classes[own]] = number[own]
     class_counts[REST] = int(sums[0]) - class_counts[1:].sum()
+    codes, members = classes.copy(), order[len(own):words]
+    codes[members] = np.arange(size, size + len(members))
     at = np.argsort(keys)
-    return Vocabulary(keys[at], number[at], classes[at], size, int(sums[0]), int(sums[1]), class_counts)
+    return Vocabulary(keys[at], number[at], classes[at], size, int(sums[0]), int(sums[1]), class_counts, len(members),
+                      codes[at])
 
 
-def class_triples(tokens: np.ndarray, bounds: np.ndarray, known: Vocabulary) -> np.ndarray:
-    """(before last, last, class) of every token as one number each; the start of a text is class `n_classes`."""
+def word_codes(tokens: np.ndarray, known: Vocabulary) -> np.ndarray:
     at, found = known.places(tokens)
-    own = np.where(found, known.classes[at] if len(known.keys) else 0, REST)
-    base = known.n_classes + 1
-    start = np.full(2, known.n_classes)
+    return np.where(found, known.codes[at] if len(known.keys) else 0, REST)
+
+
+def code_triples(own: np.ndarray, bounds: np.ndarray, n_words: int) -> np.ndarray:
+    """(before last, last, own) of every word number as one number each; the start of a text is `n_words`."""
+    base = n_words + 1
+    start = np.full(2, n_words)
     last, before = np.concatenate([start[:1], own[:-1]]), np.concatenate([start, own[:-2]])[:len(own)]
     first = bounds[:-1]
-    last[first] = known.n_classes
-    before[first] = known.n_classes
+    last[first] = n_words
+    before[first] = n_words
     second = first[np.diff(bounds) > 1] + 1
-    before[second] = known.n_classes
+    before[second] = n_words
     return (before * base + last) * base + own
 
 
-def triple_counts(training: DataFrame, known: Vocabulary) -> DataFrame:
+def class_triples(tokens: np.ndarray, bounds: np.ndarray, known: Vocabulary) -> np.ndarray:
+    return code_triples(word_codes(tokens, known), bounds, known.n_words)
+
+
+def coded_texts(training: DataFrame, known: Vocabulary, shards: int) -> DataFrame:
+    """(shard, row, codes) of every training document: its word numbers, dealt to shards at random."""
     held = training.sparkSession.sparkContext.broadcast(known)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                tally.add(class_triples(*token_hashes(texts_of(part)), held.value))
-                yield from tally.taken(FLUSH)
-        yield from tally.taken()
+                tokens, bounds = token_hashes(texts_of(part))
+                codes = word_codes(tokens, held.value).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [codes[start:end].tobytes() for start, end in zip(bounds[:-1], bounds[1:])], pa.binary())], ["codes"])
 
-    return training.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    rows = training.select("text").mapInArrow(code, "codes binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "codes")
 
 
 @dataclass
 class LogBilinear:
-    """Class vectors as context (start included) and as target, scales of the two places, offsets."""
+    """Word vectors as context (start included), heads' vectors as target, scales of the two places, offsets of the
+    heads, and vectors and offsets of the members within their heads."""
     context: np.ndarray
     target: np.ndarray
     scale: np.ndarray
     offset: np.ndarray
+    member: np.ndarray
+    member_offset: np.ndarray
 
     @staticmethod
-    def fresh(class_counts: np.ndarray, dim: int = DIM, seed: int = 0) -> "LogBilinear":
+    def fresh(class_counts: np.ndarray, dim: int = DIM, seed: int = 0,
+              member_counts: np.ndarray = np.empty(0, np.int64)) -> "LogBilinear":
+        """`class_counts` are the heads' counts, those of the members' heads last."""
         draw = np.random.default_rng(seed)
-        n = len(class_counts)
+        n, m = len(class_counts), len(member_counts)
         share = (class_counts + 0.5) / (class_counts.sum() + 0.5 * n)
-        return LogBilinear(draw.normal(0, 0.1, (n + 1, dim)), draw.normal(0, 0.1, (n, dim)), np.ones((2, dim)),
-                           np.log(share))
+        head = np.arange(m) // GROUP
+        inside = np.bincount(head, member_counts + 0.5)[head] if m else np.empty(0)
+        return LogBilinear(draw.normal(0, 0.1, (n - -(-m // GROUP) + m + 1, dim)), draw.normal(0, 0.1, (n, dim)),
+                           np.ones((2, dim)), np.log(share), draw.normal(0, 0.1, (m, dim)),
+                           np.log((member_counts + 0.5) / inside))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.scale, self.offset]
+        return [self.context, self.target, self.scale, self.offset, self.member, self.member_offset]
+
+    @property
+    def n_classes(self) -> int:
+        return len(self.context) - 1 - len(self.member)
+
+    def heads(self, words: np.ndarray) -> np.ndarray:
+        return np.where(words < self.n_classes, words, self.n_classes + (words - self.n_classes) // GROUP)
 
     def predicted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         return self.context[before] * self.scale[0] + self.context[last] * self.scale[1]
 
     def log_probability(self, triples: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the classes' probabilities, normalised once per distinct context."""
-        base = len(self.offset) + 1
+        """Natural logarithms of the words' probabilities, heads normalised once per distinct context."""
+        base = len(self.context)
         pairs, inverse = np.unique(triples // base, return_inverse=True)
         hidden = self.predicted(pairs // base, pairs % base).astype(np.float32)
-        target, offset = self.target.astype(np.float32), self.offset.astype(np.float32)
+        target, offset, member, member_offset = (x.astype(np.float32) for x in (
+            self.target, self.offset, self.member, self.member_offset))
         norm = np.empty(len(pairs))
-        for at in range(0, len(pairs), 8192):
-            logits = hidden[at:at + 8192] @ target.T + offset
-            top = logits.max(axis=1)
-            norm[at:at + 8192] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
-        own = triples % base
+        for at in range(0, len(pairs), 1024):
+            norm[at:at + 1024] = _log_sums(hidden[at:at + 1024] @ target.T + offset)
+        words = triples % base
+        own = self.heads(words)
         result = np.empty(len(triples))
         for at in range(0, len(triples), 1 << 18):
             rows = slice(at, at + (1 << 18))
             result[rows] = (np.einsum("ij,ij->i", hidden[inverse[rows]], target[own[rows]]) + offset[own[rows]]
                             - norm[inverse[rows]])
+        inner = np.flatnonzero(words >= self.n_classes)
+        inner = inner[np.argsort(own[inner], kind="stable")]
+        cuts = np.flatnonzero(np.diff(own[inner])) + 1
+        for some in np.split(inner, cuts) if len(inner) else ():
+            first = (own[some[0]] - self.n_classes) * GROUP
+            for at in range(0, len(some), 4096):
+                rows = some[at:at + 4096]
+                logits = hidden[inverse[rows]] @ member[first:first + GROUP].T + member_offset[first:first + GROUP]
+                place = words[rows] - self.n_classes - first
+                result[rows] += logits[np.arange(len(rows)), place]
+                result[rows] -= _log_sums(logits)
         return result
 
+    def table(self) -> np.ndarray:
+        """All numbers as rows of vector and offset: contexts, members, heads, scales."""
+        offsets = [np.zeros(len(self.context)), self.member_offset, self.offset, np.zeros(2)]
+        return np.column_stack([np.concatenate([self.context, self.member, self.target, self.scale]),
+                                np.concatenate(offsets)]).astype(np.float32)
+
+    def of_table(self, table: np.ndarray) -> "LogBilinear":
+        context, member, target, scale = np.split(table, np.cumsum([len(self.context), len(self.member),
+                                                                    len(self.target)]))
+        return LogBilinear(context[:, :-1], target[:, :-1], scale[:, :-1], target[:, -1], member[:, :-1], member[:, -1])
+
+
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; `logits` is overwritten."""
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top + np.log((logits @ np.ones(logits.shape[1], logits.dtype)).astype(np.float64))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
 
 def _scattered(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of values added up by row number, as a matrix product."""
-    hot = np.zeros((size, len(rows)), np.float32)
-    hot[rows, np.arange(len(rows))] = 1
-    return hot @ values
+    """Rows of values added up by row number."""
+    result = np.zeros((size, values.shape[1]), np.float32)
+    distinct, sums = _summed(rows, values)
+    result[distinct] = sums
+    return result
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct row numbers and the sums of their values."""
+    order = np.argsort(rows.astype(np.int32))
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    times = np.diff(np.append(first, len(rows)))
+    if times.max() > 32:
+        return rows[first], np.add.reduceat(values[order], first, axis=0)
+    sums, live = values[order[first]], np.flatnonzero(times > 1)
+    for k in range(1, times.max()):
+        sums[live] += values[order[first[live] + k]]
+        live = live[times[live] > k + 1]
+    return rows[first], sums
 
 
 def nce_steps(model: LogBilinear, triples: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, seed: int,
-              batch: int = BATCH, n_noise: int = NOISE, rate: float = RATE) -> LogBilinear:
-    """AdaGrad steps of noise-contrastive estimation on triples drawn by their counts.
-
-    All rows of a step share their noise classes, so the noise side is two matrix products.
+              batch: int = BATCH, n_noise: int = NOISE, rate: float = RATE,
+              met: np.ndarray | None = None) -> LogBilinear:
+    """AdaGrad steps of noise-contrastive estimation: whole passes over all triples in an order drawn anew, weighted by
+    their counts, until there are `steps` steps.
+
+    All rows of a step share their noise heads, so that noise is two matrix products; a member's noise is drawn from
+    its own head evenly, since members of a head are about equally frequent. `met` takes how often each row of the
+    model's table had a gradient.
     """
     draw = np.random.default_rng(seed)
-    share, base = counts / counts.sum(), len(model.offset) + 1
-    running = np.cumsum(share)
-    context, target, scale, offset = (x.astype(np.float32).copy() for x in model.arrays())
-    sums = [np.full_like(x, 1e-2) for x in (context, target, scale, offset)]
-    log_kq = np.log(n_noise * noise)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for _ in range(steps):
-        rows = triples[np.minimum(np.searchsorted(running, draw.random(batch)), len(triples) - 1)]
-        own, last, before = rows % base, rows // base % base, rows // base // base
-        false = draw.choice(len(noise), n_noise, p=noise)
-        hidden = context[before] * scale[0] + context[last] * scale[1]
-        true_error = sigmoid((hidden * target[own]).sum(axis=1) + offset[own] - log_kq[own]) - 1
-        false_error = sigmoid(hidden @ target[false].T + offset[false] - log_kq[false])
-        back = true_error[:, None] * target[own] + false_error @ target[false]
-        d_target = (_scattered(own, true_error[:, None] * hidden, len(target))
-                    + _scattered(false, false_error.T @ hidden, len(target))) / batch
-        d_offset = (np.bincount(own, true_error, len(target))
-                    + np.bincount(false, false_error.sum(axis=0), len(target))) / batch
-        d_context = (_scattered(before, back * scale[0], len(context))
-                     + _scattered(last, back * scale[1], len(context))) / batch
-        d_scale = np.stack([(back * context[before]).mean(axis=0), (back * context[last]).mean(axis=0)])
-        for x, total, d in zip((context, target, scale, offset), sums, (d_context, d_target, d_scale, d_offset)):
-            total += d * d
-            x -= (rate * d / np.sqrt(total)).astype(np.float32)
-    return LogBilinear(context, target, scale, offset)
-
-
-def _shard_trainer(held: Broadcast, noise: np.ndarray, epoch: int, shards: int,
-                   steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key")
-        shard, counts = int(frame["shard"].iloc[0]), frame["c"].to_numpy(float)
-        new = nce_steps(held.value, frame["key"].to_numpy(), counts, noise, steps, epoch * shards + shard,
-                        rate=RATE / (1 + epoch))
-        values = np.concatenate([x.ravel() for x in new.arrays()]).astype(np.float64)
-        return pd.DataFrame({"shard": [shard], "weight": [counts.sum()], "values": [values.tobytes()]})
+    base, first = len(model.context), model.n_classes
+    context, target, scale, offset, member, member_offset = (x.astype(np.float32) for x in model.arrays())
+    inner = np.column_stack([member, member_offset])
+    sums = [np.full_like(x, 1e-2) for x in (target, scale, offset)]
+    context_sums, inner_sums = np.ones_like(context), np.ones_like(inner)
+    met = np.zeros(len(model.table())) if met is None else met
+    met_context, met_inner, met_all = np.split(met, [base, base + len(member)])
+    log_kq = np.log(n_noise * noise).astype(np.float32)
+    log_kg = np.log(MEMBER_NOISE / np.arange(1, GROUP + 1)).astype(np.float32)
+    heads, weights, done = model.heads(triples % base), (counts / counts.mean()).astype(np.float32), 0
+    while True:
+        order = draw.permutation(len(triples))
+        for at in range(0, len(order), batch):
+            chosen = order[at:at + batch]
+            rows, own, w = triples[chosen], heads[chosen], weights[chosen]
+            word, last, before = rows % base, rows // base % base, rows // base // base
+            false = draw.choice(len(noise), n_noise, p=noise)
+            one, other, total = context[before], context[last], w.sum()
+            hidden = one * scale[0] + other * scale[1]
+            true_error = w * (_sigmoid((hidden * target[own]).sum(axis=1) + offset[own] - log_kq[own]) - 1)
+            false_error = hidden @ target[false].T
+            false_error += offset[false] - log_kq[false]
+            _sigmoid(false_error)
+            false_error *= w[:, None]
+            back = true_error[:, None] * target[own] + false_error @ target[false]
+            d_target = (_scattered(own, true_error[:, None] * hidden, len(target))
+                        + _scattered(false, false_error.T @ hidden, len(target))) / total
+            d_offset = (np.bincount(own, true_error, len(target))
+                        + np.bincount(false, false_error.sum(axis=0), len(target))) / total
+            at_inner = np.flatnonzero(word >= first)
+            if len(at_inner):
+                place = word[at_inner] - first
+                start = place // GROUP * GROUP
+                size = np.minimum(GROUP, len(inner) - start)
+                drawn = start[:, None] + (draw.random((len(place), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
+                tried = np.column_stack([place, drawn])
+                vectors, near = inner[tried], hidden[at_inner]
+                error = _sigmoid(np.einsum("ijk,ik->ij", vectors[..., :-1], near) + vectors[..., -1]
+                                 - log_kg[size - 1, None])
+                error[:, 0] -= 1
+                error *= w[at_inner, None]
+                back[at_inner] += np.einsum("ij,ijk->ik", error, vectors[..., :-1])
+                with_one = np.column_stack([near, np.ones(len(near), np.float32)])
+                touched, d = _summed(tried.ravel(), (error[..., None] * with_one[:, None, :]).reshape(-1, inner.shape[1]))
+                inner_sums[touched] += d * d
+                inner[touched] -= rate * d / np.sqrt(inner_sums[touched])
+                met_inner[touched] += 1
+            d_scale = np.stack([(back * one).sum(axis=0), (back * other).sum(axis=0)]) / total
+            touched, d = _summed(np.concatenate([before, last]), np.concatenate([back * scale[0], back * scale[1]]))
+            context_sums[touched] += d * d
+            context[touched] -= rate * d / np.sqrt(context_sums[touched])
+            met_context[touched] += 1
+            for x, squares, d in zip((target, scale, offset), sums, (d_target, d_scale, d_offset)):
+                squares += d * d
+                x -= (rate * d / np.sqrt(squares)).astype(np.float32)
+            done += 1
+        if done >= steps:
+            break
+    met_all += done
+    return LogBilinear(context, target, scale, offset, inner[:, :-1], inner[:, -1])
+
+
+BLOCKS = "block int, moved binary, met binary"
+
+
+def _trainer(held: Broadcast, noise: np.ndarray, epoch: int, steps: int, batch: int,
+             shard_tokens: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass at least over the rows of a task, shard by shard; blocks of how far each row of the model's table moved,
+    in the mean over the shards, and how often it was met."""
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return fit
+        model, texts, size, n = held.value, [], 0, 0
+        old = model.table()
+        total, times = np.zeros(old.shape, np.float32), np.zeros(len(old), np.float32)
+
+        def pass_over() -> None:
+            bounds = np.cumsum([0, *(len(t) // 4 for t in texts)])
+            codes = np.frombuffer(b"".join(texts), np.int32).astype(np.int64)
+            triples = code_triples(codes, bounds, len(model.context) - 1)
+            met = np.zeros(len(old), np.float32)
+            seed = [epoch, TaskContext.get().partitionId(), n]
+            new = nce_steps(model, triples, np.ones(len(triples)), noise, steps, seed, batch, rate=RATE / (1 + epoch),
+                            met=met).table()
+            total[:] += (new - old) * met[:, None]
+            times[:] += met
+
+        for some in batches:
+            for text in some.column(0).to_pylist():
+                texts.append(text)
+                size += len(text) // 4
+                if size >= shard_tokens:
+                    pass_over()
+                    texts, size, n = [], 0, n + 1
+        if texts:
+            pass_over()
+        yield from _blocks(total, times)
 
+    return fit
 
-def train(triples: DataFrame, known: Vocabulary, shards: int = SHARDS, epochs: int = EPOCHS,
-          steps: int = STEPS) -> LogBilinear:
-    """Epochs of `shards` runs that each draw from the counts of all triples; their parameters are averaged.
 
-    Runs on different triples would drift apart. Triples are at most (classes + 1)^3 rows, however many documents there
-    are, shards a fixed number, and what a shard sends back a few thousand numbers.
-    """
-    spark = triples.sparkSession
-    noise = (known.class_counts + 0.5) / (known.class_counts + 0.5).sum()
-    model = LogBilinear.fresh(known.class_counts)
-    stored = write_out(triples, "lm-triples")
-    dealt = stored.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def _blocks(total: np.ndarray, times: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+    mean = (total / np.maximum(times, 1)[:, None]).astype(np.float16)
+    for at in range(0, len(times), MODEL_BLOCK):
+        rows = slice(at, at + MODEL_BLOCK)
+        if times[rows].any():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + at // MODEL_BLOCK], pa.int32()), pa.array([mean[rows].tobytes()], pa.binary()),
+                pa.array([times[rows].astype(np.float32).tobytes()], pa.binary())], ["block", "moved", "met"])
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    """The mean of several tasks' blocks, weighted by how often each row was met."""
+    total, times = 0.0, 0.0
+    for moved, met in sorted(zip(frame["moved"], frame["met"])):
+        met = np.frombuffer(met, np.float32).astype(np.float64)
+        total = total + np.frombuffer(moved, np.float16).reshape(len(met), -1) * met[:, None]
+        times = times + met
+    return next(_blocks(total, times, int(frame["block"].iloc[0]))).to_pandas()
+
+
+def train(training: DataFrame, known: Vocabulary, epochs: int = EPOCHS, steps: int = STEPS, batch: int = BATCH,
+          shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """Epochs over all training documents. A task holds one shard's word numbers and the model; what tasks send back is
+    added up on executors, and the driver receives one model an epoch."""
+    spark = training.sparkSession
+    counts = known.head_counts
+    noise = (counts + 0.5) / (counts + 0.5).sum()
+    model = LogBilinear.fresh(counts, member_counts=known.member_counts)
+    model = model.of_table(model.table())
+    shards = max(1, -(-known.train_tokens // shard_tokens))
+    stored = write_out(coded_texts(training, known, shards).repartition(shards, "shard").select("codes"), "lm-codes")
     for epoch in range(epochs):
         held = spark.sparkContext.broadcast(model)
-
-        rows = dealt.groupBy("shard").applyInPandas(
-            _shard_trainer(held, noise, epoch, shards, steps), "shard int, weight double, values binary").collect()
+        parts = stored.mapInArrow(_trainer(held, noise, epoch, steps, batch, shard_tokens), BLOCKS)
+        rows = parts.groupBy("block").applyInPandas(_added, BLOCKS).collect()  # one model, however many documents
+        held.destroy()
         if not rows:
             return model
-        rows.sort(key=lambda r: r.shard)
-        flat = sum(r.weight * np.frombuffer(r["values"]) for r in rows) / sum(r.weight for r in rows)
-        parts, at = [], 0
-        for x in model.arrays():
-            parts.append(flat[at:at + x.size].reshape(x.shape))
-            at += x.size
-        model = LogBilinear(*parts)
+        table = model.table()
+        for r in rows:
+            moved = np.frombuffer(r.moved, np.float16).reshape(-1, table.shape[1])
+            table[r.block * MODEL_BLOCK:(r.block + 1) * MODEL_BLOCK] += moved
+        model = model.of_table(table)
     return model
 
 
@@ -324,14 +523,14 @@ def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: LogBilin
 
         known, model = held.value
         row = TaskContext.get().partitionId() << 40
-        total, rest = math.log10(known.base_total), math.log10(known.rest_total)
+        total, rest = math.log10(known.base_total), math.log10(known.beyond_total)
         for batch in batches:
             for part in slices(batch):
                 tokens, bounds = token_hashes(texts_of(part))
                 at, found = known.places(tokens)
                 count = np.where(found, known.counts[at] if len(known.keys) else 0, 0)
                 triples = class_triples(tokens, bounds, known)
-                own = triples % (known.n_classes + 1)
+                own = triples % (known.n_words + 1)
                 smooth = np.where(found, np.log10(count + 0.5), 0.0)  # of rare words it is added after the join
                 by_model = model.log_probability(triples) / math.log(10) + np.where(own == REST, smooth - rest, 0.0)
                 n = len(bounds) - 1
@@ -368,11 +567,11 @@ def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: LogBilin
         (F.col("model") + smooth).alias("score"))
 
 
-def score_documents(docs: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT,
+def score_documents(docs: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT, words: int = WORDS,
                     **training: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     text = docs.filter(~held_out(F.col("doc_id"))).select("text")
     counts = write_out(token_counts(text), "lm-counts")
-    known = vocabulary(counts, n_classes, frequent)
-    model = train(triple_counts(text, known), known, **training)
+    known = vocabulary(counts, n_classes, frequent, words)
+    model = train(text, known, **training)
     return score(docs, counts, known, model)
