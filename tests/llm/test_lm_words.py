@@ -23,3 +23,27 @@ def test_probabilities_of_heads_and_members_add_up():
     for before, last in ((n, n), (0, 3), (2, n - 1)):
         p = np.exp(model.log_probability((before * (n + 1) + last) * (n + 1) + np.arange(n)))
         assert abs(p.sum() - 1) < 1e-4
+
+
+def test_an_epoch_meets_every_row():
+    n = 5000
+    counts = np.ones(n)
+    own = np.arange(n)
+    triples = (own * (n + 1) + own) * (n + 1) + own
+    fresh = lm.LogBilinear.fresh(counts)
+    model = lm.nce_steps(fresh, triples, counts, counts / n, 1, 0, batch=512, n_noise=16)
+    assert (model.context[:n] != fresh.context[:n].astype(np.float32)).any(axis=1).all()
+
+
+def test_shards_hold_every_document_and_grow_with_the_corpus(spark):
+    rows = [(i, f"a{i} b c", "en", "a", 1) for i in range(400)]
+    docs = docs_of(spark, rows)
+    known = lm.vocabulary(lm.token_counts(docs))
+    stored = lm.coded_texts(docs, known, 7).collect()
+    assert len(stored) == 400 and {r.shard for r in stored} == set(range(7))
+    codes = np.concatenate([np.frombuffer(r.codes, np.int32) for r in stored])
+    assert len(codes) == known.train_tokens == 1600 and (codes > 0).all() and len(np.unique(codes)) == 403
+    model = lm.train(docs, known, epochs=1, steps=1, shard_tokens=300)
+    fresh = lm.LogBilinear.fresh(known.head_counts, member_counts=known.member_counts)
+    moved = (model.context != fresh.context.astype(np.float32)).any(axis=1)
+    assert moved[known.codes[known.keys != lm.END]].all()
