@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages; each takes the documents the one before it kept, written as Parquet and read again.
 
-All stages but the last return the columns of documents. Rows without an id cannot be told apart and go together.
+All stages but the last return the columns of documents. The near-duplicate stage tells rows apart by a 64-bit hash of id
+and text, so rows without an id, or with an id that others carry too, are judged one by one.
 """
 
 from __future__ import annotations
@@ -27,12 +28,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of every group of documents that five-word shingles link."""
+    """One row of every group of rows that five-word shingles link: the one with the smallest id, no id last.
+
+    Of rows with equal id and text one stays, the one that is smallest in all columns.
+    """
     ship_package(spark)
-    found = jaccard_join.join_components(docs.select("doc_id", "text"), SHINGLE_WORDS, SHARE_PERCENT)
-    losers = write_out(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                       .select(F.col("doc_id").alias("lost_id")).distinct(), "pipeline-losers")
-    return docs.join(losers, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left_anti")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    found = jaccard_join.join_components(docs.select(key.alias("doc_id"), "text"), SHINGLE_WORDS, SHARE_PERCENT)
+    groups = found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")).distinct()
+    ids = docs.select(key.alias("row_key"), "doc_id").groupBy("row_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    rows = write_out(ids.join(groups, "row_key"), "pipeline-rows")
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "times")).alias("best"))
+    kept = write_out(kept.select("best.row_key", "best.times"), "pipeline-kept")
+    losers = write_out(rows.join(kept, "row_key", "left_anti").select("row_key"), "pipeline-losers")
+    repeated = write_out(kept.filter("times > 1").select("row_key"), "pipeline-repeated")
+    keyed = docs.withColumn("row_key", key)
+    once = keyed.join(losers.unionByName(repeated), "row_key", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return once
+    first = keyed.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(
+        F.min(F.struct(*docs.columns)).alias("first"))
+    return once.unionByName(first.select("first.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
