@@ -4,6 +4,10 @@ A page is cut into blocks at block-level tags. Each block has its words, its lin
 both for the block before and after, and whether it lies in a part marked as page furniture or as the article. A
 decision tree grown on the small labelled table below decides which blocks are main text.
 
+A class or id marks furniture if it names nothing else: "comments" or "site-footer", but not "has-sidebar". An article
+that lies in a part so marked, in a form or in a header is not furniture, unless it is marked itself; hidden parts,
+menus, asides and footers stay furniture with all they contain.
+
 Defined results: a NULL or empty page has the text "" with 0 characters. Markup may be broken: unclosed tags end with
 their parents, stray end tags are skipped, an unfinished tag or comment at the end is dropped. White space inside a block becomes one space,
 character references are decoded once, blocks follow the order of the page, one line each. Rows are treated one by one;
@@ -59,7 +63,7 @@ BLOCK_TAGS = frozenset(
     "tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is no text of the page.
-RAW_TAGS = frozenset("script style template noscript iframe object svg math head title textarea select".split())
+RAW_TAGS = frozenset("script style template noscript iframe object svg annotation annotation-xml head title textarea select".split())
 LOOSE_TAGS = frozenset("p li td th tr dt dd b i u em strong font option".split())  # often left unclosed, mark nothing
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
@@ -68,11 +72,16 @@ FURNITURE_WORDS = frozenset(
     "navigation menu footer header masthead sidebar aside cookie cookies consent notice alert popup modal overlay "
     "comment comments commentlist disqus reply replies respond related recommended share sharing social breadcrumb "
     "breadcrumbs newsletter subscribe signup login pagination pager toolbar widget copyright legal disclaimer".split())
+# Words that say where a part is or what shape it has.
+PLACE_WORDS = frozenset(
+    "site page main top bottom left right global primary secondary box bar list item section area block container "
+    "wrapper body inner outer links buttons icons form div".split())
+FIRM_TAGS = frozenset("nav footer aside menu dialog button label".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 TOKEN = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -133,19 +142,28 @@ def trained(labelled: np.ndarray = LABELLED) -> Tree:
     return Tree.grow(labelled[:, :-1], labelled[:, -1])
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether a tag opens page furniture, and whether it opens the article."""
+def _names_furniture(token: str) -> bool:
+    words = WORD.findall(token)
+    return not FURNITURE_WORDS.isdisjoint(words) and all(w in FURNITURE_WORDS or w in PLACE_WORDS for w in words)
+
+
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether a tag opens page furniture, whether an article in it is furniture too, and whether it opens the article."""
     furniture, article = tag in FURNITURE_TAGS or tag == "header" and not in_article, tag in ARTICLE_TAGS
+    firm = tag in FIRM_TAGS
     if attributes:
+        values: dict[str, str] = {}
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true":
-                furniture = True
-            elif name == "role":
-                furniture, article = furniture or value in FURNITURE_ROLES, article or value in ARTICLE_ROLES
-            elif name in ("class", "id") and tag not in ("body", "html"):
-                furniture = furniture or not FURNITURE_WORDS.isdisjoint(WORD.findall(value))
-    return furniture, article
+            quoted = value[:1] in ("'", '"') and value[:1] == value[-1:]
+            values.setdefault(name.lower(), (value[1:-1] if quoted else value).lower())  # the first of a name counts
+        if values.get("hidden", "false") != "false" or values.get("aria-hidden") == "true":
+            furniture = firm = True
+        role = values.get("role", "").strip()
+        furniture, article = furniture or role in FURNITURE_ROLES, article or role in ARTICLE_ROLES
+        if tag not in ("body", "html"):
+            tokens = f"{values.get('class', '')} {values.get('id', '')}".split()
+            furniture = furniture or any(_names_furniture(t) for t in tokens)
+    return furniture, firm, article
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
@@ -153,8 +171,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     result: list[tuple[str, int, float, bool, bool]] = []
     pieces: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    furniture = article = links = 0
+    stack: list[tuple[str, int, int, bool]] = []
+    soft = firm = article = links = 0  # marks of furniture that an article in it undoes, and others
 
     def flush() -> None:
         if pieces:
@@ -162,7 +180,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if text:
                 n = text.count(" ") + 1
                 inside = min(n, len(unescape(" ".join(linked)).split()))
-                result.append((text, n, inside / n, furniture > 0, article > 0))
+                result.append((text, n, inside / n, soft + firm > 0, article > 0))
             pieces.clear()
             linked.clear()
 
@@ -194,11 +212,11 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         elif tag == "br":
             pieces.append(" ")
         if closing:
-            if any(tag == open_tag for open_tag, _, _ in stack):
+            if any(tag == open_tag for open_tag, *_ in stack):
                 flush()
                 while True:
-                    open_tag, f, a = stack.pop()
-                    furniture, article, links = furniture - f, article - a, links - (open_tag == "a")
+                    open_tag, s, f, a = stack.pop()
+                    soft, firm, article, links = soft - s, firm - f, article - a, links - (open_tag == "a")
                     if open_tag == tag:
                         break
         elif tag in RAW_TAGS:
@@ -208,12 +226,15 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             elif tag in ("script", "style", "textarea", "title"):
                 at = size
         elif tag not in VOID_TAGS and not found[3].rstrip().endswith("/"):
-            f, a = _marks(tag, found[3], article > 0)
-            if tag not in LOOSE_TAGS or f or a:
-                if f or a:
+            marked, f, a = _marks(tag, found[3], article > 0)
+            if tag not in LOOSE_TAGS or marked or a:
+                if marked or a:
                     flush()
-                stack.append((tag, f, a))
-                furniture, article, links = furniture + f, article + a, links + (tag == "a")
+                s = int(marked and not f)
+                if a and not marked and not article:
+                    s = -soft
+                stack.append((tag, s, int(marked and f), a))
+                soft, firm, article, links = soft + s, firm + (marked and f), article + a, links + (tag == "a")
     flush()
     return result
 
