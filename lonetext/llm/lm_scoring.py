@@ -445,8 +445,8 @@ def _trainer(held: Broadcast, noise: np.ndarray, epoch: int, steps: int, batch:
             triples = code_triples(codes, bounds, len(model.context) - 1)
             met = np.zeros(len(old), np.float32)
             seed = [epoch, TaskContext.get().partitionId(), n]
-            new = nce_steps(model, triples, np.ones(len(triples)), noise, steps, seed, batch, rate=RATE / (1 + epoch),
-                            met=met).table()
+            new = nce_steps(model, triples, np.ones(len(triples)), noise, 1 if n else steps, seed, batch,
+                            rate=RATE / (1 + epoch), met=met).table()  # a rest is passed over once
             total[:] += (new - old) * met[:, None]
             times[:] += met
 
@@ -494,7 +494,7 @@ def train(training: DataFrame, known: Vocabulary, epochs: int = EPOCHS, steps: i
     model = LogBilinear.fresh(counts, member_counts=known.member_counts)
     model = model.of_table(model.table())
     shards = max(1, -(-known.train_tokens // shard_tokens))
-    stored = write_out(coded_texts(training, known, shards).repartition(shards, "shard").select("codes"), "lm-codes")
+    stored = write_out(coded_texts(training, known, shards).select("codes").repartition(shards), "lm-codes")
     for epoch in range(epochs):
         held = spark.sparkContext.broadcast(model)
         parts = stored.mapInArrow(_trainer(held, noise, epoch, steps, batch, shard_tokens), BLOCKS)
