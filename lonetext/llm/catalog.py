@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lonetext.llm import (decontamination, html_text, jaccard_join, lm_scoring, mixing, quality_classifier,
-                          quality_rules, secrets, token_counts, warc)
+from lonetext.llm import (decontamination, hard_negatives, html_text, jaccard_join, lm_scoring, mixing,
+                          quality_classifier, quality_rules, secrets, sharding, token_alignment, token_counts, warc)
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZERS = "/opt/tokenizers"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_LEVEL = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,21 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                           secrets.listed(spans).alias("spans"))
 
 
+def hard_negative_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows)
+
+
+def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs, BYTE_LEVEL, PIECES)
+
+
 LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_outliers": quality_outliers,
@@ -82,6 +99,9 @@ LLM_QUERIES = {
     "op8_page_text": page_texts,
     "op9_token_counts": unigram_counts,
     "op10_secret_scan": secret_scan,
+    "op11_hard_negatives": hard_negative_answers,
+    "op12_jump_shards": jump_shards,
+    "op13_token_alignment": token_groups,
 }
 
 
@@ -127,6 +147,45 @@ SELECT doc_id, size, source_size, target, taken,
        CASE WHEN first > 0 THEN {_time_sql("share")} END AS position FROM f
 """
 
-LLM_ORACLE = {"op2_mix_sources": MIX_SQL}
+NEGATIVES_SQL = """
+WITH l AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS v,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings),
+r AS (SELECT rid, vec_id, label, [floor(256 * x)::BIGINT FOR x IN v] AS x FROM l
+      WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS aid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same,
+             list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND len(a.x) = len(b.x) AND b.vec_id IS DISTINCT FROM a.vec_id),
+p AS (SELECT aid, anchor_id, rid AS pid, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id, rid) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY aid, pid ORDER BY s.score DESC, s.vec_id, s.rid) AS rank
+      FROM p JOIN s USING (aid) WHERE NOT s.same
+      AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+# The checksum and the jumps run byte by byte and jump by jump; a hash's high half as a number keeps 31 bits.
+SHARDS_SQL = f"""
+WITH RECURSIVE poly AS (
+    SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM poly WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM poly WHERE k = 8),
+k AS (SELECT DISTINCT doc_id, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 16))::UBIGINT::HUGEINT AS h FROM documents),
+j AS (SELECT doc_id, n, h, -1::BIGINT AS place, 0::BIGINT AS after FROM k, (VALUES (8), (9)) v(n)
+    UNION ALL SELECT doc_id, n, g, after, floor((after + 1) * (2147483648::DOUBLE / ((g // 8589934592) + 1)::DOUBLE))::BIGINT
+    FROM (SELECT *, (h * {sharding.FACTOR} + 1) % 18446744073709551616 AS g FROM j WHERE after < n)),
+s AS (SELECT doc_id, (max(place) FILTER (n = 8))::INT AS shard, (max(place) FILTER (n = 9))::INT AS grown_shard FROM j GROUP BY doc_id),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+c AS (SELECT doc_id, octet_length(bytes) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+             [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(bytes), '..')]),
+             lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crc)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY
+           md5(concat_ws(':', coalesce(c.doc_id::VARCHAR, '-'), size, text_crc32, grown_shard)), c.doc_id) - 1 AS slot,
+       grown_shard
+FROM c JOIN s ON c.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+LLM_ORACLE = {"op11_hard_negatives": NEGATIVES_SQL, "op12_jump_shards": SHARDS_SQL, "op2_mix_sources": MIX_SQL}
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
