@@ -32,6 +32,7 @@ from lonetext.llm.words import column, slices, texts_of
 
 SIDE_BITS = 24  # an id pair is one number: A's id times 2^24 plus B's
 KNOWN = 1 << 20  # pairs in the table that every task holds, those of most documents
+PART_BYTES = 1 << 20  # of texts that are aligned at a time: their tokens take some hundred times as much memory
 FLUSH = 1 << 21  # pairs a task adds up before it sends them on
 # Fixed value: the pattern that byte-level tokenizers split a text with before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -272,7 +273,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         side_a, side_b = Side(ByteLevel(path_a, file_a), "|"), Side(Pieces(path_b, file_b), ";")
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, slice_bytes=PART_BYTES):
                 # copies of a text that lie together are aligned once
                 coded = texts_of(part).dictionary_encode()
                 found = align(coded.dictionary, side_a, side_b)
