@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as tx
+from ..plans import report
 from ..plans.benchmark import LEVELS, ROUNDS
 from . import inputs as src
 
@@ -11,6 +12,10 @@ def _q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _double(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
 DOC = """doc AS (SELECT d.doc_id, d.doc_id AS row_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 WIKI = f"wiki AS (SELECT doc_id AS row_id, source AS title, {src.WIKI_NS} AS ns, {src.WIKI_TEXT} AS text FROM documents)"
@@ -223,10 +228,18 @@ ap AS (SELECT {by}, CASE WHEN any_value(p) > 0 THEN sum(CASE WHEN pos > 0 THEN p
 
 
 def _curve(x: str) -> str:
-    return f"""SELECT model, dataset, {x}, round(mean, 6) AS mean, round(sd, 6) AS sd, n,
-  round(mean - 1.96 * sd / sqrt(n), 6) AS lo, round(mean + 1.96 * sd / sqrt(n), 6) AS hi
+    digest = "md5(concat_ws(':', '42', replicate, run_id, model, dataset, round))"
+    reached = " + ".join(f"(u >= {_double(p)})::INT" for p in report.POISSON)
+    return f"""SELECT model, dataset, {x}, round(any_value(mean), 6) AS mean, round(any_value(sd), 6) AS sd, any_value(n) AS n,
+  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.025), 6) END AS lo,
+  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.975), 6) END AS hi
 FROM (SELECT model, dataset, {x}, avg(test_auc) AS mean, stddev_samp(test_auc) AS sd, count(*) AS n
-  FROM curve WHERE test_auc IS NOT NULL GROUP BY ALL)"""
+    FROM curve WHERE test_auc IS NOT NULL GROUP BY ALL)
+  JOIN (SELECT model, dataset, {x}, replicate, sum(times * test_auc) / nullif(sum(times), 0) AS m
+    FROM (SELECT *, {reached} AS times FROM (SELECT model, dataset, {x}, replicate, test_auc,
+      ('0x' || left({digest}, 13))::BIGINT / {_double(float(1 << 52))} AS u
+      FROM curve, range(1, {report.REPLICATES + 1}) r(replicate) WHERE test_auc IS NOT NULL)) GROUP BY ALL)
+  USING (model, dataset, {x}) GROUP BY model, dataset, {x}"""
 
 
 def _replace(text: str, pattern: str, to: str = "") -> str:
@@ -275,10 +288,9 @@ ORACLE: dict[str, str] = {
     "cached_preparation": f"WITH {DOC} SELECT true AS first_built, false AS second_built, count(*) AS n_rows FROM doc",
     "combine": f"""{LONG}, label FROM (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vec, label
         FROM embeddings)""",
-    "result_append": f"""WITH {DOC}, {RES}, twice AS (SELECT * FROM res UNION ALL SELECT * FROM res)
-        SELECT run_id, model, dataset, contamination, round, n_known_outliers, train_size, test_size,
-          round(test_auc, 6) AS test_auc, round(test_ap, 6) AS test_ap FROM twice""",
-    "result_readback": f"""WITH {DOC}, {RES} SELECT model, dataset, 2 * count(*) AS n, round(avg(test_auc), 6) AS mean_auc
+    "result_append": f"""WITH {DOC}, {RES} SELECT run_id, model, dataset, contamination, round, n_known_outliers, train_size, test_size,
+          round(test_auc, 6) AS test_auc, round(test_ap, 6) AS test_ap FROM res""",
+    "result_readback": f"""WITH {DOC}, {RES} SELECT model, dataset, count(*) AS n, round(avg(test_auc), 6) AS mean_auc
         FROM res WHERE model IN ('m0', 'm2') AND dataset = 'en' GROUP BY model, dataset""",
     "labelled_index_log": f"""WITH {_grid()} SELECT concat('run-', contamination, '-', round) AS run_id, contamination,
           round, count(*) AS n_indices,

@@ -18,8 +18,8 @@ PRIORITY = ("Política", "Economia", "Saúde", "Ciência e tecnologia", "Cultura
 BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 # Markup and what it leaves behind, in the order applied. Templates and tables go innermost first; their content may
-# hold single braces and bars. A tag starts with a letter, so that "3 < 5" stays.
-NESTED = (r"\{\{(?:[^{}]|\{[^{}]|\}[^{}])*\}\}", r"\{\|(?:[^{|]|\{[^{|]|\|+[^{|}])*\|+\}")
+# hold single braces and bars; possessive repeats keep a match linear. A tag starts with a letter, so that "3 < 5" stays.
+NESTED = (r"\{\{[^{}]*+(?:[{}][^{}]++)*+\}\}", r"\{\|[^{|]*+(?:(?:\{[^{|]|\|++[^{|}])[^{|]*+)*+\|++\}")
 OPENING = (r"\{\{", r"\{\|")
 MARKUP_BEFORE = ((r"(?s)<!--.*?-->", ""), (r"(?i)<ref[^>]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""),
                  (r"</?[A-Za-z][^<>]*>", ""))
@@ -69,14 +69,23 @@ def stripped(text: Column) -> Column:
 
 
 def _without(pattern: str, opening: str) -> Callable[[Column], Column]:
-    """Remove innermost matches until none is left: there are no more levels than openings."""
-    def once(t: Column, _: Column) -> Column:
-        return F.regexp_replace(t, pattern, "")
+    """Remove innermost matches until none is left: one pass per level of nesting, whatever the number of matches.
+
+    There are no more levels than openings; once a pass changes nothing, the steps left over do nothing.
+    """
+    def once(state: Column, _: Column) -> Column:
+        def shorter(t: Column) -> Column:
+            return F.struct(t.alias("text"), (F.length(t) < F.length(state["text"])).alias("open"))
+
+        # The lambda binds the replaced text, so that the pattern is matched once a pass.
+        replaced = F.transform(F.array(F.regexp_replace(state["text"], pattern, "")), shorter)
+        return F.when(state["open"], F.get(replaced, F.lit(0))).otherwise(state)
 
     def removed(text: Column) -> Column:
         levels = F.regexp_count(text, F.lit(opening))
+        start = F.struct(text.alias("text"), F.lit(True).alias("open"))
         return F.when(levels == 0, text).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), text, once))
+            F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, once, lambda s: s["text"]))
 
     return removed
 

@@ -150,9 +150,33 @@ def test_density_curve(spark):
 
 
 def test_curves(spark):
-    data = [("m", "d", 5, 50, v) for v in (0.6, 0.8)] + [("m", "d", 10, 50, 0.9), ("m", "d", 10, 50, None)]
-    df = spark.createDataFrame(data, "model string, dataset string, n_known_outliers int, train_size int, test_auc double")
-    rows = report.curve_percent(df, sort=True).collect()
+    data = [("a", "m", "d", 0, 5, 50, 0.6), ("b", "m", "d", 1, 5, 50, 0.8), ("c", "m", "d", 0, 10, 50, 0.9),
+            ("d", "m", "d", 1, 10, 50, None)]
+    df = spark.createDataFrame(data, "run_id string, model string, dataset string, round int, n_known_outliers int, "
+                                     "train_size int, test_auc double")
+    rows = report.curve_percent(df, sort=True, interval="normal").collect()
     assert [(r.labeled_percentage, r.n) for r in rows] == [(10.0, 2), (20.0, 1)]
     assert rows[0]["mean"] == pytest.approx(0.7) and rows[0].hi - rows[0].lo == pytest.approx(2 * 1.96 * 0.1)
-    assert [r.n_known_outliers for r in report.curve_known(df, sort=True).collect()] == [5, 10]
+    known = report.curve_known(df, sort=True).collect()
+    assert [r.n_known_outliers for r in known] == [5, 10]
+    assert (known[0].lo, known[0].hi) == pytest.approx((0.6, 0.8)) and (known[1].lo, known[1].hi) == (None, None)
+    with pytest.raises(ValueError):
+        report.curve_known(df, interval="other")
+
+
+def test_bootstrap_interval_is_that_of_resampling(spark):
+    values = np.random.default_rng(5).normal(0.7, 0.1, 200)
+    df = spark.createDataFrame([(f"r{i}", "m", "d", 0, float(v)) for i, v in enumerate(values)],
+                               "run_id string, model string, dataset string, round int, v double")
+    got = report.bootstrap_interval(df, ["model"], "v", replicates=2000).first()
+    draws = np.random.default_rng(6).choice(values, (4000, 200)).mean(1)
+    assert np.allclose([got.lo, got.hi], np.percentile(draws, [2.5, 97.5]), atol=0.003)
+    again = report.bootstrap_interval(df.repartition(5), ["model"], "v", replicates=2000).first()
+    assert (again.lo, again.hi) == pytest.approx((got.lo, got.hi), abs=1e-12)
+
+
+def test_poisson_weights_follow_the_law(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("replicate"), F.lit("x").alias("run_id"))
+    found = dict(rows.select(report.poisson_weight("replicate", ["run_id"], 1).alias("w")).groupBy("w").count().collect())
+    for k, p in ((0, 0.3679), (1, 0.3679), (2, 0.1839), (3, 0.0613)):
+        assert abs(found[k] / 20_000 - p) < 0.015

@@ -143,9 +143,44 @@ def test_positions_as_ids(spark, tmp_path):
 def test_malformed_pages_are_reported(spark, tmp_path):
     path = tmp_path / "d.xml"
     path.write_text("<m><page><title>a</title><ns>0</ns><id>1</id><revision><text>x</text></revision></page>"
-                    "<page><title>b</title><ns>zero</ns><id>2</id></page></m>")
+                    "<page><title>b</title><ns>zero</ns><id>2</id></page>"
+                    "<page><title>c</title><ns>0</ns><id>3</id><revision><text>cut off")
     assert [r.row_id for r in corpora.read_pages(spark, str(path)).collect()] == [1]
-    assert "zero" in corpora.malformed_pages(spark, str(path)).first().malformed
+    found = [r.malformed for r in corpora.malformed_pages(spark, str(path)).collect()]
+    assert len(found) == 2 and "zero" in found[0] and "cut off" in found[1]
+
+
+def test_pages_do_not_depend_on_the_columns_asked_for(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    page = "<page><title>{0}</title><ns>{1}</ns><id>{0}</id><revision><text>x {0}</text></revision></page>"
+    path.write_text("<m>" + "".join(page.format(i, "zero" if i % 3 == 1 else 0) for i in range(9)) + "</m>")
+    pages = corpora.read_pages(spark, str(path))
+    assert pages.count() == 6 and corpora.malformed_pages(spark, str(path)).count() == 3
+    for names in (["text"], ["title"], ["row_id"], ["ns"], ["text", "ns"]):
+        assert len(pages.select(*names).collect()) == 6
+    assert sorted(r.text for r in pages.select("text").collect()) == [f"x {i}" for i in (0, 2, 3, 5, 6, 8)]
+
+
+@pytest.mark.parametrize("suffix", ["", ".bz2"])
+def test_a_dump_is_read_in_splits(spark, tmp_path, suffix):
+    import bz2
+    import random
+
+    r = random.Random(1)
+    pages = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(r.randrange(2000)))) for i in range(600)]
+    text = '<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">\n' + "".join(
+        f"  <page>\n<title>{i}</title><ns>0</ns><id>{i}</id><revision><text>{t}</text></revision>\n  </page>\n"
+        for i, t in pages) + "</mediawiki>"
+    path = tmp_path / f"dump.xml{suffix}"
+    path.write_bytes(bz2.compress(text.encode()) if suffix else text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+    try:
+        df = corpora.read_pages(spark, str(path))
+        assert df.rdd.getNumPartitions() > 2
+        assert sorted((r.row_id, r.text) for r in df.collect()) == pages
+        assert df.count() == 600
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_delimited_files_without_line_breaks_are_split(spark, tmp_path):
@@ -178,6 +213,7 @@ def test_index_log(spark, tmp_path):
     root = str(tmp_path / "log")
     results.append_log(known, root)
     results.append_log(known.withColumn("run_id", F.lit("s")), root)
+    results.append_log(known, root)
     log = results.read_log(spark, root)
     assert log.schema == results.LOG_SCHEMA and log.count() == 64
     assert sorted(r.row_id for r in log.filter("run_id = 's'").collect()) == list(range(0, 95, 3))
@@ -199,7 +235,8 @@ def test_results_are_appended_and_pruned(spark, tmp_path):
     df = local_table(spark, [row], results.RESULT_SCHEMA)
     results.append_results(df, root)
     results.append_results(df.withColumn("model", F.lit("m2")), root)
-    results.append_results(df, root)
+    results.append_results(df, root)  # the same run again takes its own place
+    results.append_results(df.withColumn("run_id", F.lit("other")), root)
     assert results.read_results(spark, root).count() == 3
     one = results.read_results(spark, root, ["m2"], "d")
     filters = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]

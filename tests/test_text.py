@@ -75,3 +75,16 @@ def test_costly_text_work_runs_once_and_after_the_cheap_filters(spark):
     plan = tx.wiki_articles(pages, "row_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("<!--.*?-->") <= 2  # once in the tree, once in the generator's output line
     assert tx.wiki_articles(pages, "row_id").first().asDict() == {"row_id": 1, "text": "x", "label": "Cultura"}
+
+
+def test_many_and_long_templates(spark):
+    import time
+
+    long = "".join(f"{{{{t{i}|x {{y}} {{{{z}}}}}}}} word{i} {{| a || {i} |}}" for i in range(10_000))
+    assert one(spark, "{{warm}}", tx.strip_markup(F.col("text"))) == ""
+    start = time.time()
+    got = one(spark, long, tx.strip_markup(F.col("text")))
+    assert got.split() == [f"word{i}" for i in range(10_000)] and time.time() - start < 5
+    assert one(spark, "a {{" + "{x} y}z " * 50_000 + "}} b", tx.strip_markup(F.col("text"))) == "a  b"
+    deep = "{{a" * 300 + "x" + "}}" * 300
+    assert one(spark, deep + "y" + "{|" * 300 + "|}" * 300, tx.strip_markup(F.col("text"))) == "y"
