@@ -3,15 +3,18 @@
 A text's set are its distinct word n-grams. Two texts link when their sets' Jaccard similarity reaches the threshold.
 
 1. Equal sets are one node. A sketch of all n-grams' frequencies (a table of fixed size) orders n-grams from rare to
-   frequent; two sets that link share an n-gram among the first few of each, their prefixes.
-2. An index list holds the sets with one n-gram in their prefix, with size and position. Lists of one set are dropped.
-   Short lists are joined with themselves; size and position decide which pairs are worth a look.
-3. Long lists are walked in order of size, in blocks: a block of sets skips all blocks that size and position rule out.
-   What remains is bounded by a bitmap of each set and by answers already computed: if both sets have a known
-   overlap with the same third set, their own overlap can only differ from it by what the third set lacks. A list gives
-   only pairs that could join different components, as a forest and a few more a set, and lists are walked again until
-   none gives any.
-4. Candidates are verified on whole sets. Lists above `BLOCK` sets are split into pairs of blocks.
+   frequent; two sets that link share an n-gram among the first few of each, their prefixes. An index list holds the
+   sets with one n-gram in their prefix, with size and position.
+2. Every list has a representative. Its answers are computed first: all sets of the list that size, position and bitmaps
+   allow are compared with it, k comparisons for k sets. What links is contracted before any list is walked.
+3. Lists with sets of several components are walked. The answers of a set are derived from the representative's: two sets
+   share at most what one shares with the representative and what the other has beside it. Members of the
+   representative's own component that can reach no set outside it that way leave the list. The others lie in blocks of
+   one component, by size and position; whole blocks are skipped by component, by size range, by positions and by the
+   derived bound, then pairs by the same tests and by small bitmaps. A list gives a forest of pairs that could join
+   different components, and a few more a set.
+4. Pairs are tested by whole bitmaps, fetched for them alone, then verified on whole sets; what links is contracted, and
+   lists that gave pairs are walked again until none gives any. Lists above `BLOCK` sets are split into pairs of blocks.
 
 Every step is exact but for 59-bit hashes of n-grams and 64-bit hashes of sets. Only connections matter for components,
 so a pair inside one component needs no look; no link between different texts is lost.
@@ -42,9 +45,11 @@ CELLS = 1 << 20  # of the frequency sketch
 CELL_BLOCK = 4096
 CLASS_BITS = 5  # frequency classes ahead of the hash in an n-gram's code
 BITMAP_BYTES = 128  # at least; a bitmap has two bits and more per member
-SHORT = 16  # sets in a short list
-BLOCK = 2048  # sets of a long list in one task
-STRIPE = 128
+SKETCH_BYTES = 512  # at most, of the folded bitmap that a list's sets carry
+BLOCK = 2048  # sets of a list in one task
+STRIPE = 32  # sets of a list that are skipped together
+CHUNK = 1 << 20  # pairs of a task that are tested at a time
+WALK_ROWS = 1 << 14  # rows of a task that are walked at a time, and the rest of the last list
 FILTER_BITS = (1 << 20, 1 << 30)  # least and most bits of the filter of documents whose sets are compared
 
 
@@ -119,6 +124,10 @@ def stacked(maps: list[bytes], size: int) -> np.ndarray:
     return rows
 
 
+def folded(map_: bytes, size: int) -> bytes:
+    return stacked([map_], size).tobytes() if len(map_) > size else map_
+
+
 class Bitmaps:
     """Bitmaps of different lengths; a pair is compared at the length of the shorter one."""
 
@@ -148,7 +157,7 @@ class Bitmaps:
 
 
 def set_table(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """(doc_id, n, node, prefix, bitmap) of every document; node is NULL for empty sets."""
+    """(doc_id, n, node, prefix, bitmap, sketch) of every document; node is NULL for empty sets."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +173,12 @@ def set_table(docs: DataFrame, classes: np.ndarray, width: int = WIDTH, share: i
                     maps.append(bitmap(codes) if len(codes) else None)
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                     pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    ["doc_id", "n", "node", "prefix", "bitmap"])
+                     pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
+                     pa.array([m and folded(m, SKETCH_BYTES) for m in maps], pa.binary())],
+                    ["doc_id", "n", "node", "prefix", "bitmap", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(build, "doc_id long, n long, node long, prefix array<long>, bitmap binary")
+    return rows.mapInArrow(build, "doc_id long, n long, node long, prefix array<long>, bitmap binary, sketch binary")
 
 
 def _bits_of(ids: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,21 +193,21 @@ def id_filter(wanted: DataFrame) -> np.ndarray:
     """A Bloom filter of `doc_id`, 16 bits and more an id up to a fixed size; beyond it lets more ids through."""
     least, most = FILTER_BITS
     size = min(most, max(least, 1 << (16 * wanted.count()).bit_length()))
-    block = size // 64
+    block = size // 512  # bytes of one of 64 pieces
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for places in _bits_of(batch.column(0), size):
-                bits[places] = True
+                np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
         full = [b for b in range(64) if bits[b * block:(b + 1) * block].any()]
         if full:
             salt = TaskContext.get().partitionId() % 256
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full, pa.int32()), pa.array([salt] * len(full), pa.int32()),
-                 pa.array([np.packbits(bits[b * block:(b + 1) * block]).tobytes() for b in full], pa.binary())],
+                 pa.array([bits[b * block:(b + 1) * block].tobytes() for b in full], pa.binary())],
                 ["block", "salt", "bits"])
 
     def either(frame: pd.DataFrame) -> pd.DataFrame:
@@ -207,12 +217,16 @@ def id_filter(wanted: DataFrame) -> np.ndarray:
     schema = "block int, salt int, bits binary"
     rows = wanted.select("doc_id").mapInArrow(mark, schema)
     rows = rows.groupBy("block", "salt").applyInPandas(either, schema).groupBy("block").applyInPandas(either, schema)
-    result = np.zeros(size, bool)
+    result = np.zeros(size // 8, np.uint8)
     for r in rows.collect():  # `size` bits, however many documents there are
-        result[r.block * block:(r.block + 1) * block] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+        result[r.block * block:(r.block + 1) * block] = np.frombuffer(r.bits, np.uint8)
     return result
 
 
+def _marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int = WIDTH) -> DataFrame:
     """(node, codes) of the `wanted` (doc_id) rows at least, from the whole texts.
 
@@ -223,8 +237,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: i
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bits = held.value
         for batch in batches:
-            first, second = _bits_of(column(batch, "doc_id"), len(bits))
-            batch = batch.filter(pa.array(bits[first] & bits[second]))
+            first, second = _bits_of(column(batch, "doc_id"), 8 * len(bits))
+            batch = batch.filter(pa.array(_marked(bits, first) & _marked(bits, second)))
             for part in slices(batch):
                 grams, bounds = shingles(texts_of(part), width)
                 sets = [ordered_codes(grams[s:e], classes) for s, e in zip(bounds[:-1], bounds[1:])]
@@ -239,118 +253,245 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: i
 
 # --- index lists -----------------------------------------------------------------------------------------------------
 
+def position_bound(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+    """The most two sets can share that share an n-gram at positions p1 and p2 (from 0)."""
+    return F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+
+
 def worth(n1: Column, p1: Column, n2: Column, p2: Column, share: int = SHARE) -> Column:
-    """Whether sizes, and positions of a shared n-gram (from 0), allow two sets to link."""
+    """Whether sizes, and positions of a shared n-gram, allow two sets to link."""
     least = F.ceil(share * (n1 + n2) / F.lit(100.0 + share) - 1e-9)
-    before = F.least(p1, p2)
-    return (F.least(n1, n2) >= least) & (before + F.least(n1 - p1, n2 - p2) >= least)
+    return (F.least(n1, n2) >= least) & (position_bound(n1, p1, n2, p2) >= least)
 
 
 def index_lists(sets: DataFrame) -> DataFrame:
-    """(gram, node, n, pos, k) of the lists with k >= 2 different sets.
+    """(gram, node, n, pos, k, rep, rep_n, rep_pos) of the lists with k >= 2 different sets.
 
     Which n-grams have two sets is counted ahead of the shuffle; thousands of copies of one text are one entry per task.
+    The representative of a list is its set with the smallest hash, so that lists of the same sets have the same one.
     """
     entries = sets.filter("node IS NOT NULL").select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     entries = entries.select("gram", "node", F.expr("shiftleft(n, 32) + pos").alias("place"))
     several = entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     several = several.filter("low < high").select("gram")
     shared = write_out(entries.join(several, "gram").distinct(), "join-lists")
-    sizes = shared.groupBy("gram").agg(F.count("*").alias("k"))
-    split = shared.join(sizes, "gram").select("gram", "node", F.expr("shiftright(place, 32)").alias("n"),
-                                              F.expr("place & 4294967295L").alias("pos"), "k")
-    return write_out(split, "join-index")
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "place")).alias("first")
+    heads = shared.groupBy("gram").agg(F.count("*").alias("k"), first)
+    n, pos = "shiftright({0}, 32)", "{0} & 4294967295L"
+    return write_out(shared.join(heads, "gram").select(
+        "gram", "node", F.expr(n.format("place")).alias("n"), F.expr(pos.format("place")).alias("pos"), "k",
+        F.col("first.node").alias("rep"), F.expr(n.format("first.place")).alias("rep_n"),
+        F.expr(pos.format("first.place")).alias("rep_pos")), "join-index")
+
 
+def representative_pairs(lists: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b): every set of a list with the list's representative, where size and position allow a link."""
+    near = worth(F.col("n"), F.col("pos"), F.col("rep_n"), F.col("rep_pos"), share)
+    return lists.filter((F.col("node") != F.col("rep")) & near).select(
+        F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
-def short_pairs(lists: DataFrame, share: int = SHARE) -> DataFrame:
-    short = lists.filter(F.col("k") <= SHORT)
-    a, b = short.alias("a"), short.alias("b")
-    near = worth(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), share)
-    return (a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & near)
-            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
 
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose sets are in several components, with `component`, and `home`, the representative's component.
+
+    A list of two sets is done once the representative's answers are known.
+    """
+    members = lists.filter("k > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                       F.max(F.when(F.col("node") == F.col("rep"), F.col("component"))).alias("home"))
+    return members.join(ends.filter("low < high").select("gram", "home"), "gram")
+
+
+def with_answers(members: DataFrame, answers: DataFrame) -> DataFrame:
+    """Add `most` and `least`, bounds of what a set shares with its list's representative.
+
+    `answers` (a, b, most, least) are those of compared pairs; of other pairs only the position's bound is known.
+    """
+    own = F.col("node") == F.col("rep")
+    by_position = position_bound(F.col("n"), F.col("pos"), F.col("rep_n"), F.col("rep_pos"))
+    pair = members.withColumn("a", F.least("node", "rep")).withColumn("b", F.greatest("node", "rep"))
+    known = pair.join(answers, ["a", "b"], "left").drop("a", "b")
+    return known.withColumn("most", F.when(own, F.col("n")).otherwise(F.least(by_position, F.coalesce("most", by_position)))
+                            ).withColumn("least", F.when(own, F.col("n")).otherwise(F.coalesce("least", F.lit(0).cast("long"))))
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
+
+def within_reach(members: DataFrame, share: int = SHARE) -> DataFrame:
+    """Without the sets of the representative's component that cannot link with any set of their list outside of it.
+
+    Derived from the representative's answers: a set inside shares with a set outside at most what the outer one shares
+    with the representative and the inner one has beside it, and the other way round.
+    """
+    outside = F.col("component") != F.col("home")
+    outer = members.filter(outside).groupBy("gram").agg(
+        F.max("most").alias("outer_most"), F.max(F.col("n") - F.col("least")).alias("outer_rest"),
+        F.min("n").alias("outer_n"))
+    bound = F.least(F.col("outer_most") + F.col("n") - F.col("least"), F.col("most") + F.col("outer_rest"))
+    least = F.ceil(share * (F.col("n") + F.col("outer_n")) / F.lit(100.0 + share) - 1e-9)
+    return members.join(outer, "gram").filter(outside | (bound >= least)).drop("outer_most", "outer_rest", "outer_n")
+
+
+# --- walking a list --------------------------------------------------------------------------------------------------
+
+class Lists:
+    """Rows of several lists (or pairs of their blocks) as arrays, in blocks of one list, side and large component."""
+
+    def __init__(self, group, side, component, n, pos, most, least):
+        code = np.unique(component, return_inverse=True)[1].astype(np.int64)
+        pair = group * (code.max(initial=0) + 1) + code
+        times = np.unique(pair, return_inverse=True, return_counts=True)
+        large = np.where(times[2][times[1]] >= STRIPE, code + 1, 0)
+        self.order = np.lexsort((pos, n, large, side, group))
+        self.group, self.side, self.comp, self.n, self.pos, self.most, self.least = (
+            x[self.order] for x in (group, side, code, n, pos, most, least))
+        large = large[self.order]
+        new = np.ones(len(n), bool)
+        new[1:] = (np.diff(self.group) != 0) | (np.diff(self.side) != 0) | (np.diff(large) != 0)
+        runs = np.flatnonzero(new)
+        inside = np.arange(len(n)) - np.repeat(runs, np.diff(np.append(runs, len(n))))
+        self.start = np.flatnonzero(inside % STRIPE == 0)
+        self.size = np.diff(np.append(self.start, len(n)))
+        self.single = large[self.start]  # the one component of a block, 0 if it may hold several
+
+    def _over(self, f, values: np.ndarray) -> np.ndarray:
+        return f.reduceat(values, self.start)
+
+    def block_pairs(self, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of blocks of one list that hold sets which may link."""
+        group, side = self.group[self.start], self.side[self.start]
+        end = np.searchsorted(group, group, side="right")
+        count = end - np.arange(len(group))
+        i = np.repeat(np.arange(len(group)), count)
+        j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + i
+        low, high = self._over(np.minimum, self.n), self._over(np.maximum, self.n)
+        before, after = self._over(np.maximum, self.pos), self._over(np.maximum, self.n - self.pos)
+        most, rest = self._over(np.maximum, self.most), self._over(np.maximum, self.n - self.least)
+        least = needed(low[i], low[j], share)
+        may = (self.single[i] == 0) | (self.single[i] != self.single[j])
+        may &= (side[i] != side[j]) | (side[i] == 2)
+        may &= (100 * high[i] >= share * low[j]) & (100 * high[j] >= share * low[i])
+        may &= np.minimum(before[i], before[j]) + np.minimum(after[i], after[j]) >= least
+        may &= np.minimum(most[i] + rest[j], most[j] + rest[i]) >= least
+        return i[may], j[may]
+
+    def pairs(self, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that component, size, position and derived bound leave, some at a time; counts those tested."""
+        i, j = self.block_pairs(share)
+        self.tested = 0
+        count = self.size[i] * self.size[j]
+        for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(count) // CHUNK)) + 1):
+            c = count[some]
+            inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            wide = np.repeat(self.size[j[some]], c)
+            a = np.repeat(self.start[i[some]], c) + inside // wide
+            b = np.repeat(self.start[j[some]], c) + inside % wide
+            self.tested += len(a)
+            may = (a < b) & (self.comp[a] != self.comp[b])
+            a, b = a[may], b[may]
+            n_a, n_b, p_a, p_b = self.n[a], self.n[b], self.pos[a], self.pos[b]
+            least = needed(n_a, n_b, share)
+            may = (np.minimum(n_a, n_b) >= least)
+            may &= np.minimum(p_a, p_b) + np.minimum(n_a - p_a, n_b - p_b) >= least
+            may &= np.minimum(self.most[a] + n_b - self.least[b], self.most[b] + n_a - self.least[a]) >= least
+            yield a[may], b[may]
+
+
+def _root(parent: dict, i) -> object:
+    while parent.setdefault(i, i) != i:
         parent[i] = parent[parent[i]]
         i = parent[i]
     return i
 
 
-def list_forest(frame: pd.DataFrame, share: int = SHARE, extra: int = 0) -> list[tuple[int, int]]:
-    """Pairs of one list (or two of its blocks) that may link and together join all that the list could join.
+def forests(frame: pd.DataFrame, barred: set, share: int = SHARE, extra: int = 0) -> list[tuple[int, int, int]]:
+    """(gram, a, b): pairs that may link and together join all that each list could join.
 
-    Up to `extra` more pairs a set, those with the highest bounds, save further rounds when some do not link.
+    `frame` has rows of whole groups (gram, first, second). Up to `extra` more pairs a set, those with the highest
+    bounds, save further rounds when some do not link. Pairs in `barred`, (gram, a, b), have been looked at.
     """
-    frame = frame.sort_values(["n", "pos", "node"], kind="stable").reset_index(drop=True)
-    n, pos, side = (frame[c].to_numpy(np.int64) for c in ("n", "pos", "side"))
-    comp = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
-    if comp.max() == 0:
+    if not len(frame):
         return []
-    maps = Bitmaps(frame["bitmap"].tolist())
-    known = frame["ref"].notna().to_numpy()
-    ref, overlap = (np.array([v if k else 0 for v, k in zip(frame[c], known)], np.int64) for c in ("ref", "overlap"))
-    nodes = frame["node"].to_numpy(np.int64)
-    place = {v: i for i, v in enumerate(nodes.tolist())}
-    barred = {(i, place[v]) for i, some in enumerate(frame["barred"]) if some is not None for v in some if v in place}
-    found: list[np.ndarray] = []
-    for start in range(0, len(n), STRIPE):
-        rows = np.arange(start, min(start + STRIPE, len(n)))
-        # sizes grow along the list: sets beyond this one are too large for every set of the stripe
-        stop = np.searchsorted(n, n[rows[-1]] * 100 // share, side="right")
-        columns = np.arange(start, stop)
-        i, j = rows[:, None], columns[None, :]
-        least = needed(n[i], n[j], share)
-        may = (j > i) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (n[i] >= least)
-        may &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
-        a, b = np.nonzero(may)
-        a, b = rows[a], columns[b]
-        if not len(a):
-            continue
-        least = needed(n[a], n[b], share)
-        bound = (n[a] + n[b] - maps.differ(a, b)) // 2
-        # the answer derived from a third set: what one set has of it, and what the other has beside it
-        same = known[a] & known[b] & (ref[a] == ref[b])
-        derived = np.minimum(overlap[a] + n[b] - overlap[b], overlap[b] + n[a] - overlap[a])
-        bound = np.where(same, np.minimum(bound, derived), bound)
-        good = bound >= least
-        found.append(np.stack([a[good], b[good], (bound - least)[good]], axis=1))
+    gram, first, second = (frame[c].to_numpy(np.int64) for c in ("gram", "first", "second"))
+    new = np.ones(len(frame), bool)
+    new[1:] = (np.diff(gram) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)
+    lists = Lists(np.cumsum(new) - 1, *[frame[c].to_numpy(np.int64) for c in ("side", "component", "n", "pos", "most", "least")])
+    maps = Bitmaps(frame["sketch"].tolist())
+    found = []
+    for a, b in lists.pairs(share):
+        if len(a):
+            margin = (lists.n[a] + lists.n[b] - maps.differ(lists.order[a], lists.order[b])) // 2
+            margin -= needed(lists.n[a], lists.n[b], share)
+            good = margin >= 0
+            found.append(np.stack([a[good], b[good], margin[good]], axis=1))
     edges = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-    parent, degree = np.arange(comp.max() + 1), np.zeros(len(n), np.int64)
-    result = []
+    nodes, gram = frame["node"].to_numpy(np.int64)[lists.order], gram[lists.order]
+    parent: dict = {}
+    degree, result = np.zeros(len(nodes), np.int64), []
     for a, b, _ in edges[np.argsort(-edges[:, 2], kind="stable")].tolist():
-        if (a, b) in barred or (b, a) in barred:
+        pair = (int(gram[a]), int(min(nodes[a], nodes[b])), int(max(nodes[a], nodes[b])))
+        if pair in barred:
             continue
-        x, y = _root(parent, comp[a]), _root(parent, comp[b])
+        x, y = _root(parent, (lists.group[a], lists.comp[a])), _root(parent, (lists.group[b], lists.comp[b]))
         if x != y or degree[a] < extra and degree[b] < extra:
             parent[x] = y
             degree[[a, b]] += 1
-            result.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+            result.append(pair)
     return result
 
 
-def long_pairs(members: DataFrame, share: int = SHARE, extra: int = 0) -> DataFrame:
-    """(gram, a, b): forests of the long lists that hold more than one component. A list above BLOCK sets is dealt to blocks, and every two blocks are one group."""
-    open_ = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = members.join(open_.filter("low < high").select("gram"), "gram", "left_semi")
+WALKED = "gram long, first int, second int, side int, node long, n long, pos long, most long, least long, component long, sketch binary"
+
+
+def walk(members: DataFrame, seen: DataFrame | None, share: int = SHARE, extra: int = 0) -> DataFrame:
+    """(gram, a, b): forests of the lists. A list above BLOCK sets is dealt to blocks, and every two blocks are one group.
+
+    `seen` (gram, a, b) are pairs that the lists gave before. Rows of a group lie together in one task, many groups a task.
+    """
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("first", F.least("mine", "other")).withColumn("second", F.greatest("mine", "other"))
     side = F.when(F.col("first") == F.col("second"), 2).otherwise((F.col("mine") == F.col("second")).cast("int"))
-    dealt = dealt.withColumn("side", side).drop("blocks", "mine", "other", "k")
-
-    def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(list_forest(frame, share, extra), columns=["a", "b"], dtype="int64")
-        return found.assign(gram=frame["gram"].iloc[0])[["gram", "a", "b"]]
+    names = [c.split()[0] for c in WALKED.split(", ")]
+    dealt = dealt.withColumn("side", side).select(*names)
+    if seen is not None:
+        # Pairs seen before travel with the groups of their list: `side` is -1, node and n are the pair.
+        groups = dealt.select("gram", "first", "second").distinct()
+        rest = [F.lit(0).cast("long").alias(c) for c in names[6:-1]]
+        old = seen.join(groups, "gram").select("gram", "first", "second", F.lit(-1).alias("side"), F.col("a").alias("node"),
+                                               F.col("b").alias("n"), *rest, F.lit(None).cast("binary").alias("sketch"))
+        dealt = dealt.unionByName(old)
+    rows = dealt.repartition("gram", "first", "second").sortWithinPartitions("gram", "first", "second")
+
+    def give(frame: pd.DataFrame) -> pa.RecordBatch:
+        before = frame[frame["side"] < 0]
+        barred = set(zip(before["gram"].tolist(), before["node"].tolist(), before["n"].tolist()))
+        pairs = forests(frame[frame["side"] >= 0].reset_index(drop=True), barred, share, extra)
+        columns = zip(*pairs) if pairs else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["gram", "a", "b"])
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch.to_pandas())
+            if sum(map(len, held)) < WALK_ROWS:
+                continue
+            frame = pd.concat(held, ignore_index=True)
+            last = frame[["gram", "first", "second"]].iloc[-1]
+            whole = ~(frame[["gram", "first", "second"]] == last).all(axis=1)
+            if whole.any():  # the last group may go on in the next batch
+                yield give(frame[whole])
+            held = [frame[~whole]]
+        if held:
+            yield give(pd.concat(held, ignore_index=True))
 
-    return dealt.groupBy("gram", "first", "second").applyInPandas(forest, "gram long, a long, b long")
+    return rows.mapInArrow(find, "gram long, a long, b long")
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
 
-def pass_bitmaps(pairs: DataFrame, nodes: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs whose bitmaps allow a link."""
+def bitmap_bounds(pairs: DataFrame, nodes: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b, most, good): the most two sets can share by their bitmaps, and whether that allows a link."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"m_{name}"))
 
@@ -360,12 +501,12 @@ def pass_bitmaps(pairs: DataFrame, nodes: DataFrame, share: int = SHARE) -> Data
                 continue
             a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
             maps, at = Bitmaps(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.arange(len(a))
-            differ = maps.differ(at, at + len(a))
-            good = (n_a + n_b - differ) // 2 >= needed(n_a, n_b, share)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+            most = (n_a + n_b - maps.differ(at, at + len(a))) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(most), pa.array(most >= needed(n_a, n_b, share))],
+                                             ["a", "b", "most", "good"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long, most long, good boolean")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
@@ -385,37 +526,42 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
     """(node, component) of the sets that link with another one."""
     lists = index_lists(sets)
     nodes = write_out(sets.filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "join-nodes")
-    pairs = write_out(pass_bitmaps(short_pairs(lists, share), nodes, share), "join-pairs")
-    long = write_out(lists.filter(F.col("k") > SHORT).join(nodes.select("node", "bitmap"), "node"), "join-long")
+        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"),
+        F.min("doc_id").alias("doc_id")), "join-nodes")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """Verify pairs on the whole sets of their documents."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        """(a, b, most, least, linked): by bitmaps, then on the whole sets of the pairs that these leave."""
+        bounds = write_out(bitmap_bounds(pairs, nodes, share), "join-bounds")
+        good = bounds.filter("good").select("a", "b")
+        ends = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).distinct()
         wanted = write_out(ends.join(nodes, "node").select("doc_id"), "join-wanted")
         whole = write_out(whole_sets(docs, wanted, classes, width), "join-sets")
-        return verify(pairs, whole, share)
-
-    checked = write_out(compare(pairs), "join-checked")
-    labels = components(checked.filter("linked"))
-    round_ = 0
+        exact = verify(good, whole, share)
+        both = bounds.join(exact, ["a", "b"], "left")
+        return both.select("a", "b", F.coalesce("overlap", "most").alias("most"),
+                           F.coalesce("overlap", F.lit(0).cast("long")).alias("least"),
+                           F.coalesce("linked", F.lit(False)).alias("linked"))
+
+    checked = write_out(compare(representative_pairs(lists, share)), "join-answers")
+    links = checked.filter("linked").select("a", "b")
+    labels = components(links)
+    members = with_answers(open_lists(lists, labels), checked.select("a", "b", "most", "least"))
+    members = write_out(within_reach(members, share).join(nodes.select("node", "sketch"), "node").drop("component", "home"),
+                        "join-open")
+    seen, round_ = None, 0
     while True:
-        partners = checked.select("a", "b", "overlap", "linked").unionByName(
-            checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", "linked"))
-        answers = partners.groupBy(F.col("a").alias("node")).agg(
-            F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("ref"), "overlap")).alias("best"),
-            F.collect_set(F.when(~F.col("linked"), F.col("b"))).alias("barred"))
-        answers = answers.select("node", "best.ref", "best.overlap", "barred")
-        members = (long.join(labels, "node", "left").join(answers, "node", "left")
-                   .withColumn("component", F.coalesce("component", "node")))
-        found = write_out(long_pairs(members, share, 4 ** (round_ + 1)), "join-forest")
+        labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = write_out(walk(labelled, seen, share, 4 ** (round_ + 1)), "join-forest")
         if found.isEmpty():
             return labels
+        new = found.select("a", "b").distinct()
+        links = write_out(links.unionByName(compare(new).filter("linked").select("a", "b")), "join-links")
+        labels = components(links)
         # A list that gave no pair is done for good: its candidates only become fewer.
-        long = long.join(found.select("gram").distinct(), "gram", "left_semi")
-        new, round_ = found.select("a", "b").distinct(), round_ + 1
-        checked = write_out(checked.unionByName(compare(new)), "join-checked")
-        labels = components(checked.filter("linked"))
+        grams = write_out(found.select("gram").distinct(), "join-grams")
+        members = members.join(grams, "gram", "left_semi")
+        seen = found if seen is None else write_out(seen.join(grams, "gram", "left_semi").unionByName(found).distinct(), "join-seen")
+        round_ += 1
 
 
 def join_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:

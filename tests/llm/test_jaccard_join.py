@@ -57,9 +57,9 @@ def corpus():
     return [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("short,block,stripe", [(16, 2048, 128), (2, 2048, 128), (2, 8, 3), (4, 16, 16)])
-def test_matches_brute_force(spark, monkeypatch, short, block, stripe):
-    for name, value in (("SHORT", short), ("BLOCK", block), ("STRIPE", stripe)):
+@pytest.mark.parametrize("block,stripe,rows,sketch", [(2048, 32, 1 << 14, 512), (8, 3, 20, 8), (16, 16, 1, 64)])
+def test_matches_brute_force(spark, monkeypatch, block, stripe, rows, sketch):
+    for name, value in (("BLOCK", block), ("STRIPE", stripe), ("WALK_ROWS", rows), ("SKETCH_BYTES", sketch), ("CHUNK", 50)):
         monkeypatch.setattr(jj, name, value)
     rows = corpus()
     found = sorted(map(tuple, jj.join_components(docs_of(spark, rows)).collect()), key=str)
@@ -100,15 +100,68 @@ def test_bitmaps_of_different_sizes():
     assert near <= 2 and maps.differ(np.array([1]), np.array([2]))[0] > 400
 
 
+def rows_of(sets, shared_at, component, most, least, side=None, group=None):
+    n = len(sets)
+    return pd.DataFrame({"gram": group or [1] * n, "first": [0] * n, "second": [0] * n, "side": side or [2] * n,
+                         "node": range(1, n + 1), "n": [len(s) for s in sets], "pos": shared_at, "most": most, "least": least,
+                         "component": component, "sketch": [jj.bitmap(s) for s in sets]})
+
+
 def test_derived_answers_bar_pairs():
-    """Two sets that both overlap little with a third, in different members, cannot link."""
-    zeros = bytes(jj.BITMAP_BYTES)
-    frame = pd.DataFrame({"n": [100, 100], "pos": [0, 0], "node": [1, 2], "side": [2, 2], "component": [1, 2],
-                          "bitmap": [zeros, zeros], "ref": [9.0, 9.0], "overlap": [90.0, 30.0], "barred": [None, None]})
-    assert jj.list_forest(frame) == []
-    assert jj.list_forest(frame.assign(overlap=[90.0, 89.0])) == [(1, 2)]
-    assert jj.list_forest(frame.assign(overlap=[90.0, 89.0], barred=[np.array([2]), None])) == []
-    assert jj.list_forest(frame.assign(ref=[None, None], overlap=[None, None])) == [(1, 2)]
+    """A set that shares little with the representative cannot link with one that has little beside it."""
+    same = np.arange(100, dtype=np.uint64) << np.uint64(20)  # bitmaps that rule nothing out
+    frame = rows_of([same, same], [0, 0], [1, 2], [90, 30], [90, 30])
+    assert jj.forests(frame, set()) == []
+    assert jj.forests(frame.assign(most=[90, 89], least=[90, 89]), set()) == [(1, 1, 2)]
+    assert jj.forests(frame.assign(most=[90, 89], least=[90, 89]), {(1, 1, 2)}) == []
+    assert jj.forests(frame.assign(most=100, least=0), set()) == [(1, 1, 2)]
+    assert jj.forests(frame.assign(most=100, least=0, component=5), set()) == []
+    assert jj.forests(frame.assign(most=100, least=0, side=[0, 0]), set()) == []
+    assert jj.forests(frame.assign(most=100, least=0, side=[0, 1]), set()) == [(1, 1, 2)]
+    assert jj.forests(frame.assign(most=100, least=0, pos=[0, 40]), set()) == []
+    assert jj.forests(frame.assign(most=100, least=0, gram=[1, 2]), set()) == []
+
+
+def test_blocks_skip_what_pairs_rule_out():
+    """Row pairs left by skipping blocks are exactly those that the tests leave pair by pair."""
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        k = 300
+        group, comp = np.sort(r.integers(0, 3, k)), r.choice([1, 1, 1, 2, 3, *range(10, 40)], k)
+        n = r.integers(20, 60, k)
+        pos = (n * r.random(k) * 0.3).astype(np.int64)
+        least = (n * r.random(k)).astype(np.int64)
+        most = np.minimum(n, least + r.integers(0, 20, k))
+        side = np.full(k, 2)
+        lists = jj.Lists(group, side, comp, n, pos, most, least)
+        found = {tuple(sorted(map(int, p))) for a, b in lists.pairs(85) for p in zip(lists.order[a], lists.order[b])}
+        want = set()
+        for i in range(k):
+            for j in range(i):
+                need = jj.needed(int(n[i]), int(n[j]))
+                if (group[i] == group[j] and comp[i] != comp[j] and min(n[i], n[j]) >= need
+                        and min(pos[i], pos[j]) + min(n[i] - pos[i], n[j] - pos[j]) >= need
+                        and min(most[i] + n[j] - least[j], most[j] + n[i] - least[i]) >= need):
+                    want.add((j, i))
+        assert found == want
+
+
+@pytest.mark.parametrize("k", [500, 2000])
+def test_a_contracted_group_costs_a_constant_per_set(k):
+    """A near-copy group of one component, and a few sets outside it: pairs tested per set do not grow with the group."""
+    r = np.random.default_rng(8)
+    comp, n = np.concatenate([np.ones(k, np.int64), np.arange(2, 12)]), r.integers(90, 110, k + 10)
+    lists = jj.Lists(np.zeros(k + 10, np.int64), np.full(k + 10, 2), comp, n, np.zeros(k + 10, np.int64), n, n * 0)
+    list(lists.pairs(85))
+    assert lists.tested <= 32 * (k + 64)
+
+
+def test_long_copies_carry_small_sketches():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 60, 40_000).astype(np.uint64)) for i in range(2)]
+    maps = [jj.bitmap(s) for s in sets]
+    assert len(maps[0]) > 8_000 and len(jj.folded(maps[0], jj.SKETCH_BYTES)) == jj.SKETCH_BYTES
+    near = jj.Bitmaps([jj.folded(maps[0], 512), jj.folded(jj.bitmap(sets[0][5:]), 512)])
+    assert near.differ(np.array([0]), np.array([1]))[0] <= 5
 
 
 def test_components(spark):
