@@ -8,8 +8,11 @@ hits are aligned with the item in a band of k diagonals on either side, and stay
 Texts are compared as UTF-8 bytes with A-Z in lower case and white space as spaces, whole and in slices that end between
 texts. Items are sent to the tasks in blocks of at most `BLOCK_BYTES`, one pass over the documents each.
 
-Defined results: NULL and empty texts have no findings; NULL items and items under `MIN_BYTES` bytes are not searched
-(too short to tell from chance). Items with equal texts are all reported. Findings of one item whose places overlap
+Items under `MIN_BYTES` bytes are searched without edits, and items under `Q` bytes, which have no q-gram, as whole words:
+a number or letter at either end of the item has none beside it in the text.
+
+Defined results: NULL and empty texts have no findings; NULL items and items of white space alone are not searched. Items
+with a NULL id are searched and reported with a NULL item_id. Items with equal texts are all reported. Findings of one item whose places overlap
 count once, with the least distance, then the first place. Repeated documents are treated one by one. An empty
 benchmark finds nothing. A column named like the output is replaced, all others are carried along.
 """
@@ -29,7 +32,7 @@ from lonetext.llm.words import slices, texts_of
 
 Q = 8
 EDIT_SHARE = 0.08  # edits allowed per byte of an item
-MIN_BYTES = 40
+MIN_BYTES = 40  # shorter items are searched without edits
 BLOCK_BYTES = 8 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,6 +40,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
 
+WORD = np.zeros(256, bool)  # bytes that belong to words
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 FINDINGS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()), T.StructField("distance", T.IntegerType())]))
@@ -54,7 +60,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     """Items with their q-grams: sorted distinct grams, where each occurs, and a bit table ahead of the search."""
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[np.ndarray]
     edits: np.ndarray  # k of each item
     needed: np.ndarray  # hits of each item that the lemma asks for
@@ -65,39 +71,44 @@ class Index:
     shift: np.uint64
     bits: np.ndarray
     dense: int  # hits in some window of WINDOW places that every passage has
+    tiny: dict[int, dict[int, list[int | None]]]  # ids of items under Q bytes by length and bytes as a number
 
     WINDOW = 64
 
     @staticmethod
-    def build(rows: Iterable[tuple[int, str]]) -> "Index | None":
-        found = [(i, folded(" ".join(t.split(" ")).strip().encode())) for i, t in rows if i is not None and t]
-        found = [(i, x) for i, x in found if len(x) >= MIN_BYTES]
-        if not found:
+    def build(rows: Iterable[tuple[int | None, str | None]]) -> "Index | None":
+        found = [(i, folded(" ".join(t.split(" ")).strip().encode())) for i, t in rows if t]
+        tiny: dict[int, dict[int, list[int | None]]] = {}
+        for i, x in found:
+            if 0 < len(x) < Q:
+                tiny.setdefault(len(x), {}).setdefault(int.from_bytes(x.tobytes(), "little"), []).append(i)
+        found = [(i, x) for i, x in found if len(x) >= Q]
+        if not found and not tiny:
             return None
         items = [x for _, x in found]
-        size = np.array([len(x) for x in items])
-        edits = (size * EDIT_SHARE).astype(np.int64)
+        size = np.array([len(x) for x in items], np.int64)
+        edits = np.where(size < MIN_BYTES, 0, size * EDIT_SHARE).astype(np.int64)
         needed = size - Q + 1 - edits * Q
-        every = np.concatenate([grams(x) for x in items])
+        every = np.concatenate([grams(x) for x in items] or [np.empty(0, "<u8")])
         owner = np.repeat(np.arange(len(items)), size - Q + 1)
-        place = np.concatenate([np.arange(n - Q + 1) for n in size])
+        place = np.concatenate([np.arange(n - Q + 1) for n in size] or [np.empty(0, np.int64)])
         order = np.argsort(every, kind="stable")
         distinct, starts = np.unique(every[order], return_index=True)
-        width = int(max(16, np.ceil(np.log2(len(distinct) * 16))))
+        width = int(max(16, np.ceil(np.log2(max(1, len(distinct)) * 16))))
         shift = np.uint64(64 - width)
         bits = np.zeros(1 << width, bool)
         with np.errstate(over="ignore"):
             bits[(distinct * FACTOR) >> shift] = True
         # a passage spans at most m + k places; of the aligned windows it touches, one holds the mean at least
         windows = (size + edits + Index.WINDOW - 2) // Index.WINDOW + 1
-        return Index(np.array([i for i, _ in found], np.int64), items, edits, needed, distinct,
+        return Index([i for i, _ in found], items, edits, needed, distinct,
                      np.append(starts, len(every)), owner[order], place[order], shift, bits,
-                     int(np.ceil(needed / windows).min()))
+                     int(np.ceil(needed / windows).min(initial=Index.WINDOW)), tiny)
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, item, place in the item) of shared q-grams, where the text has enough of them at all."""
         g = grams(data)
-        if not len(g):
+        if not len(g) or not self.items:
             return (np.empty(0, np.int64),) * 3
         with np.errstate(over="ignore"):
             maybe = self.bits[(g * FACTOR) >> self.shift]
@@ -143,7 +154,29 @@ class Index:
             low = (b - 1) * int(half[i]) - len(data)
             yield t, i, low, low + 2 * int(half[i]) - 1
 
-    def findings(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int | None, int, int]]:
+        """(text, item id, start, end) of whole words, or runs of them, that are an item under Q bytes."""
+        if not self.tiny or not len(data):
+            return
+        padded = np.concatenate([np.zeros(1, np.uint8), data, np.zeros(Q, np.uint8)])
+        word = WORD[padded]
+        begins = np.flatnonzero(~word[:-1] | ~word[1:])  # places in `data` where a word may begin
+        begins = np.union1d(begins[begins < len(data)], bounds[:-1][bounds[:-1] < len(data)])
+        g = grams(padded[1:])[begins]
+        text = np.searchsorted(bounds, begins, side="right") - 1
+        for length, items in self.tiny.items():
+            code = g & np.uint64((1 << 8 * length) - 1)
+            ends = begins + length
+            fits = np.isin(code, np.array(list(items), np.uint64)) & (ends <= bounds[text + 1])
+            fits &= (ends == bounds[text + 1]) | ~word[ends] | ~word[ends + 1]
+            last: dict[tuple[int, int], int] = {}
+            for at in np.flatnonzero(fits).tolist():
+                t, c, start = int(text[at]), int(code[at]), int(begins[at] - bounds[text[at]])
+                if start >= last.get((t, c), 0):
+                    last[t, c] = start + length
+                    yield from ((t, i, start, start + length) for i in items[c])
+
+    def findings(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int | None, int, int, int]]]:
         """Per text (item id, start, end, distance), byte places in the text."""
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for t, i, low, high in self.regions(data, bounds):
@@ -153,13 +186,15 @@ class Index:
             found = align(self.items[i], data[a:b], low - a, high - a, k) if a < b else None
             if found:
                 best.setdefault((t, i), []).append((found[0], found[1] + a - start, found[2] + a - start))
-        result: dict[int, list[tuple[int, int, int, int]]] = {}
+        result: dict[int, list[tuple[int | None, int, int, int]]] = {}
+        for t, item, s, e in self.words(data, bounds):
+            result.setdefault(t, []).append((item, s, e, 0))
         for (t, i), some in best.items():
             taken: list[tuple[int, int, int]] = []
             for d, s, e in sorted(some):
                 if all(e <= a or s >= b for _, a, b in taken):
                     taken.append((d, s, e))
-            result.setdefault(t, []).extend((int(self.ids[i]), s, e, d) for d, s, e in taken)
+            result.setdefault(t, []).extend((self.ids[i], s, e, d) for d, s, e in taken)
         return result
 
 
@@ -206,10 +241,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
     result = docs.select(*names).withColumn("contamination", F.array().cast(FINDINGS))
     size = benchmark.agg(F.sum(F.length(F.encode("text", "UTF-8")))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         rows = [(r.item_id, r.text) for r in benchmark.filter(block == b).select("item_id", "text").collect()]
-        index = Index.build(sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: (r[0], r[1])))
+        index = Index.build(sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         if index is not None:
             result = _search(result, names, index)
     return result
@@ -237,7 +272,8 @@ def _search(docs: DataFrame, names: list[str], index: Index) -> DataFrame:
                         text = texts[t].as_py().encode()
                         chars = lambda p: len(text[:p].decode(errors="ignore"))  # noqa: E731, B023
                         new = [dict(item_id=i, start=chars(s), end=chars(e), distance=d) for i, s, e, d in some]
-                        lists[t] = sorted(lists[t] + new, key=lambda x: (x["start"], x["item_id"], x["end"]))
+                        lists[t] = sorted(lists[t] + new, key=lambda x: (
+                            x["start"], x["item_id"] is None, x["item_id"] or 0, x["end"]))
                     old = pa.array(lists, kind)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(c)) for c in names] + [old.cast(kind)],

@@ -105,3 +105,22 @@ def test_odd_rows(spark):
 def test_lemma_asks_for_something(size):
     index = dc.Index.build([(1, "".join(random.Random(1).choice("abcdefgh") for _ in range(size)))])
     assert index.needed[0] > 0 and index.dense > 0
+
+
+def test_short_items_and_items_without_an_id(spark):
+    items = [(1, "forty\ttwo!?"), (None, prose(31, 14)), (None, "Nul"), (2, "x=7"), (3, "ß"), (4, "  "), (5, None), (6, "#"),
+             (7, "a b c d"), (8, "a b c de"), (9, "exactly twenty bytes")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, "say Forty two!? twice", "", "", 1), (1, "forty twoo!?", "", "", 1), (2, prose(31, 14) + " end", "", "", 1),
+            (3, "null and nul, NUL", "", "", 1), (4, "x=7 but x=77 or xx=7", "", "", 1), (5, "ß", "", "", 1), (6, "aß", "", "", 1),
+            (7, "why#no##", "", "", 1), (8, "a b c d", "", "", 1), (9, "aa b c d", "", "", 1), (10, "a b c de", "", "", 1),
+            (11, "exactly twenty byte", "", "", 1), (12, "Exactly Twenty bytes", "", "", 1), (13, None, "", "", 1), (14, "nu", "", "", 1)]
+    found = {r.doc_id: [(c.item_id, c.start, c.end, c.distance) for c in r.contamination]
+             for r in dc.contaminations(docs_of(spark, rows).coalesce(1), benchmark).collect()}
+    assert found[0] == [(1, 4, 15, 0)] and found[1] == [] and [f[0] for f in found[2]] == [None]
+    assert found[3] == [(None, 9, 12, 0), (None, 14, 17, 0)] and found[4] == [(2, 0, 3, 0)]
+    assert found[5] == [(3, 0, 1, 0)] and found[6] == [] and found[7] == [(6, 3, 4, 0), (6, 6, 7, 0), (6, 7, 8, 0)]
+    assert found[8] == [(7, 0, 7, 0)] and found[9] == [] and found[10] == [(8, 0, 8, 0)]
+    assert found[11] == [] and found[12] == [(9, 0, 20, 0)] and found[13] == [] and found[14] == []
+    only = dc.contaminations(docs_of(spark, rows), spark.createDataFrame([(2, "x=7")], "item_id long, text string"))
+    assert {r.doc_id for r in only.collect() if r.contamination} == {4}
