@@ -48,8 +48,8 @@ BITMAP_BYTES = 128  # at least; a bitmap has two bits and more per member
 SKETCH_BYTES = 512  # at most, of the folded bitmap that a list's sets carry
 BLOCK = 2048  # sets of a list in one task
 STRIPE = 32  # sets of a list that are skipped together
-CHUNK = 1 << 20  # pairs of a task that are tested at a time
-WALK_ROWS = 1 << 14  # rows of a task that are walked at a time, and the rest of the last list
+CHUNK = 1 << 18  # pairs of a task that are tested at a time
+WALK_ROWS = 1 << 13  # rows of a task that are walked at a time, and the rest of the last list
 FILTER_BITS = (1 << 20, 1 << 30)  # least and most bits of the filter of documents whose sets are compared
 
 
