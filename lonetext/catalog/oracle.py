@@ -288,6 +288,8 @@ ORACLE: dict[str, str] = {
     "cached_preparation": f"WITH {DOC} SELECT true AS first_built, false AS second_built, count(*) AS n_rows FROM doc",
     "combine": f"""{LONG}, label FROM (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vec, label
         FROM embeddings)""",
+    "candidate_recall": """SELECT count(*) AS n_queries, 20 * count(*) AS n_true, true AS nine_in_ten
+        FROM embeddings WHERE vec_id % 50 = 0""",
     "result_append": f"""WITH {DOC}, {RES} SELECT run_id, model, dataset, contamination, round, n_known_outliers, train_size, test_size,
           round(test_auc, 6) AS test_auc, round(test_ap, 6) AS test_ap FROM res""",
     "result_readback": f"""WITH {DOC}, {RES} SELECT model, dataset, count(*) AS n, round(avg(test_auc), 6) AS mean_auc

@@ -7,12 +7,13 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..common import local_table
+from ..common import as_doubles, local_table
 from ..functions import text as tx
 from ..operators import encode as enc
 from ..operators import labelling as lab
 from ..operators import metrics as met
 from ..operators import sampling as smp
+from ..operators.candidates import HashTables, recall
 from ..operators.detectors import (HBOS, KDE, LOF, MLP, OCSVM, XGBOD, AutoEncoder, DeepSAD, DeepSVDD, Detector,
                                    DevNet, IsolationForest, PCADetector, VariationalAutoEncoder)
 from ..plans import benchmark, report
@@ -385,7 +386,7 @@ DETECTORS: dict[str, Callable[[], Detector]] = {
     "deep_sad": lambda: DeepSAD(epochs=EPOCHS),
     "devnet": lambda: DevNet(epochs=EPOCHS),
     "xgbod": XGBOD,
-    "mlp": lambda: MLP(max_iter=EPOCHS),
+    "mlp": lambda: MLP(epochs=EPOCHS),
 }
 for _name, _make in DETECTORS.items():
     QUERIES[_name] = lambda spark, sf, make=_make: _detect(make(), spark, sf)
@@ -411,6 +412,21 @@ def kde_documents(spark, sf):
     return _detect_documents(KDE(), spark, sf)
 
 
+@query
+def lof_hashed(spark, sf):
+    """LOF over the candidates of hash tables."""
+    return _detect(LOF(search="hash"), spark, sf)
+
+
+@query
+def candidate_recall(spark, sf):
+    """Whether hash tables find nine in ten of the 20 nearest vectors, among all rows, of every row whose id 50 divides."""
+    rows = src.vectors(spark, sf)
+    queries = rows.filter(F.col("row_id") % 50 == 0).select(F.col("row_id").alias("qid"), as_doubles("embedding").alias("vec"))
+    found = recall(HashTables(rows), queries, 20)
+    return found.select("n_queries", "n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("nine_in_ten"))
+
+
 @query
 def lof_cells(spark, sf):
     """Document vectors in small cells, so that bounds decide which cells are searched."""

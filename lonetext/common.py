@@ -82,6 +82,21 @@ def write_out(df: DataFrame, name: str, partition_by: Sequence[str] = (), keep:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write `df` to the shared folder in `buckets` hash buckets of `key` and read it back, one file per bucket.
+
+    Grouping or joining the result by `key` reads the buckets where they are: the rows are shuffled once, here.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if _owned:
+        _owned[-1].append(path)
+    table = "lonetext_" + uuid.uuid4().hex
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)
+     .format("parquet").saveAsTable(table))
+    return spark.table(table)
+
+
 def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
     """A driver-made table as a local relation (no job to scan it)."""
     if isinstance(schema, str):

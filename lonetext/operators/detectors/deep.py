@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...common import matrix
 from .base import Detector, moments
-from .gradient import GradientFit, Net
+from .gradient import SHARD_ROWS, GradientFit, Net
+from .stored import StoredModel, hidden_then_linear, scaling, shifted
 
 
 def row_noise(row_id: np.ndarray, step: int, width: int, seed: int) -> np.ndarray:
@@ -29,16 +30,16 @@ def row_noise(row_id: np.ndarray, step: int, width: int, seed: int) -> np.ndarra
 class _Trained(Detector):
     """Shared steps: fit by gradient passes, score by one Arrow-batched projection."""
 
-    def __init__(self, epochs: int = 100, batches: int = 1, rate: float = 0.01, seed: int = 42):
-        self.epochs, self.batches, self.rate, self.seed = epochs, batches, rate, seed
+    def __init__(self, epochs: int = 100, rounds: int = 5, batch_rows: int = 64, rate: float = 0.005, seed: int = 42,
+                 shard_rows: int = SHARD_ROWS):
+        """`rounds` is how often the shards' weights are averaged, each time one Spark job."""
+        self.epochs, self.rate, self.seed = epochs, rate, seed
+        self.loop_settings = {"rounds": rounds, "batch_rows": batch_rows, "shard_rows": shard_rows}
 
     def _start(self, train: DataFrame, decay: float = 0.0) -> int:
-        self.loop = GradientFit(self.epochs, self.batches, self.rate, decay, self.seed)
+        self.loop = GradientFit(self.epochs, rate=self.rate, decay=decay, seed=self.seed, **self.loop_settings)
         self.loop.prepare(train, ["y_semi"] if self.uses_labels else [])
-        first = self.loop.table.select(F.size("embedding")).first()
-        if first is None:
-            raise ValueError("no training rows")
-        return first[0]
+        return self.loop.table.select(F.size("embedding")).first()[0]
 
     def _scored(self, rows: DataFrame, scorer: Callable, state) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(state)
@@ -67,7 +68,7 @@ class AutoEncoder(_Trained):
         net = Net([dim, *self.hidden, *self.hidden[-2::-1], dim])
 
         def loss(theta, batch, step):
-            x = _scaled(matrix(batch["embedding"]), m.mean, m.scale)
+            x = _scaled(batch.x, m.mean, m.scale)
             values = net.forward(theta, x)
             diff = values[-1] - x
             return (diff * diff).sum(), net.backward(theta, values, 2.0 * diff)[0]
@@ -86,6 +87,10 @@ class AutoEncoder(_Trained):
 
         return self._scored(rows, error, (self.theta, self.moments.mean, self.moments.scale))
 
+    def stored(self) -> StoredModel:
+        rows = scaling(self.moments.mean, self.moments.scale) + shifted(self.net.as_rows(self.theta), 1)
+        return StoredModel(rows, ["linear", *hidden_then_linear(len(self.net.shapes))], "norm", against=0)
+
 
 class VariationalAutoEncoder(_Trained):
     """Reconstruction plus KL divergence in training (Kingma and Welling 2014); scored at the mean code."""
@@ -103,8 +108,8 @@ class VariationalAutoEncoder(_Trained):
         cut = encoder.width
 
         def loss(theta, batch, step):
-            x = _scaled(matrix(batch["embedding"]), m.mean, m.scale)
-            noise = row_noise(batch["row_id"].to_numpy(), step, code, seed)
+            x = _scaled(batch.x, m.mean, m.scale)
+            noise = row_noise(batch.row_id, step, code, seed)
             return vae_loss(encoder, decoder, theta, x, noise)
 
         rng = np.random.default_rng(seed)
@@ -124,6 +129,15 @@ class VariationalAutoEncoder(_Trained):
 
         return self._scored(rows, error, (self.theta, self.moments.mean, self.moments.scale))
 
+    def stored(self) -> StoredModel:
+        n_encode, n_decode = len(self.encoder.shapes), len(self.decoder.shapes)
+        encoder = [r for r in self.encoder.as_rows(self.theta[:self.cut])
+                   if r[0] < n_encode - 1 or r[2] < self.latent]  # the code's mean, without its spread
+        rows = (scaling(self.moments.mean, self.moments.scale) + shifted(encoder, 1)
+                + shifted(self.decoder.as_rows(self.theta[self.cut:]), 1 + n_encode))
+        steps = ["linear", *hidden_then_linear(n_encode), *hidden_then_linear(n_decode)]
+        return StoredModel(rows, steps, "norm", against=0)
+
 
 def vae_loss(encoder: Net, decoder: Net, theta: np.ndarray, x: np.ndarray, noise: np.ndarray):
     cut, code = encoder.width, noise.shape[1]
@@ -144,8 +158,8 @@ def vae_loss(encoder: Net, decoder: Net, theta: np.ndarray, x: np.ndarray, noise
 class DeepSVDD(_Trained):
     """Squared distance to a centre under a bias-free network (Ruff et al. 2018)."""
 
-    def __init__(self, rep_dim: int = 128, hidden: Sequence[int] = (100, 50), **loop):
-        super().__init__(**loop)
+    def __init__(self, rep_dim: int = 128, hidden: Sequence[int] = (100, 50), rate: float = 0.001, **loop):
+        super().__init__(rate=rate, **loop)  # a low rate: trained for long, the net maps outliers to the centre as well
         self.rep_dim, self.hidden = rep_dim, list(hidden)
 
     def fit(self, train: DataFrame) -> "DeepSVDD":
@@ -153,7 +167,7 @@ class DeepSVDD(_Trained):
         net = Net([dim, *self.hidden, self.rep_dim], bias=False)
         start = net.initial(np.random.default_rng(self.seed))
         total = self.loop.sum(lambda theta, batch: np.concatenate(
-            [[len(batch)], net.forward(theta, matrix(batch["embedding"]))[-1].sum(0)]), start)
+            [[len(batch)], net.forward(theta, batch.x)[-1].sum(0)]), start)
         centre = total[1:] / total[0]
         # Coordinates near zero could be met by zero weights.
         near_zero = np.abs(centre) < 0.1
@@ -161,8 +175,8 @@ class DeepSVDD(_Trained):
         labelled = self.uses_labels
 
         def loss(theta, batch, step):
-            values = net.forward(theta, matrix(batch["embedding"]))
-            known = batch["y_semi"].to_numpy() == 1 if labelled else np.zeros(len(batch), dtype=bool)
+            values = net.forward(theta, batch.x)
+            known = batch.known if labelled else np.zeros(len(batch), dtype=bool)
             value, out = centre_loss(values[-1] - centre, known)
             return value, net.backward(theta, values, out)[0]
 
@@ -175,6 +189,11 @@ class DeepSVDD(_Trained):
         return self._scored(rows, lambda state, x: ((net.forward(state[0], x)[-1] - state[1]) ** 2).sum(1),
                             (self.theta, self.centre))
 
+    def stored(self) -> StoredModel:
+        last = len(self.net.shapes) - 1
+        centre = [(last, -1, j, -float(c)) for j, c in enumerate(self.centre)]
+        return StoredModel(self.net.as_rows(self.theta) + centre, hidden_then_linear(last + 1), "square")
+
 
 def centre_loss(away: np.ndarray, known: np.ndarray, eta: float = 1.0, floor: float = 1e-6):
     """Squared distance for unlabelled rows, its inverse for known anomalies; and the gradient."""
@@ -210,8 +229,8 @@ class DevNet(_Trained):
         net = Net([dim, *self.hidden, 1])
 
         def loss(theta, batch, step):
-            values = net.forward(theta, matrix(batch["embedding"]))
-            value, out = deviation_loss(values[-1][:, 0], batch["y_semi"].to_numpy() == 1, middle, spread,
+            values = net.forward(theta, batch.x)
+            value, out = deviation_loss(values[-1][:, 0], batch.known, middle, spread,
                                         margin, weight)
             return value, net.backward(theta, values, out[:, None])[0]
 
@@ -223,6 +242,9 @@ class DevNet(_Trained):
         net = self.net
         return self._scored(rows, lambda theta, x: net.forward(theta, x)[-1][:, 0], self.theta)
 
+    def stored(self) -> StoredModel:
+        return StoredModel(self.net.as_rows(self.theta), hidden_then_linear(len(self.net.shapes)))
+
 
 def deviation_loss(score, known, middle, spread, margin, weight):
     deviation = (score - middle) / spread

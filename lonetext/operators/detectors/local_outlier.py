@@ -3,23 +3,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ...common import as_doubles, join_lookup, write_out
+from ..candidates import HashTables
 from ..neighbours import TIE_DECIMALS, Cells, distinct_vectors
 from .base import Detector
 
 
 class LOF(Detector):
-    """Local outlier factor (Breunig et al. 2000), exact, Euclidean.
+    """Local outlier factor (Breunig et al. 2000), Euclidean: exact, or over the candidates of hash tables.
 
     Everything is computed per distinct vector: equal rows share distances, density and score, so a
     location of weight w stands for w neighbours. Scored rows meet the whole training set, so a training
     row is its own nearest neighbour; densities of the training set leave each row itself out.
     """
 
-    def __init__(self, n_neighbors: int = 20, seed: int = 42, **cells):
-        self.n_neighbors, self.seed, self.cells = n_neighbors, seed, cells
+    def __init__(self, n_neighbors: int = 20, seed: int = 42, search: str = "exact", **index):
+        """`search` is `exact` or `hash`; `index` are settings of `Cells` or `HashTables`."""
+        if search not in ("exact", "hash"):
+            raise ValueError(f"unknown search: {search}")
+        self.n_neighbors, self.seed, self.search, self.settings = n_neighbors, seed, search, index
 
     def fit(self, train: DataFrame) -> "LOF":
-        self.index = Cells(train, self.seed, **self.cells)
+        kind = HashTables if self.search == "hash" else Cells
+        self.index = kind(train, self.seed, **self.settings)
         self.k = max(1, min(self.n_neighbors, self.index.rows - 1))
         queries = self.index.locations.select(F.col("loc").alias("qid"), "vec")
         self.near = write_out(self.index.nearest(queries, self.k + 1), "neighbours")

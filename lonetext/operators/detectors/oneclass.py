@@ -3,9 +3,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ...common import matrix
 from .base import moments
 from .deep import _Trained
+from .stored import StoredModel
 
 
 def fourier_features(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
@@ -46,11 +46,11 @@ class OCSVM(_Trained):
         directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (dim, self.n_features))
         phases = rng.uniform(0.0, 2.0 * np.pi, self.n_features)
         total = self.loop.sum(lambda s, batch: np.concatenate(
-            [[len(batch)], fourier_features(matrix(batch["embedding"]), *s).sum(0)]), (directions, phases))
+            [[len(batch)], fourier_features(batch.x, *s).sum(0)]), (directions, phases))
         mean = total[1:] / total[0]
 
         def loss(theta, batch, step):
-            return one_class_loss(theta, fourier_features(matrix(batch["embedding"]), directions, phases), nu)
+            return one_class_loss(theta, fourier_features(batch.x, directions, phases), nu)
 
         self.directions, self.phases = directions, phases
         self.theta = self.loop.minimise(loss, np.concatenate([mean, [0.5 * (mean @ mean)]]))
@@ -64,3 +64,11 @@ class OCSVM(_Trained):
             return sign * (theta[-1] - fourier_features(x, directions, phases) @ theta[:-1])
 
         return self._scored(rows, value, (self.theta, self.directions, self.phases))
+
+    def stored(self) -> StoredModel:
+        sign = 1.0 if self.orientation == "outlier" else -1.0
+        size = np.sqrt(2.0 / self.n_features)
+        rows = [(0, i, j, float(w)) for (i, j), w in np.ndenumerate(self.directions)]
+        rows += [(0, -1, j, float(p)) for j, p in enumerate(self.phases)]
+        rows += [(1, j, 0, -sign * size * float(w)) for j, w in enumerate(self.theta[:-1])]
+        return StoredModel([*rows, (1, -1, 0, sign * float(self.theta[-1]))], ["cos", "linear"])

@@ -2,38 +2,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from ...common import as_doubles
-from .base import Detector
+from .base import moments
+from .deep import _scaled, _Trained
+from .gradient import Net
+from .stored import StoredModel, hidden_then_linear, scaling, shifted
 
 
-class MLP(Detector):
-    """Feed-forward classifier on the known labels; the score is the probability of class 1.
+def logistic_loss(z: np.ndarray, known: np.ndarray):
+    """Summed cross entropy of the log-odds `z`, and its gradient."""
+    value = np.logaddexp(0.0, np.where(known, -z, z)).sum()
+    return value, 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - known
 
-    Spark's network has sigmoid hidden units and is fitted by L-BFGS.
+
+class MLP(_Trained):
+    """Feed-forward classifier on the known labels: one layer of ReLU units, Adam on cross entropy, standardised input.
+
+    The score is the probability of class 1.
     """
 
     uses_labels = True
 
-    def __init__(self, hidden: Sequence[int] = (100,), max_iter: int = 100, seed: int = 42):
-        self.hidden, self.max_iter, self.seed = tuple(hidden), max_iter, seed
+    def __init__(self, hidden: Sequence[int] = (100,), penalty: float = 1e-4, **loop):
+        super().__init__(**loop)
+        self.hidden, self.penalty = list(hidden), penalty
 
     def fit(self, train: DataFrame) -> "MLP":
-        dim = train.select(F.size("embedding")).first()[0]
-        net = MultilayerPerceptronClassifier(layers=[dim, *self.hidden, 2], maxIter=self.max_iter, seed=self.seed,
-                                             featuresCol="features", labelCol="target", probabilityCol="_p",
-                                             predictionCol="_c", rawPredictionCol="_r")
-        self.model = net.fit(self._features(train).withColumn("target", F.col("y_semi").cast("double"))
-                             .select("features", "target"))
-        return self
+        dim = self._start(train, decay=self.penalty)
+        net, m = Net([dim, *self.hidden, 1]), moments(self.loop.table)
+
+        def loss(theta, batch, step):
+            values = net.forward(theta, _scaled(batch.x, m.mean, m.scale))
+            value, out = logistic_loss(values[-1][:, 0], batch.known)
+            return value, net.backward(theta, values, out[:, None])[0]
 
-    @staticmethod
-    def _features(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(as_doubles("embedding")))
+        self.net, self.moments = net, m
+        self.theta = self.loop.minimise(loss, net.initial(np.random.default_rng(self.seed)))
+        return self
 
     def score(self, rows: DataFrame) -> DataFrame:
-        out = self.model.transform(self._features(rows))
-        return out.withColumn("score", vector_to_array("_p")[1]).drop("features", "_p", "_c", "_r")
+        net = self.net
+
+        def chance(state, x):
+            theta, mean, scale = state
+            return 1.0 / (1.0 + np.exp(-np.clip(net.forward(theta, _scaled(x, mean, scale))[-1][:, 0], -500, 500)))
+
+        return self._scored(rows, chance, (self.theta, self.moments.mean, self.moments.scale))
+
+    def stored(self) -> StoredModel:
+        """Its score is the log-odds."""
+        rows = scaling(self.moments.mean, self.moments.scale) + shifted(self.net.as_rows(self.theta), 1)
+        return StoredModel(rows, ["linear", *hidden_then_linear(len(self.net.shapes))])

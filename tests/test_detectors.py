@@ -217,7 +217,7 @@ def test_planted_outliers_are_found(spark, name):
 
 
 SEMI = {"sad": lambda: det.DeepSAD(epochs=40, rep_dim=16), "devnet": lambda: det.DevNet(epochs=40),
-        "mlp": lambda: det.MLP(max_iter=40), "xgbod": lambda: det.XGBOD([det.IsolationForest(20)], max_iter=5)}
+        "mlp": lambda: det.MLP(epochs=40), "xgbod": lambda: det.XGBOD([det.IsolationForest(20)], max_iter=5)}
 
 
 @pytest.mark.parametrize("name", SEMI)
@@ -290,21 +290,57 @@ def test_row_noise():
     assert not np.array_equal(a, deep.row_noise(np.arange(50_000), 4, 2, 42))
 
 
-def test_training_in_mini_batches_and_over_many_partitions(spark, monkeypatch):
+def test_a_fit_takes_many_steps_in_few_jobs(spark, monkeypatch):
     x, y = planted()
     data = table(spark, x, y)
-    one = det.AutoEncoder(hidden=(6, 3), epochs=10).fit(data)
-    assert one.loop.history[-1] < one.loop.history[0]
-    monkeypatch.setattr(gradient, "MAX_PARTIALS", 2)
-    many = det.AutoEncoder(hidden=(6, 3), epochs=10).fit(data.repartition(9))
-    assert many.loop.partials > 2 and np.allclose(one.theta, many.theta, atol=1e-6)
-    assert many.loop.table.rdd.getNumPartitions() == 9  # a pass has as many tasks as the table has splits
+    one = det.AutoEncoder(hidden=(6, 3), epochs=30).fit(data)
+    assert one.loop.jobs == 5 and len(one.loop.history) == 30 and one.loop.history[-1] < 0.9 * one.loop.history[0]
+    assert det.AutoEncoder(hidden=(6, 3), epochs=3).fit(data).loop.jobs == 3
+    again = det.AutoEncoder(hidden=(6, 3), epochs=30).fit(data.repartition(9))
+    assert np.array_equal(one.theta, again.theta)  # however the rows are dealt out
     with pytest.raises(ValueError):
-        det.AutoEncoder(hidden=(6, 3), epochs=1, batches=2).fit(data.limit(0))
-    batched = det.AutoEncoder(hidden=(6, 3), epochs=10, batches=4).fit(data)
-    assert batched.loop.history[-1] < one.loop.history[-1]
-    paths = batched.loop.table.filter("batch = 1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(batch" in paths
+        det.AutoEncoder(hidden=(6, 3), epochs=1).fit(data.limit(0))
+
+
+def test_shards_are_averaged(spark, monkeypatch):
+    x, y = planted()
+    data = table(spark, x, y)
+    monkeypatch.setattr(gradient, "MAX_PARTIALS", 2)
+    monkeypatch.setattr(gradient, "MAX_BUCKETS", 3)
+    many = det.AutoEncoder(hidden=(6, 3), epochs=60, shard_rows=50).fit(data)
+    assert many.loop.shards > 5 and many.loop.buckets == 3 and many.loop.jobs == 5
+    assert many.loop.history[-1] < 0.9 * many.loop.history[0]
+    assert np.allclose(many.theta, det.AutoEncoder(hidden=(6, 3), epochs=60, shard_rows=50).fit(data.repartition(7)).theta,
+                       atol=1e-9)
+    assert ranking_metrics(many.score(data)).first().auc > 0.9
+    by_shard = plan_of(many.loop.table.groupBy("shard").applyInPandas(lambda f: f[["shard"]], "shard int"))
+    assert "Exchange" not in by_shard  # rows were shuffled once, when they were stored
+
+
+STORED = {**{k: PLAIN[k] for k in ("ocsvm", "autoencoder", "vae", "svdd")}, "inlier": lambda: det.OCSVM(epochs=3, orientation="inlier"),
+          **{k: SEMI[k] for k in ("sad", "devnet", "mlp")}}
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_scores_of_stored_weights_in_two_engines(spark, tmp_path, name):
+    import duckdb
+
+    x, y = planted()
+    data = table(spark, x, y).withColumn("y_semi", F.col("y"))
+    fitted = STORED[name]().fit(data)
+    want = dict(fitted.score(data).select("row_id", "score").collect())
+    if name == "mlp":
+        want = {k: np.log(v / (1 - v)) for k, v in want.items()}
+    model = fitted.stored()
+    got = dict(model.score(data).collect())
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-6, atol=1e-6)
+    model.table(spark).write.parquet(str(tmp_path / "weights"))
+    data.select("row_id", F.posexplode("embedding").alias("i", "x")).write.parquet(str(tmp_path / "vectors"))
+    con = duckdb.connect()
+    for view in ("weights", "vectors"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{tmp_path / view}/*.parquet'")
+    other = dict(con.execute(model.sql()).fetchall())
+    assert np.allclose([other[k] for k in want], list(want.values()), rtol=1e-6, atol=1e-6)
 
 
 def test_lookup_join_with_hot_keys(spark):
