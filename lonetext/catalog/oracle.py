@@ -231,8 +231,8 @@ def _curve(x: str) -> str:
     digest = "md5(concat_ws(':', '42', replicate, run_id, model, dataset, round))"
     reached = " + ".join(f"(u >= {_double(p)})::INT" for p in report.POISSON)
     return f"""SELECT model, dataset, {x}, round(any_value(mean), 6) AS mean, round(any_value(sd), 6) AS sd, any_value(n) AS n,
-  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.025), 6) END AS lo,
-  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.975), 6) END AS hi
+  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.025), 8) END AS lo,
+  CASE WHEN any_value(n) > 1 THEN round(quantile_cont(m, 0.975), 8) END AS hi
 FROM (SELECT model, dataset, {x}, avg(test_auc) AS mean, stddev_samp(test_auc) AS sd, count(*) AS n
     FROM curve WHERE test_auc IS NOT NULL GROUP BY ALL)
   JOIN (SELECT model, dataset, {x}, replicate, sum(times * test_auc) / nullif(sum(times), 0) AS m

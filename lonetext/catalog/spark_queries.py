@@ -576,7 +576,7 @@ def score_density(spark, sf):
 
 def _rounded_curve(df: DataFrame) -> DataFrame:
     extra = ["labeled_percentage"] if "labeled_percentage" in df.columns else []
-    return df.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "lo", "hi", *extra)})
+    return df.withColumns({**{c: F.round(c, 6) for c in ("mean", "sd", *extra)}, **{c: F.round(c, 8) for c in ("lo", "hi")}})
 
 
 @query
