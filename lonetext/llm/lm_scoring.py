@@ -9,9 +9,11 @@ within their head in the same way, and one head (`REST`) stands for all words be
 both levels by matrix products. A word beyond the vocabulary has its head's probability times its smoothed share of the
 head, so the probabilities of all words and the unknown word add up to one.
 
-An epoch is a pass over every token of the training documents: texts are kept as word numbers, dealt at random to shards
-of about `SHARD_TOKENS` tokens, whose number grows with the corpus, and every shard runs steps of noise-contrastive
-estimation over its rows. A vector of the next epoch is the mean over the shards, weighted by how often each met it.
+A pass goes over every token of the training documents: texts are kept as word numbers, dealt by their hash to shards of
+about `SHARD_TOKENS` tokens, and every shard runs steps of noise-contrastive estimation over its rows. A pass is cut into
+rounds, one more whenever the shards double; a round takes its part of the shards, and a vector of the next round is the
+mean over them, weighted by how often each met it. A corpus too small for `STEPS` steps is passed over until it has had
+them, in whole passes. Shards, orders and noise follow from the texts and the seed, not from how files are dealt to tasks.
 
 Bounds: the vocabulary (`WORDS`), the classes (`CLASSES`), the table of frequent counts sent to every task (`FREQUENT`;
 all other words are joined by hash). Counts and passes cover every training document. Words are told apart by 64-bit
@@ -43,11 +45,11 @@ WORDS = 1 << 17
 GROUP = 256
 DIM = 24
 SHARD_TOKENS = 4 << 20
-EPOCHS = 3
-STEPS = 300  # at least, in a shard and epoch: a small shard is passed over several times
+STEPS = 1200  # at least: a small corpus is passed over several times
 BATCH = 2048
-NOISE = 128
-MEMBER_NOISE = 4  # of a row, from its own head
+NOISE = 32
+MEMBER_NOISE = 2  # of a row, from its own head
+MOST_FILES = 4096  # of the stored word numbers; a file may hold several shards
 MODEL_BLOCK = 1024  # rows of the model's table in a row of the shuffle
 RATE = 0.1
 FLUSH = 1 << 20
@@ -218,7 +220,7 @@ def class_triples(tokens: np.ndarray, bounds: np.ndarray, known: Vocabulary) ->
 
 
 def coded_texts(training: DataFrame, known: Vocabulary, shards: int) -> DataFrame:
-    """(shard, row, codes) of every training document: its word numbers, dealt to shards at random."""
+    """(shard, codes) of every training document: its word numbers; the shard is a hash of them."""
     held = training.sparkSession.sparkContext.broadcast(known)
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +231,8 @@ def coded_texts(training: DataFrame, known: Vocabulary, shards: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(
                     [codes[start:end].tobytes() for start, end in zip(bounds[:-1], bounds[1:])], pa.binary())], ["codes"])
 
-    rows = training.select("text").mapInArrow(code, "codes binary").withColumn("row", F.monotonically_increasing_id())
-    return rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "codes")
+    rows = training.select("text").mapInArrow(code, "codes binary")
+    return rows.select(F.pmod(F.xxhash64("codes"), F.lit(shards)).cast("int").alias("shard"), "codes")
 
 
 @dataclass
@@ -271,15 +273,23 @@ class LogBilinear:
         return self.context[before] * self.scale[0] + self.context[last] * self.scale[1]
 
     def log_probability(self, triples: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the words' probabilities, heads normalised once per distinct context."""
+        """Natural logarithms of the words' probabilities, once per distinct triple, heads once per distinct context."""
+        every, of = np.unique(triples, return_inverse=True)
+        return self._distinct(every)[of]
+
+    def _distinct(self, triples: np.ndarray) -> np.ndarray:
         base = len(self.context)
         pairs, inverse = np.unique(triples // base, return_inverse=True)
         hidden = self.predicted(pairs // base, pairs % base).astype(np.float32)
         target, offset, member, member_offset = (x.astype(np.float32) for x in (
             self.target, self.offset, self.member, self.member_offset))
         norm = np.empty(len(pairs))
+        # where no product can leave the range of exponentials, sums need no shift
+        longest = np.sqrt((hidden * hidden).sum(axis=1).max(initial=0))
+        plain = [longest * np.sqrt((x * x).sum(axis=1).max(initial=0)) + np.abs(y).max(initial=0) < 60
+                 for x, y in ((target, offset), (member, member_offset))]
         for at in range(0, len(pairs), 1024):
-            norm[at:at + 1024] = _log_sums(hidden[at:at + 1024] @ target.T + offset)
+            norm[at:at + 1024] = _log_sums(hidden[at:at + 1024] @ target.T + offset, plain[0])
         words = triples % base
         own = self.heads(words)
         result = np.empty(len(triples))
@@ -297,7 +307,7 @@ class LogBilinear:
                 logits = hidden[inverse[rows]] @ member[first:first + GROUP].T + member_offset[first:first + GROUP]
                 place = words[rows] - self.n_classes - first
                 result[rows] += logits[np.arange(len(rows)), place]
-                result[rows] -= _log_sums(logits)
+                result[rows] -= _log_sums(logits, plain[1])
         return result
 
     def table(self) -> np.ndarray:
@@ -312,10 +322,12 @@ class LogBilinear:
         return LogBilinear(context[:, :-1], target[:, :-1], scale[:, :-1], target[:, -1], member[:, :-1], member[:, -1])
 
 
-def _log_sums(logits: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; `logits` is overwritten."""
-    top = logits.max(axis=1)
-    logits -= top[:, None]
+def _log_sums(logits: np.ndarray, plain: bool = False) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; `logits` is overwritten. `plain` ones are small enough as they are."""
+    top: np.ndarray | float = 0.0
+    if not plain:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
     return top + np.log((logits @ np.ones(logits.shape[1], logits.dtype)).astype(np.float64))
 
@@ -352,11 +364,9 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[first], sums
 
 
-def nce_steps(model: LogBilinear, triples: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, seed: int,
-              batch: int = BATCH, n_noise: int = NOISE, rate: float = RATE,
-              met: np.ndarray | None = None) -> LogBilinear:
-    """AdaGrad steps of noise-contrastive estimation: whole passes over all triples in an order drawn anew, weighted by
-    their counts, until there are `steps` steps.
+def nce_pass(model: LogBilinear, triples: np.ndarray, noise: np.ndarray, seed: int | list[int], batch: int = BATCH,
+             n_noise: int = NOISE, rate: float = RATE, met: np.ndarray | None = None) -> LogBilinear:
+    """AdaGrad steps of noise-contrastive estimation, one pass over all triples in an order drawn anew.
 
     All rows of a step share their noise heads, so that noise is two matrix products; a member's noise is drawn from
     its own head evenly, since members of a head are about equally frequent. `met` takes how often each row of the
@@ -372,55 +382,49 @@ def nce_steps(model: LogBilinear, triples: np.ndarray, counts: np.ndarray, noise
     met_context, met_inner, met_all = np.split(met, [base, base + len(member)])
     log_kq = np.log(n_noise * noise).astype(np.float32)
     log_kg = np.log(MEMBER_NOISE / np.arange(1, GROUP + 1)).astype(np.float32)
-    heads, weights, done = model.heads(triples % base), (counts / counts.mean()).astype(np.float32), 0
-    while True:
-        order = draw.permutation(len(triples))
-        for at in range(0, len(order), batch):
-            chosen = order[at:at + batch]
-            rows, own, w = triples[chosen], heads[chosen], weights[chosen]
-            word, last, before = rows % base, rows // base % base, rows // base // base
-            false = draw.choice(len(noise), n_noise, p=noise)
-            one, other, total = context[before], context[last], w.sum()
-            hidden = one * scale[0] + other * scale[1]
-            true_error = w * (_sigmoid((hidden * target[own]).sum(axis=1) + offset[own] - log_kq[own]) - 1)
-            false_error = hidden @ target[false].T
-            false_error += offset[false] - log_kq[false]
-            _sigmoid(false_error)
-            false_error *= w[:, None]
-            back = true_error[:, None] * target[own] + false_error @ target[false]
-            d_target = (_scattered(own, true_error[:, None] * hidden, len(target))
-                        + _scattered(false, false_error.T @ hidden, len(target))) / total
-            d_offset = (np.bincount(own, true_error, len(target))
-                        + np.bincount(false, false_error.sum(axis=0), len(target))) / total
-            at_inner = np.flatnonzero(word >= first)
-            if len(at_inner):
-                place = word[at_inner] - first
-                start = place // GROUP * GROUP
-                size = np.minimum(GROUP, len(inner) - start)
-                drawn = start[:, None] + (draw.random((len(place), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
-                tried = np.column_stack([place, drawn])
-                vectors, near = inner[tried], hidden[at_inner]
-                error = _sigmoid(np.einsum("ijk,ik->ij", vectors[..., :-1], near) + vectors[..., -1]
-                                 - log_kg[size - 1, None])
-                error[:, 0] -= 1
-                error *= w[at_inner, None]
-                back[at_inner] += np.einsum("ij,ijk->ik", error, vectors[..., :-1])
-                with_one = np.column_stack([near, np.ones(len(near), np.float32)])
-                touched, d = _summed(tried.ravel(), (error[..., None] * with_one[:, None, :]).reshape(-1, inner.shape[1]))
-                inner_sums[touched] += d * d
-                inner[touched] -= rate * d / np.sqrt(inner_sums[touched])
-                met_inner[touched] += 1
-            d_scale = np.stack([(back * one).sum(axis=0), (back * other).sum(axis=0)]) / total
-            touched, d = _summed(np.concatenate([before, last]), np.concatenate([back * scale[0], back * scale[1]]))
-            context_sums[touched] += d * d
-            context[touched] -= rate * d / np.sqrt(context_sums[touched])
-            met_context[touched] += 1
-            for x, squares, d in zip((target, scale, offset), sums, (d_target, d_scale, d_offset)):
-                squares += d * d
-                x -= (rate * d / np.sqrt(squares)).astype(np.float32)
-            done += 1
-        if done >= steps:
-            break
+    heads, done, order = model.heads(triples % base), 0, draw.permutation(len(triples))
+    for at in range(0, len(order), batch):
+        chosen = order[at:at + batch]
+        rows, own = triples[chosen], heads[chosen]
+        word, last, before = rows % base, rows // base % base, rows // base // base
+        false = draw.choice(len(noise), n_noise, p=noise)
+        one, other, total = context[before], context[last], len(chosen)
+        hidden = one * scale[0] + other * scale[1]
+        true_error = _sigmoid((hidden * target[own]).sum(axis=1) + offset[own] - log_kq[own]) - 1
+        false_error = hidden @ target[false].T
+        false_error += offset[false] - log_kq[false]
+        _sigmoid(false_error)
+        back = true_error[:, None] * target[own] + false_error @ target[false]
+        d_target = (_scattered(own, true_error[:, None] * hidden, len(target))
+                    + _scattered(false, false_error.T @ hidden, len(target))) / total
+        d_offset = (np.bincount(own, true_error, len(target))
+                    + np.bincount(false, false_error.sum(axis=0), len(target))) / total
+        at_inner = np.flatnonzero(word >= first)
+        if len(at_inner):
+            place = word[at_inner] - first
+            start = place // GROUP * GROUP
+            size = np.minimum(GROUP, len(inner) - start)
+            drawn = start[:, None] + (draw.random((len(place), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
+            tried = np.column_stack([place, drawn])
+            vectors, near = inner[tried], hidden[at_inner]
+            error = _sigmoid(np.einsum("ijk,ik->ij", vectors[..., :-1], near) + vectors[..., -1]
+                             - log_kg[size - 1, None])
+            error[:, 0] -= 1
+            back[at_inner] += np.einsum("ij,ijk->ik", error, vectors[..., :-1])
+            with_one = np.column_stack([near, np.ones(len(near), np.float32)])
+            touched, d = _summed(tried.ravel(), (error[..., None] * with_one[:, None, :]).reshape(-1, inner.shape[1]))
+            inner_sums[touched] += d * d
+            inner[touched] -= rate * d / np.sqrt(inner_sums[touched])
+            met_inner[touched] += 1
+        d_scale = np.stack([(back * one).sum(axis=0), (back * other).sum(axis=0)]) / total
+        touched, d = _summed(np.concatenate([before, last]), np.concatenate([back * scale[0], back * scale[1]]))
+        context_sums[touched] += d * d
+        context[touched] -= rate * d / np.sqrt(context_sums[touched])
+        met_context[touched] += 1
+        for x, squares, d in zip((target, scale, offset), sums, (d_target, d_scale, d_offset)):
+            squares += d * d
+            x -= (rate * d / np.sqrt(squares)).astype(np.float32)
+        done += 1
     met_all += done
     return LogBilinear(context, target, scale, offset, inner[:, :-1], inner[:, -1])
 
@@ -428,35 +432,32 @@ def nce_steps(model: LogBilinear, triples: np.ndarray, counts: np.ndarray, noise
 BLOCKS = "block int, moved binary, met binary"
 
 
-def _trainer(held: Broadcast, noise: np.ndarray, epoch: int, steps: int, batch: int,
+def _trainer(held: Broadcast, noise: np.ndarray, turn: int, rate: float, batch: int,
              shard_tokens: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One pass at least over the rows of a task, shard by shard; blocks of how far each row of the model's table moved,
-    in the mean over the shards, and how often it was met."""
+    """One pass over the rows of a task, shard by shard; blocks of how far each row of the model's table moved, in the
+    mean over the shards, and how often it was met. A shard that holds very many copies of a text is several parts."""
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, texts, size, n = held.value, [], 0, 0
+        model, texts, size, place = held.value, [], 0, (-1, 0)
         old = model.table()
         total, times = np.zeros(old.shape, np.float32), np.zeros(len(old), np.float32)
 
         def pass_over() -> None:
             bounds = np.cumsum([0, *(len(t) // 4 for t in texts)])
             codes = np.frombuffer(b"".join(texts), np.int32).astype(np.int64)
-            triples = code_triples(codes, bounds, len(model.context) - 1)
-            met = np.zeros(len(old), np.float32)
-            seed = [epoch, TaskContext.get().partitionId(), n]
-            new = nce_steps(model, triples, np.ones(len(triples)), noise, 1 if n else steps, seed, batch,
-                            rate=RATE / (1 + epoch), met=met).table()  # a rest is passed over once
+            triples, met = code_triples(codes, bounds, len(model.context) - 1), np.zeros(len(old), np.float32)
+            new = nce_pass(model, triples, noise, [turn, *place], batch, rate=rate, met=met).table()
             total[:] += (new - old) * met[:, None]
             times[:] += met
 
         for some in batches:
-            for text in some.column(0).to_pylist():
+            for shard, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                if texts and (shard != place[0] or size >= 2 * shard_tokens):
+                    pass_over()
+                    texts, size, place = [], 0, (shard, place[1] + 1 if shard == place[0] else 0)
+                elif shard != place[0]:
+                    place = (shard, 0)
                 texts.append(text)
                 size += len(text) // 4
-                if size >= shard_tokens:
-                    pass_over()
-                    texts, size, n = [], 0, n + 1
         if texts:
             pass_over()
         yield from _blocks(total, times)
@@ -484,29 +485,33 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
     return next(_blocks(total, times, int(frame["block"].iloc[0]))).to_pandas()
 
 
-def train(training: DataFrame, known: Vocabulary, epochs: int = EPOCHS, steps: int = STEPS, batch: int = BATCH,
+def train(training: DataFrame, known: Vocabulary, steps: int = STEPS, batch: int = BATCH,
           shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
-    """Epochs over all training documents. A task holds one shard's word numbers and the model; what tasks send back is
-    added up on executors, and the driver receives one model an epoch."""
+    """Passes over all training documents. A task holds one shard's word numbers and the model; what tasks send back is
+    added up on executors, and the driver receives one model a round."""
     spark = training.sparkSession
     counts = known.head_counts
     noise = (counts + 0.5) / (counts + 0.5).sum()
     model = LogBilinear.fresh(counts, member_counts=known.member_counts)
     model = model.of_table(model.table())
-    shards = max(1, -(-known.train_tokens // shard_tokens))
-    stored = write_out(coded_texts(training, known, shards).select("codes").repartition(shards), "lm-codes")
-    for epoch in range(epochs):
-        held = spark.sparkContext.broadcast(model)
-        parts = stored.mapInArrow(_trainer(held, noise, epoch, steps, batch, shard_tokens), BLOCKS)
-        rows = parts.groupBy("block").applyInPandas(_added, BLOCKS).collect()  # one model, however many documents
-        held.destroy()
-        if not rows:
-            return model
-        table = model.table()
-        for r in rows:
-            moved = np.frombuffer(r.moved, np.float16).reshape(-1, table.shape[1])
-            table[r.block * MODEL_BLOCK:(r.block + 1) * MODEL_BLOCK] += moved
-        model = model.of_table(table)
+    if not known.train_tokens:
+        return model
+    shards = -(-known.train_tokens // shard_tokens)
+    rounds = 1 + math.ceil(math.log2(shards))
+    stored = write_out(coded_texts(training, known, shards).repartition(min(shards, MOST_FILES), "shard")
+                       .sortWithinPartitions("shard", "codes"), "lm-codes")
+    for turn in range(-(-steps * batch // known.train_tokens)):
+        for part in range(rounds):
+            held = spark.sparkContext.broadcast(model)
+            rows = stored.filter((F.col("shard") + turn) % rounds == part)
+            fit = _trainer(held, noise, turn, RATE / (1 + turn), batch, shard_tokens)
+            blocks = rows.mapInArrow(fit, BLOCKS).groupBy("block").applyInPandas(_added, BLOCKS).collect()  # one model
+            held.destroy()
+            table = model.table()
+            for r in blocks:
+                moved = np.frombuffer(r.moved, np.float16).reshape(-1, table.shape[1])
+                table[r.block * MODEL_BLOCK:(r.block + 1) * MODEL_BLOCK] += moved
+            model = model.of_table(table)
     return model
 
 
