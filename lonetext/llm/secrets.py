@@ -23,6 +23,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 characters or more: shorter runs fa
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
+SPANS = "array<struct<start: int, rank: int, end: int, match: string>>"
+BLOCK = 128  # matches that are walked at a time
+
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{WINDOW},}}"
 # Bits of a window of 20; random strings reach about 3.3, 3.8 and 4.1.
@@ -42,7 +45,7 @@ def found(text: Column, pattern: str, group: int, least: int, rank: int) -> Colu
     matches, groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(
         text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.split(text, pattern, -1).alias("p"))
-    none = F.array().cast("array<struct<start: int, rank: int, end: int, match: string>>")
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -52,8 +55,21 @@ def found(text: Column, pattern: str, group: int, least: int, rank: int) -> Colu
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span)))
                         .otherwise(acc["spans"]).alias("spans"))
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def step_block(acc: Column, block: Column) -> Column:
+        # The inner lambda binds the walked block, so that it is walked once.
+        walked = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        put = F.transform(F.array(walked), lambda w: F.struct(
+            w["at"].alias("at"), F.concat(acc["parts"], F.array(w["spans"])).alias("parts")))
+        return F.get(put, F.lit(0))
+
+    def walked(pieces: Column) -> Column:
+        """Matches are walked in blocks, so that a list is appended to at most `BLOCK` times and once a block."""
+        count = F.floor((F.size(pieces) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+        return F.flatten(F.aggregate(blocks, start, step_block, lambda acc: acc["parts"]))
+
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(zipped), walked), F.lit(0))).otherwise(none)
 
 
 def best_entropy(value: Column, window: int = WINDOW) -> Column:

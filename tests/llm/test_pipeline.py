@@ -75,3 +75,24 @@ def test_odd_documents_go_through(spark, sf):
     for _, stage in cp.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect() or [], stage(spark, docs, sf).schema)
     assert {r.doc_id for r in docs.collect()} <= {1, None, 2}
+
+
+CLASHING = ("kept", "score", "text_score", "page_score", "row_key", "contamination", "secret_found", "secrets")
+
+
+def test_columns_named_like_added_ones_keep_their_values(spark, sf):
+    docs = spark.createDataFrame([(i, prose(i, 80) + (" token=abcdefgh" if i == 3 else ""), "en", "a", 400) for i in range(12)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns
+        for r in after.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING) and "abcdefgh" not in str(r[c] for c in CLASHING)
+
+
+def test_an_empty_table_goes_through(spark, sf):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.collect() == []

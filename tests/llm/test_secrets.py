@@ -85,3 +85,16 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = secrets.scan(docs_of(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_many_spans(spark):
+    import time
+
+    runs = [f"{i:024x}" for i in range(6000)]
+    text = "é ".join(runs)
+    df = spark.createDataFrame([(1, "warm " + runs[0]), (2, text)], "doc_id long, text string")
+    assert secrets.scan(df.filter("doc_id = 1")).first().secrets[0].start == 5
+    start = time.time()
+    found = [s for s in secrets.scan(df.filter("doc_id = 2")).first().secrets if s.rank == 2]
+    assert time.time() - start < 20
+    assert [(s.start, s.end) for s in found] == [(26 * i, 26 * i + 24) for i in range(6000)]
