@@ -1,11 +1,14 @@
 """A corpus pipeline of five stages; each takes the documents the one before it kept, written as Parquet and read again.
 
 All stages but the last return the columns of documents. The near-duplicate stage tells rows apart by a 64-bit hash of id
-and text, so rows without an id, or with an id that others carry too, are judged one by one.
+and text, so rows without an id, or with an id that others carry too, are judged one by one. Columns of documents that are
+named like a column a stage adds keep their own values. Empty tables go through all stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lonetext.common import scratch_path, ship_package, write_out
@@ -20,11 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _beside(docs: DataFrame, added: Collection[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`stage` on documents whose columns named like an `added` one have another name meanwhile."""
+    hidden = {c: f"documents_{i}_{c}" for i, c in enumerate(docs.columns) if c in added}
+    done = stage(docs.withColumnsRenamed(hidden))
+    return done.drop(*added).withColumnsRenamed({h: c for c, h in hidden.items()}).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     ship_package(spark)
-    judged = quality_classifier.classify(docs, _table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    labels = _table(spark, sf_dir, "labels")
+    return _beside(docs, (*quality_classifier.SCORES, "kept"),
+                   lambda d: quality_classifier.classify(d, labels).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows with equal id and text one stays, the one that is smallest in all columns.
     """
     ship_package(spark)
+    return _beside(docs, ["row_key"], lambda d: _one_of_each(d))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     found = jaccard_join.join_components(docs.select(key.alias("doc_id"), "text"), SHINGLE_WORDS, SHARE_PERCENT)
     groups = found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")).distinct()
@@ -55,19 +70,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     ship_package(spark)
-    found = decontamination.contaminations(docs, _table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("contamination") == 0).select(*docs.columns)
+    benchmark = _table(spark, sf_dir, "benchmark")
+    return _beside(docs, ["contamination"], lambda d: decontamination.contaminations(d, benchmark).filter(
+        F.size("contamination") == 0))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark; n_chars follows the text where it changed."""
-    scanned = secrets.scan(docs)
-    found = F.size("secrets") > 0
-    text = secrets.redact(F.col("text"), F.col("secrets"))
-    changed = scanned.select(*[c for c in docs.columns if c not in ("text", "n_chars")], found.alias("secret_found"),
-                             text.alias("text"), "n_chars")
-    return changed.withColumn("n_chars", F.when(F.col("secret_found"), F.length("text").cast("long"))
-                              .otherwise(F.col("n_chars"))).select(*docs.columns)
+    def hide(d: DataFrame) -> DataFrame:
+        scanned = secrets.scan(d)
+        text = secrets.redact(F.col("text"), F.col("secrets"))
+        changed = scanned.withColumns({"secret_found": F.size("secrets") > 0, "text": text})
+        return changed.withColumn("n_chars", F.when(F.col("secret_found"), F.length("text").cast("long"))
+                                  .otherwise(F.col("n_chars")))
+
+    return _beside(docs, ("secrets", "secret_found"), hide)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
