@@ -11,8 +11,9 @@ segment number, checked for gaps and against the stated total, joined, and the c
 checked against the stated digest; a record that fails any check has `problem` set and no payload.
 
 Defined results: NULL html is the empty payload, a NULL url is the empty url, and a NULL page id is carried as NULL.
-Rows repeated with equal id and payload are one page. Pages without any row give an archive without files. Further
-columns are not stored. Files hold at most `FILE_RECORDS` records, so a file and a page are what a task must hold.
+Rows repeated with equal id and payload are written and listed one by one. Pages without any row give an archive without
+files. Further columns are not stored. A file holds at most `FILE_RECORDS` records, and a record at most `SEGMENT_BYTES` of
+a block behind its header, so a file of some 17 MB and a page are what a task must hold, however long pages are.
 """
 
 from __future__ import annotations
@@ -276,7 +277,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for origin, first, parts in zip(*(batch.column(i) for i in range(3))):
+            for origin, first, times, parts in zip(*(batch.column(i) for i in range(4))):
                 first, unique = first.as_py(), {}
                 for p in parts.as_py():  # a segment that is there twice counts once
                     unique.setdefault(p["segment"], (p["segment"], p["total"], p["block"]))
@@ -284,8 +285,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if first is None:
                     rows.append((origin.as_py(), "response", None, None, None, None, None, "first segment missing"))
                 else:
-                    rows.append(shown(_read_row(origin.as_py(), first["type"], first["about"], first["target"],
-                                                first["digest"], ordered)))
+                    row = shown(_read_row(origin.as_py(), first["type"], first["about"], first["target"],
+                                          first["digest"], ordered))
+                    rows += [row] * times.as_py()
             if rows:
                 yield _batch(rows, out)
 
@@ -295,17 +297,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     whole = rows.filter("whole").select(*[p.split()[0] for p in READ.split(", ")])
     head = F.when(F.col("segment") == 1, F.struct("type", "about", "target", "digest"))
     groups = rows.filter("NOT whole").groupBy("origin").agg(
-        F.max(head).alias("first"), F.collect_list(F.struct("segment", "total", "block")).alias("parts"))
+        F.max(head).alias("first"), F.sum((F.col("segment") == 1).cast("int")).cast("int").alias("times"),
+        # equal segments of a page that is stored very often are one before the shuffle
+        F.collect_set(F.struct("segment", "total", "block")).alias("parts"))
     return whole.unionByName(groups.mapInArrow(decode, READ))
 
 
 def catalogue(records: DataFrame) -> DataFrame:
     """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to; revisits get their response's size."""
     number = lambda c: F.split(F.col(c), ":")[2].try_cast("long")
-    narrow = records.select("record_id", "record_type", "refers", "payload_digest", "payload_bytes").distinct()
+    narrow = records.select("record_id", "record_type", "refers", "payload_digest", "payload_bytes")
     narrow = write_out(narrow, "warc-catalogue")
     responses = narrow.filter("record_type = 'response'")
-    sizes = responses.select(F.col("record_id").alias("refers"), F.col("payload_bytes").alias("size"))
+    sizes = responses.select(F.col("record_id").alias("refers"), F.col("payload_bytes").alias("size")).distinct()
     again = narrow.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers", "left")
     every = responses.unionByName(again.withColumnRenamed("size", "payload_bytes"))
     return every.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
