@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonetext.operators.detectors import HBOS, MLP, Detector, IsolationForest
-from lonetext.plans import benchmark, report
+from lonetext.operators.sampling import partial_labels_per_scenario
+from lonetext.plans import benchmark, pairs, report
 from lonetext.sources.results import RESULT_SCHEMA, as_csv_rows, read_log, read_results
 
 
@@ -73,7 +74,7 @@ def test_grid_survives_a_failing_pair(spark, sf, tmp_path):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
     pairs = {"good": lambda: vectors, "few": lambda: vectors.filter("label = 0")}
     root = str(tmp_path / "results")
-    out, log = benchmark.run_grid(pairs, {"HBOS": HBOS}, {"MLP": lambda: MLP(max_iter=3)}, share=0.5, root=root)
+    out, log = benchmark.run_grid(pairs, {"HBOS": HBOS}, {"MLP": lambda: MLP(epochs=3)}, share=0.5, root=root)
     rows = {(r.dataset, r.model): r for r in out.collect()}
     assert set(rows) == {("good", "HBOS"), ("good", "MLP"), ("few", None)}
     assert "not enough anomalies" in rows["few", None].error
@@ -84,12 +85,13 @@ def test_grid_survives_a_failing_pair(spark, sf, tmp_path):
 
 def test_scratch_tables_go_with_their_pair(spark, sf, tmp_path, monkeypatch):
     written = []
-    monkeypatch.setattr(benchmark, "write_out", lambda *a, f=benchmark.write_out, **k: written.append((k.get("keep"), f(*a, **k))) or written[-1][1])
+    for module in (benchmark, pairs):
+        monkeypatch.setattr(module, "write_out", lambda *a, f=module.write_out, **k: written.append((k.get("keep"), f(*a, **k))) or written[-1][1])
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
     out, log = benchmark.run_grid({"p": lambda: vectors}, {"HBOS": HBOS}, {}, share=0.5)
     assert out.count() == 1 and log.count() > 0 and len(written) > 3
     for keep, df in written:
-        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").split("/split=")[0]
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").split("/pair=")[0].split("/split=")[0]
         assert os.path.exists(folder.replace("//", "")) is bool(keep)
 
 
@@ -180,3 +182,53 @@ def test_poisson_weights_follow_the_law(spark):
     found = dict(rows.select(report.poisson_weight("replicate", ["run_id"], 1).alias("w")).groupBy("w").count().collect())
     for k, p in ((0, 0.3679), (1, 0.3679), (2, 0.1839), (3, 0.0613)):
         assert abs(found[k] / 20_000 - p) < 0.015
+
+
+def picks(df):
+    return sorted((r.row_id, r.y, r.split) for r in df.select("row_id", "y", "split").collect())
+
+
+def test_pairs_are_prepared_as_single_tables_are(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    tables = {"all": vectors, "text": vectors.withColumn("label", F.concat(F.lit("c"), (F.col("label") % 3).cast("string"))),
+              "nulls": vectors.withColumn("label", F.when(F.col("label") > 1, F.col("label"))),
+              "few": vectors.filter("label = 0"), "two": vectors.filter("label < 2"), "named": vectors}
+    rows, bad = pairs.prepare_pairs(pairs.stack_pairs(tables), 0.3, normal={"named": [1, 2]})
+    assert {r.pair: r.error.split(",")[0] for r in bad.collect()}.keys() == {"few"} and "not enough anomalies" in bad.first().error
+    for name, df in tables.items():
+        if name != "few":
+            one = benchmark.prepare(df, 0.3, normal_label=[1, 2] if name == "named" else None)
+            assert picks(rows.filter(F.col("pair") == name)) == picks(one), name
+    marked, places = pairs.with_scenarios(rows, (0.01, 0.05), 2, 42)
+    one = benchmark.prepare(vectors, 0.3)
+    single, where = partial_labels_per_scenario(one.filter("split = 'train'"), (0.01, 0.05), 2, 42)
+    assert places == where
+    got = {r.row_id: r.semi for r in marked.filter("pair = 'all' AND split = 'train'").collect()}
+    assert got == {r.row_id: r.semi for r in single.collect()} and sum(map(sum, got.values())) > 4
+    assert marked.filter("split = 'test'").select(F.max(F.array_max("semi"))).first()[0] == 0
+
+
+def test_jobs_of_the_preparation_do_not_grow_with_pairs(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+
+    def jobs(n):
+        group = f"pairs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows, bad = pairs.prepare_pairs(pairs.stack_pairs({f"p{i}": vectors for i in range(n)}), 0.3)
+        pairs.with_scenarios(rows, (0.05,), 1)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(8) <= jobs(2) + 4  # small joins may be broadcast or not
+
+
+def test_a_pair_whose_rows_fail_does_not_stop_the_grid(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    broken = vectors.withColumn("label", F.raise_error(F.lit("broken rows")).cast("int"))
+
+    def missing():
+        raise OSError("no such table")
+
+    out, _ = benchmark.run_grid({"ok": lambda: vectors, "bad": lambda: broken, "gone": missing}, {"HBOS": HBOS}, {}, share=0.5)
+    rows = {r.dataset: r for r in out.collect()}
+    assert rows["ok"].error is None and "broken rows" in rows["bad"].error and "no such table" in rows["gone"].error
