@@ -532,8 +532,8 @@ def bench_grid(spark, sf):
 
     pairs = {"embeddings_given": lambda: src.vectors(spark, sf), "toxic_hashed64": hashed("toxic", 64),
              "quality_hashed32": hashed("quality", 32)}
-    rows, _ = benchmark.run_grid(pairs, {"HBOS": HBOS, "IForest": IsolationForest}, {"MLP": DETECTORS["mlp"]},
-                                 run_id=_run_id, spark=spark, parallel=4, uncertainty=["IForest"])
+    plain, semi = _configured_models()
+    rows, _ = benchmark.run_grid(pairs, plain, semi, run_id=_run_id, spark=spark, parallel=4, uncertainty=["IForest"])
     return _rounded(rows)
 
 
