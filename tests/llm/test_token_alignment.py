@@ -38,8 +38,9 @@ def plain(text, tools):
     covering = {p: j for j, (s, e) in enumerate(spans_b) for p in range(s, e)}
     links = Counter((ids_a[i], ids_b[j]) for i, (s, e) in enumerate(spans_a) for j in {covering[p] for p in range(s, e)})
     groups, x, y = [], 0, 0
+    upto_a, upto_b = ({e: k for k, e in enumerate(ends, 1)} for ends in (ends_a, ends_b))
     for end in sorted(set(ends_a) & set(ends_b)):
-        to_a, to_b = ends_a.index(end) + 1, ends_b.index(end) + 1
+        to_a, to_b = upto_a[end], upto_b[end]
         groups.append(",".join(map(str, ids_a[x:to_a])) + "|" + ",".join(map(str, ids_b[y:to_b])))
         x, y = to_a, to_b
     return ids_a, ids_b, groups, links
