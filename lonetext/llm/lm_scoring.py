@@ -45,7 +45,7 @@ WORDS = 1 << 17
 GROUP = 256
 DIM = 24
 SHARD_TOKENS = 4 << 20
-STEPS = 1200  # at least: a small corpus is passed over several times
+STEPS = 1800  # at least: a small corpus is passed over several times
 BATCH = 2048
 NOISE = 32
 MEMBER_NOISE = 2  # of a row, from its own head
@@ -504,7 +504,7 @@ def train(training: DataFrame, known: Vocabulary, steps: int = STEPS, batch: int
         for part in range(rounds):
             held = spark.sparkContext.broadcast(model)
             rows = stored.filter((F.col("shard") + turn) % rounds == part)
-            fit = _trainer(held, noise, turn, RATE / (1 + turn), batch, shard_tokens)
+            fit = _trainer(held, noise, turn, RATE / (1 + turn / 2), batch, shard_tokens)
             blocks = rows.mapInArrow(fit, BLOCKS).groupBy("block").applyInPandas(_added, BLOCKS).collect()  # one model
             held.destroy()
             table = model.table()
