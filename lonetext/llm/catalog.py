@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from lonetext.llm import (decontamination, hard_negatives, html_text, jaccard_join, lm_scoring, mixing,
@@ -66,8 +66,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(secrets.KINDS[:3])]
+
+    def count(rank: int) -> Column:  # a second parameter of the lambda would be the place in the list
+        return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
     return scanned.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
                           secrets.listed(spans).alias("spans"))
 
