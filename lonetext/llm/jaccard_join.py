@@ -302,6 +302,14 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(ends.filter("low < high").select("gram", "home"), "gram")
 
 
+def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The n-grams whose lists hold sets of several components."""
+    placed = members.select("gram", "node").join(labels, "node", "left").select(
+        "gram", F.coalesce("component", "node").alias("component"))
+    ends = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return ends.filter("low < high").select("gram")
+
+
 def with_answers(members: DataFrame, answers: DataFrame) -> DataFrame:
     """Add `most` and `least`, bounds of what a set shares with its list's representative.
 
@@ -557,8 +565,9 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
         new = found.select("a", "b").distinct()
         links = write_out(links.unionByName(compare(new).filter("linked").select("a", "b")), "join-links")
         labels = components(links)
-        # A list that gave no pair is done for good: its candidates only become fewer.
-        grams = write_out(found.select("gram").distinct(), "join-grams")
+        # A list that gave no pair is done for good: its candidates only become fewer. So is one whose sets are all linked.
+        grams = write_out(several_components(members, labels).join(found.select("gram").distinct(), "gram", "left_semi"),
+                          "join-grams")
         members = members.join(grams, "gram", "left_semi")
         seen = found if seen is None else write_out(seen.join(grams, "gram", "left_semi").unionByName(found).distinct(), "join-seen")
         round_ += 1
