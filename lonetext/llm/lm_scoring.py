@@ -204,15 +204,27 @@ def word_codes(tokens: np.ndarray, known: Vocabulary) -> np.ndarray:
 
 def code_triples(own: np.ndarray, bounds: np.ndarray, n_words: int) -> np.ndarray:
     """(before last, last, own) of every word number as one number each; the start of a text is `n_words`."""
-    base = n_words + 1
-    start = np.full(2, n_words)
-    last, before = np.concatenate([start[:1], own[:-1]]), np.concatenate([start, own[:-2]])[:len(own)]
-    first = bounds[:-1]
-    last[first] = n_words
-    before[first] = n_words
-    second = first[np.diff(bounds) > 1] + 1
-    before[second] = n_words
-    return (before * base + last) * base + own
+    return Triples(own, bounds, n_words)[np.arange(len(own))]
+
+
+class Triples:
+    """The triples of `code_triples`, made when they are asked for: what is held are the word numbers themselves."""
+
+    def __init__(self, own: np.ndarray, bounds: np.ndarray, n_words: int):
+        self.own, self.n_words = own, n_words
+        self.behind = np.full(len(own), 2, np.int8)  # words of the text before this one, two at most
+        first = bounds[:-1]
+        self.behind[first[np.diff(bounds) > 1] + 1] = 1
+        self.behind[first] = 0
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        behind, base = self.behind[at], self.n_words + 1
+        last = np.where(behind > 0, self.own[at - 1], self.n_words).astype(np.int64)
+        before = np.where(behind > 1, self.own[at - 2], self.n_words).astype(np.int64)
+        return (before * base + last) * base + self.own[at]
 
 
 def class_triples(tokens: np.ndarray, bounds: np.ndarray, known: Vocabulary) -> np.ndarray:
@@ -270,7 +282,12 @@ class LogBilinear:
         return np.where(words < self.n_classes, words, self.n_classes + (words - self.n_classes) // GROUP)
 
     def predicted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.context[before] * self.scale[0] + self.context[last] * self.scale[1]
+        result = self.context[before]
+        result *= self.scale[0]
+        other = self.context[last]
+        other *= self.scale[1]
+        result += other
+        return result
 
     def log_probability(self, triples: np.ndarray) -> np.ndarray:
         """Natural logarithms of the words' probabilities, once per distinct triple, heads once per distinct context."""
@@ -280,8 +297,8 @@ class LogBilinear:
     def _distinct(self, triples: np.ndarray) -> np.ndarray:
         base = len(self.context)
         pairs, inverse = np.unique(triples // base, return_inverse=True)
-        hidden = self.predicted(pairs // base, pairs % base).astype(np.float32)
-        target, offset, member, member_offset = (x.astype(np.float32) for x in (
+        hidden = self.predicted(pairs // base, pairs % base).astype(np.float32, copy=False)
+        target, offset, member, member_offset = (x.astype(np.float32, copy=False) for x in (
             self.target, self.offset, self.member, self.member_offset))
         norm = np.empty(len(pairs))
         # where no product can leave the range of exponentials, sums need no shift
@@ -312,9 +329,13 @@ class LogBilinear:
 
     def table(self) -> np.ndarray:
         """All numbers as rows of vector and offset: contexts, members, heads, scales."""
-        offsets = [np.zeros(len(self.context)), self.member_offset, self.offset, np.zeros(2)]
-        return np.column_stack([np.concatenate([self.context, self.member, self.target, self.scale]),
-                                np.concatenate(offsets)]).astype(np.float32)
+        parts = [(self.context, 0), (self.member, self.member_offset), (self.target, self.offset), (self.scale, 0)]
+        result, at = np.empty((sum(len(x) for x, _ in parts), self.context.shape[1] + 1), np.float32), 0
+        for vectors, offsets in parts:
+            result[at:at + len(vectors), :-1] = vectors
+            result[at:at + len(vectors), -1] = offsets
+            at += len(vectors)
+        return result
 
     def of_table(self, table: np.ndarray) -> "LogBilinear":
         context, member, target, scale = np.split(table, np.cumsum([len(self.context), len(self.member),
@@ -364,7 +385,7 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[first], sums
 
 
-def nce_pass(model: LogBilinear, triples: np.ndarray, noise: np.ndarray, seed: int | list[int], batch: int = BATCH,
+def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarray, seed: int | list[int], batch: int = BATCH,
              n_noise: int = NOISE, rate: float = RATE, met: np.ndarray | None = None) -> LogBilinear:
     """AdaGrad steps of noise-contrastive estimation, one pass over all triples in an order drawn anew.
 
@@ -382,11 +403,12 @@ def nce_pass(model: LogBilinear, triples: np.ndarray, noise: np.ndarray, seed: i
     met_context, met_inner, met_all = np.split(met, [base, base + len(member)])
     log_kq = np.log(n_noise * noise).astype(np.float32)
     log_kg = np.log(MEMBER_NOISE / np.arange(1, GROUP + 1)).astype(np.float32)
-    heads, done, order = model.heads(triples % base), 0, draw.permutation(len(triples))
+    done, order = 0, draw.permutation(np.arange(len(triples), dtype=np.int32 if len(triples) < 1 << 31 else np.int64))
     for at in range(0, len(order), batch):
         chosen = order[at:at + batch]
-        rows, own = triples[chosen], heads[chosen]
+        rows = triples[chosen]
         word, last, before = rows % base, rows // base % base, rows // base // base
+        own = model.heads(word)
         false = draw.choice(len(noise), n_noise, p=noise)
         one, other, total = context[before], context[last], len(chosen)
         hidden = one * scale[0] + other * scale[1]
@@ -443,14 +465,18 @@ def _trainer(held: Broadcast, noise: np.ndarray, turn: int, rate: float, batch:
 
         def pass_over() -> None:
             bounds = np.cumsum([0, *(len(t) // 4 for t in texts)])
-            codes = np.frombuffer(b"".join(texts), np.int32).astype(np.int64)
-            triples, met = code_triples(codes, bounds, len(model.context) - 1), np.zeros(len(old), np.float32)
+            codes = np.frombuffer(b"".join(texts), np.int32)
+            texts.clear()
+            triples, met = Triples(codes, bounds, len(model.context) - 1), np.zeros(len(old), np.float32)
             new = nce_pass(model, triples, noise, [turn, *place], batch, rate=rate, met=met).table()
-            total[:] += (new - old) * met[:, None]
+            new -= old
+            new *= met[:, None]
+            total[:] += new
             times[:] += met
 
         for some in batches:
-            for shard, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+            for shard, text in zip(some.column(0).to_pylist(), some.column(1)):
+                text = text.as_py()
                 if texts and (shard != place[0] or size >= 2 * shard_tokens):
                     pass_over()
                     texts, size, place = [], 0, (shard, place[1] + 1 if shard == place[0] else 0)
