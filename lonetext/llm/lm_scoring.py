@@ -53,6 +53,7 @@ MOST_FILES = 4096  # of the stored word numbers; a file may hold several shards
 MODEL_BLOCK = 1024  # rows of the model's table in a row of the shuffle
 RATE = 0.1
 FLUSH = 1 << 20
+PREDICTED = 1 << 14  # predicted vectors that are handled at a time, beside the one table of them
 END = np.uint64(1)  # the hash of the end token; no word hash is below 16
 REST = 0  # the class of words without one; as a head, of words beyond the vocabulary
 
@@ -284,9 +285,10 @@ class LogBilinear:
     def predicted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         result = self.context[before]
         result *= self.scale[0]
-        other = self.context[last]
-        other *= self.scale[1]
-        result += other
+        for at in range(0, len(result), PREDICTED):
+            other = self.context[last[at:at + PREDICTED]]
+            other *= self.scale[1]
+            result[at:at + PREDICTED] += other
         return result
 
     def log_probability(self, triples: np.ndarray) -> np.ndarray:
@@ -302,7 +304,8 @@ class LogBilinear:
             self.target, self.offset, self.member, self.member_offset))
         norm = np.empty(len(pairs))
         # where no product can leave the range of exponentials, sums need no shift
-        longest = np.sqrt((hidden * hidden).sum(axis=1).max(initial=0))
+        longest = np.sqrt(max(((x * x).sum(axis=1).max(initial=0) for x in np.split(hidden, range(PREDICTED, len(hidden), PREDICTED))),
+                              default=0))
         plain = [longest * np.sqrt((x * x).sum(axis=1).max(initial=0)) + np.abs(y).max(initial=0) < 60
                  for x, y in ((target, offset), (member, member_offset))]
         for at in range(0, len(pairs), 1024):
@@ -310,8 +313,8 @@ class LogBilinear:
         words = triples % base
         own = self.heads(words)
         result = np.empty(len(triples))
-        for at in range(0, len(triples), 1 << 18):
-            rows = slice(at, at + (1 << 18))
+        for at in range(0, len(triples), PREDICTED):
+            rows = slice(at, at + PREDICTED)
             result[rows] = (np.einsum("ij,ij->i", hidden[inverse[rows]], target[own[rows]]) + offset[own[rows]]
                             - norm[inverse[rows]])
         inner = np.flatnonzero(words >= self.n_classes)
@@ -327,16 +330,30 @@ class LogBilinear:
                 result[rows] -= _log_sums(logits, plain[1])
         return result
 
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray | int]]:
+        return [(self.context, 0), (self.member, self.member_offset), (self.target, self.offset), (self.scale, 0)]
+
+    def rows(self) -> int:
+        return sum(len(x) for x, _ in self.parts())
+
     def table(self) -> np.ndarray:
         """All numbers as rows of vector and offset: contexts, members, heads, scales."""
-        parts = [(self.context, 0), (self.member, self.member_offset), (self.target, self.offset), (self.scale, 0)]
-        result, at = np.empty((sum(len(x) for x, _ in parts), self.context.shape[1] + 1), np.float32), 0
-        for vectors, offsets in parts:
+        result, at = np.empty((self.rows(), self.context.shape[1] + 1), np.float32), 0
+        for vectors, offsets in self.parts():
             result[at:at + len(vectors), :-1] = vectors
             result[at:at + len(vectors), -1] = offsets
             at += len(vectors)
         return result
 
+    def moved_from(self, old: "LogBilinear") -> np.ndarray:
+        """The table of this model less that of another one."""
+        result, at = self.table(), 0
+        for vectors, offsets in old.parts():
+            result[at:at + len(vectors), :-1] -= vectors
+            result[at:at + len(vectors), -1] -= offsets
+            at += len(vectors)
+        return result
+
     def of_table(self, table: np.ndarray) -> "LogBilinear":
         context, member, target, scale = np.split(table, np.cumsum([len(self.context), len(self.member),
                                                                     len(self.target)]))
@@ -397,10 +414,11 @@ def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarra
     base, first = len(model.context), model.n_classes
     context, target, scale, offset, member, member_offset = (x.astype(np.float32) for x in model.arrays())
     inner = np.column_stack([member, member_offset])
+    del member, member_offset
     sums = [np.full_like(x, 1e-2) for x in (target, scale, offset)]
     context_sums, inner_sums = np.ones_like(context), np.ones_like(inner)
-    met = np.zeros(len(model.table())) if met is None else met
-    met_context, met_inner, met_all = np.split(met, [base, base + len(member)])
+    met = np.zeros(model.rows()) if met is None else met
+    met_context, met_inner, met_all = np.split(met, [base, base + len(inner)])
     log_kq = np.log(n_noise * noise).astype(np.float32)
     log_kg = np.log(MEMBER_NOISE / np.arange(1, GROUP + 1)).astype(np.float32)
     done, order = 0, draw.permutation(np.arange(len(triples), dtype=np.int32 if len(triples) < 1 << 31 else np.int64))
@@ -460,18 +478,20 @@ def _trainer(held: Broadcast, noise: np.ndarray, turn: int, rate: float, batch:
     mean over the shards, and how often it was met. A shard that holds very many copies of a text is several parts."""
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, texts, size, place = held.value, [], 0, (-1, 0)
-        old = model.table()
-        total, times = np.zeros(old.shape, np.float32), np.zeros(len(old), np.float32)
+        total, times = None, np.zeros(model.rows(), np.float32)
 
         def pass_over() -> None:
+            nonlocal total
             bounds = np.cumsum([0, *(len(t) // 4 for t in texts)])
             codes = np.frombuffer(b"".join(texts), np.int32)
             texts.clear()
-            triples, met = Triples(codes, bounds, len(model.context) - 1), np.zeros(len(old), np.float32)
-            new = nce_pass(model, triples, noise, [turn, *place], batch, rate=rate, met=met).table()
-            new -= old
+            triples, met = Triples(codes, bounds, len(model.context) - 1), np.zeros(len(times), np.float32)
+            new = nce_pass(model, triples, noise, [turn, *place], batch, rate=rate, met=met).moved_from(model)
             new *= met[:, None]
-            total[:] += new
+            if total is None:
+                total = new
+            else:
+                total += new
             times[:] += met
 
         for some in batches:
@@ -486,18 +506,19 @@ def _trainer(held: Broadcast, noise: np.ndarray, turn: int, rate: float, batch:
                 size += len(text) // 4
         if texts:
             pass_over()
-        yield from _blocks(total, times)
+        if total is not None:
+            yield from _blocks(total, times)
 
     return fit
 
 
 def _blocks(total: np.ndarray, times: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
-    mean = (total / np.maximum(times, 1)[:, None]).astype(np.float16)
     for at in range(0, len(times), MODEL_BLOCK):
         rows = slice(at, at + MODEL_BLOCK)
         if times[rows].any():
+            mean = (total[rows] / np.maximum(times[rows], 1)[:, None]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([
-                pa.array([first + at // MODEL_BLOCK], pa.int32()), pa.array([mean[rows].tobytes()], pa.binary()),
+                pa.array([first + at // MODEL_BLOCK], pa.int32()), pa.array([mean.tobytes()], pa.binary()),
                 pa.array([times[rows].astype(np.float32).tobytes()], pa.binary())], ["block", "moved", "met"])
 
 

@@ -37,3 +37,47 @@ def test_triples_made_when_asked_for_are_those_of_the_whole():
     at = np.array([7, 0, 3, 2, 1, 6, 5, 4])
     assert len(got) == 8
     assert [(int(g // base // base), int(g // base % base), int(g % base)) for g in got[at]] == [expected[i] for i in at]
+
+
+def large_model():
+    counts, members = np.full(200 + 256, 1000), np.full(1 << 16, 100)
+    model = lm.LogBilinear.fresh(counts, member_counts=members)
+    return model.of_table(model.table()), counts / counts.sum()
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        result = work()
+        return tracemalloc.get_traced_memory()[1], result
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_no_further_tables_of_the_model():
+    """Beside the model a pass holds its vectors, their sums of squares and, from the second shard on, what moved so far."""
+    model, noise = large_model()
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.arange(256, dtype=np.int32).tobytes()], pa.binary())],
+                                       ["shard", "codes"])
+    peak, blocks = peak_of(lambda: list(lm._trainer(Held(model), noise, 0, lm.RATE, 256, 1 << 30)([batch])))
+    assert blocks
+    assert peak < 4.5 * model.table().nbytes
+
+
+def test_moved_is_the_difference_of_the_tables():
+    model, _ = large_model()
+    other = model.of_table(model.table() + np.float32(0.25))
+    assert np.array_equal(other.moved_from(model), other.table() - model.table())
+
+
+def test_scoring_holds_predicted_vectors_once():
+    model, _ = large_model()
+    n = 1 << 17
+    triples = lm.code_triples(np.random.default_rng(0).integers(0, len(model.context) - 1, n).astype(np.int32),
+                              np.arange(0, n + 1, 256), len(model.context) - 1)
+    before, last = np.arange(1, n) % 5000, np.arange(1, n) % 7001
+    peak, vectors = peak_of(lambda: model.predicted(before, last))
+    assert peak < 1.5 * vectors.nbytes
+    assert np.array_equal(vectors, model.context[before] * model.scale[0] + model.context[last] * model.scale[1])
+    peak, scores = peak_of(lambda: model.log_probability(triples))
+    assert peak < 2.4 * vectors.nbytes and len(scores) == n
