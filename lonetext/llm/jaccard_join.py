@@ -13,8 +13,9 @@ A text's set are its distinct word n-grams. Two texts link when their sets' Jacc
    one component, by size and position; whole blocks are skipped by component, by size range, by positions and by the
    derived bound, then pairs by the same tests and by small bitmaps. A list gives a forest of pairs that could join
    different components, and a few more a set.
-4. Pairs are tested by whole bitmaps, fetched for them alone, then verified on whole sets; what links is contracted, and
-   lists that gave pairs are walked again until none gives any. Lists above `BLOCK` sets are split into pairs of blocks.
+4. Pairs are tested by whole bitmaps, fetched for them alone, then verified on whole sets; what links is contracted.
+   Of a list only the sets are carried on that could still join another component by a pair it has not given yet, and
+   they are walked again until none is left. Lists above `BLOCK` sets are split into pairs of blocks.
 
 Every step is exact but for 59-bit hashes of n-grams and 64-bit hashes of sets. Only connections matter for components,
 so a pair inside one component needs no look; no link between different texts is lost.
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lonetext.common import write_out
 from lonetext.llm.components import components
@@ -267,18 +268,18 @@ def worth(n1: Column, p1: Column, n2: Column, p2: Column, share: int = SHARE) ->
 def index_lists(sets: DataFrame) -> DataFrame:
     """(gram, node, n, pos, k, rep, rep_n, rep_pos) of the lists with k >= 2 different sets.
 
-    Which n-grams have two sets is counted ahead of the shuffle; thousands of copies of one text are one entry per task.
+    Entries are shuffled once, by n-gram; what else is asked of a list is asked where its entries lie.
     The representative of a list is its set with the smallest hash, so that lists of the same sets have the same one.
     """
+    together = Window.partitionBy("gram")
     entries = sets.filter("node IS NOT NULL").select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     entries = entries.select("gram", "node", F.expr("shiftleft(n, 32) + pos").alias("place"))
-    several = entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    several = several.filter("low < high").select("gram")
-    shared = write_out(entries.join(several, "gram").distinct(), "join-lists")
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "place")).alias("first")
-    heads = shared.groupBy("gram").agg(F.count("*").alias("k"), first)
+    several = entries.withColumn("low", F.min("node").over(together)).withColumn("high", F.max("node").over(together))
+    shared = several.filter("low < high").select("gram", "node", "place").distinct()
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "place")).over(together).alias("first")
+    heads = shared.select("gram", "node", "place", F.count("*").over(together).alias("k"), first)
     n, pos = "shiftright({0}, 32)", "{0} & 4294967295L"
-    return write_out(shared.join(heads, "gram").select(
+    return write_out(heads.select(
         "gram", "node", F.expr(n.format("place")).alias("n"), F.expr(pos.format("place")).alias("pos"), "k",
         F.col("first.node").alias("rep"), F.expr(n.format("first.place")).alias("rep_n"),
         F.expr(pos.format("first.place")).alias("rep_pos")), "join-index")
@@ -297,9 +298,10 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     A list of two sets is done once the representative's answers are known.
     """
     members = lists.filter("k > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ends = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                       F.max(F.when(F.col("node") == F.col("rep"), F.col("component"))).alias("home"))
-    return members.join(ends.filter("low < high").select("gram", "home"), "gram")
+    together = Window.partitionBy("gram")
+    ends = members.withColumn("low", F.min("component").over(together)).withColumn("high", F.max("component").over(together))
+    home = F.max(F.when(F.col("node") == F.col("rep"), F.col("component"))).over(together)
+    return ends.withColumn("home", home).filter("low < high").drop("low", "high")
 
 
 def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -410,11 +412,13 @@ def _root(parent: dict, i) -> object:
     return i
 
 
-def forests(frame: pd.DataFrame, barred: set, share: int = SHARE, extra: int = 0) -> list[tuple[int, int, int]]:
+def forests(frame: pd.DataFrame, barred: set, share: int = SHARE, extra: int = 0,
+            left: set | None = None) -> list[tuple[int, int, int]]:
     """(gram, a, b): pairs that may link and together join all that each list could join.
 
     `frame` has rows of whole groups (gram, first, second). Up to `extra` more pairs a set, those with the highest
-    bounds, save further rounds when some do not link. Pairs in `barred`, (gram, a, b), have been looked at.
+    bounds, save further rounds when some do not link. Pairs in `barred`, (gram, a, b), have been looked at. `left` takes
+    the (gram, node) of pairs that are neither given nor barred.
     """
     if not len(frame):
         return []
@@ -443,6 +447,8 @@ def forests(frame: pd.DataFrame, barred: set, share: int = SHARE, extra: int = 0
             parent[x] = y
             degree[[a, b]] += 1
             result.append(pair)
+        elif left is not None:
+            left.update(((pair[0], pair[1]), (pair[0], pair[2])))
     return result
 
 
@@ -450,7 +456,9 @@ WALKED = "gram long, first int, second int, side int, node long, n long, pos lon
 
 
 def walk(members: DataFrame, seen: DataFrame | None, share: int = SHARE, extra: int = 0) -> DataFrame:
-    """(gram, a, b): forests of the lists. A list above BLOCK sets is dealt to blocks, and every two blocks are one group.
+    """(gram, a, b): forests of the lists, and with NULL as b the sets a of pairs that are left for the next round.
+
+    A list above BLOCK sets is dealt to blocks, and every two blocks are one group.
 
     `seen` (gram, a, b) are pairs that the lists gave before. Rows of a group lie together in one task, many groups a task.
     """
@@ -474,7 +482,9 @@ def walk(members: DataFrame, seen: DataFrame | None, share: int = SHARE, extra:
     def give(frame: pd.DataFrame) -> pa.RecordBatch:
         before = frame[frame["side"] < 0]
         barred = set(zip(before["gram"].tolist(), before["node"].tolist(), before["n"].tolist()))
-        pairs = forests(frame[frame["side"] >= 0].reset_index(drop=True), barred, share, extra)
+        left: set[tuple[int, int]] = set()
+        pairs = forests(frame[frame["side"] >= 0].reset_index(drop=True), barred, share, extra, left)
+        pairs += [(gram, node, None) for gram, node in left]
         columns = zip(*pairs) if pairs else ([], [], [])
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["gram", "a", "b"])
 
@@ -554,22 +564,27 @@ def link_components(docs: DataFrame, sets: DataFrame, classes: np.ndarray, width
     links = checked.filter("linked").select("a", "b")
     labels = components(links)
     members = with_answers(open_lists(lists, labels), checked.select("a", "b", "most", "least"))
-    members = write_out(within_reach(members, share).join(nodes.select("node", "sketch"), "node").drop("component", "home"),
-                        "join-open")
+    members = write_out(within_reach(members, share).join(nodes.select("node", "sketch"), "node").drop("home"), "join-open")
     seen, round_ = None, 0
     while True:
-        labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = write_out(walk(labelled, seen, share, 4 ** (round_ + 1)), "join-forest")
+        walked = write_out(walk(members, seen, share, 4 ** (round_ + 1)), "join-forest")
+        found = walked.filter("b IS NOT NULL")
         if found.isEmpty():
             return labels
-        new = found.select("a", "b").distinct()
+        new = write_out(found.select("a", "b").distinct(), "join-new")
         links = write_out(links.unionByName(compare(new).filter("linked").select("a", "b")), "join-links")
         labels = components(links)
-        # A list that gave no pair is done for good: its candidates only become fewer. So is one whose sets are all linked.
-        grams = write_out(several_components(members, labels).join(found.select("gram").distinct(), "gram", "left_semi"),
-                          "join-grams")
-        members = members.join(grams, "gram", "left_semi")
-        seen = found if seen is None else write_out(seen.join(grams, "gram", "left_semi").unionByName(found).distinct(), "join-seen")
+        # Candidates only become fewer: a set without a pair left is done in its list for good. So is a list whose sets left
+        # are all linked.
+        left = walked.filter("b IS NULL").select("gram", F.col("a").alias("node")).distinct()
+        grams = write_out(several_components(left, labels), "join-grams")
+        members = members.join(left.join(grams, "gram"), ["gram", "node"], "left_semi").drop("component")
+        members = write_out(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")),
+                            "join-left")
+        seen = found if seen is None else seen.unionByName(found)
+        seen = write_out(seen.join(left.withColumnRenamed("node", "a"), ["gram", "a"], "left_semi")
+                         .join(left.withColumnRenamed("node", "b"), ["gram", "b"], "left_semi").select("gram", "a", "b").distinct(),
+                         "join-seen")
         round_ += 1
 
 
