@@ -48,12 +48,15 @@ SHARD_TOKENS = 4 << 20
 STEPS = 1800  # at least: a small corpus is passed over several times
 BATCH = 2048
 NOISE = 32
+MANY = 8  # values of a row, above which they are summed by a call of their own
 MEMBER_NOISE = 2  # of a row, from its own head
 MOST_FILES = 4096  # of the stored word numbers; a file may hold several shards
 MODEL_BLOCK = 1024  # rows of the model's table in a row of the shuffle
 RATE = 0.1
 FLUSH = 1 << 20
-PREDICTED = 1 << 14  # predicted vectors that are handled at a time, beside the one table of them
+PREDICTED = 1 << 14  # predicted vectors that are handled at a time
+HEADS = 32  # heads whose exponentials are held for all words of a slice
+SUMMED = 1 << 12  # pairs whose products are summed at a time
 END = np.uint64(1)  # the hash of the end token; no word hash is below 16
 REST = 0  # the class of words without one; as a head, of words beyond the vocabulary
 
@@ -64,18 +67,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == HELD_OUT_REMAINDER, F.lit(False))
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens in order, ends included, and the bounds of each text's tokens."""
+def token_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each token among the hashes that follow, ends included, these hashes once a word, and the bounds of
+    each text's tokens. What is asked of a word is asked once for all its tokens."""
     words, bounds = split(pc.ascii_lower(texts))
     ids, distinct = coded(words)
-    codes = np.maximum(hashed(distinct), np.uint64(16))
+    hashes = np.append(np.maximum(hashed(distinct), np.uint64(16)), END)
     n = len(bounds) - 1
     out = bounds + np.arange(n + 1)
-    result = np.empty(out[-1], np.uint64)
-    result[out[1:] - 1] = END
+    result = np.full(out[-1], len(hashes) - 1)
     if len(ids):
-        result[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = codes[ids]
-    return result, out
+        result[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+    return result, hashes, out
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in order, ends included, and the bounds of each text's tokens."""
+    ids, hashes, bounds = token_words(texts)
+    return hashes[ids], bounds
 
 
 class Tally:
@@ -86,11 +95,13 @@ class Tally:
         self.counts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        distinct, counts = np.unique(keys, return_counts=True)
-        self.keys.append(distinct)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """`counts` are those of the keys, 1 each if not given."""
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
         self.counts.append(counts)
-        self.size += len(distinct)
+        self.size += len(keys)
         if self.size > FLUSH:
             self._merge()
 
@@ -116,7 +127,8 @@ def token_counts(training: DataFrame) -> DataFrame:
         tally = Tally()
         for batch in batches:
             for part in slices(batch):
-                tally.add(token_hashes(texts_of(part))[0])
+                ids, hashes, _ = token_words(texts_of(part))
+                tally.add(hashes, np.bincount(ids, minlength=len(hashes)))
                 yield from tally.taken(FLUSH)
         yield from tally.taken()
 
@@ -239,8 +251,8 @@ def coded_texts(training: DataFrame, known: Vocabulary, shards: int) -> DataFram
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                tokens, bounds = token_hashes(texts_of(part))
-                codes = word_codes(tokens, held.value).astype(np.int32)
+                ids, hashes, bounds = token_words(texts_of(part))
+                codes = word_codes(hashes, held.value).astype(np.int32)[ids]
                 yield pa.RecordBatch.from_arrays([pa.array(
                     [codes[start:end].tobytes() for start, end in zip(bounds[:-1], bounds[1:])], pa.binary())], ["codes"])
 
@@ -299,23 +311,33 @@ class LogBilinear:
     def _distinct(self, triples: np.ndarray) -> np.ndarray:
         base = len(self.context)
         pairs, inverse = np.unique(triples // base, return_inverse=True)
-        hidden = self.predicted(pairs // base, pairs % base).astype(np.float32, copy=False)
+        words = triples % base
+        before, before_at = np.unique(pairs // base, return_inverse=True)
+        last, last_at = np.unique(pairs % base, return_inverse=True)
+        before, last = ((self.context[x] * scale).astype(np.float32, copy=False)
+                        for x, scale in zip((before, last), self.scale))
         target, offset, member, member_offset = (x.astype(np.float32, copy=False) for x in (
             self.target, self.offset, self.member, self.member_offset))
-        norm = np.empty(len(pairs))
         # where no product can leave the range of exponentials, sums need no shift
-        longest = np.sqrt(max(((x * x).sum(axis=1).max(initial=0) for x in np.split(hidden, range(PREDICTED, len(hidden), PREDICTED))),
-                              default=0))
-        plain = [longest * np.sqrt((x * x).sum(axis=1).max(initial=0)) + np.abs(y).max(initial=0) < 60
-                 for x, y in ((target, offset), (member, member_offset))]
-        for at in range(0, len(pairs), 1024):
-            norm[at:at + 1024] = _log_sums(hidden[at:at + 1024] @ target.T + offset, plain[0])
-        words = triples % base
+        longest = _longest(before) + _longest(last)
+        plain = [longest * _longest(x) + np.abs(y).max(initial=0) < 60 for x, y in ((target, offset), (member, member_offset))]
+
+        def hidden(at: np.ndarray | slice) -> np.ndarray:
+            result = before.take(before_at[at], axis=0)
+            result += last.take(last_at[at], axis=0)
+            return result
+
+        if plain[0]:
+            norm = _shared_sums(before, last, before_at, last_at, target, offset)
+        else:
+            norm = np.empty(len(pairs))
+            for at in range(0, len(pairs), 1024):
+                norm[at:at + 1024] = _log_sums(hidden(slice(at, at + 1024)) @ target.T + offset)
         own = self.heads(words)
         result = np.empty(len(triples))
         for at in range(0, len(triples), PREDICTED):
             rows = slice(at, at + PREDICTED)
-            result[rows] = (np.einsum("ij,ij->i", hidden[inverse[rows]], target[own[rows]]) + offset[own[rows]]
+            result[rows] = (np.einsum("ij,ij->i", hidden(inverse[rows]), target.take(own[rows], axis=0)) + offset[own[rows]]
                             - norm[inverse[rows]])
         inner = np.flatnonzero(words >= self.n_classes)
         inner = inner[np.argsort(own[inner], kind="stable")]
@@ -324,7 +346,8 @@ class LogBilinear:
             first = (own[some[0]] - self.n_classes) * GROUP
             for at in range(0, len(some), 4096):
                 rows = some[at:at + 4096]
-                logits = hidden[inverse[rows]] @ member[first:first + GROUP].T + member_offset[first:first + GROUP]
+                logits = hidden(inverse[rows]) @ member[first:first + GROUP].T
+                logits += member_offset[first:first + GROUP]
                 place = words[rows] - self.n_classes - first
                 result[rows] += logits[np.arange(len(rows)), place]
                 result[rows] -= _log_sums(logits, plain[1])
@@ -360,6 +383,35 @@ class LogBilinear:
         return LogBilinear(context[:, :-1], target[:, :-1], scale[:, :-1], target[:, -1], member[:, :-1], member[:, -1])
 
 
+def _longest(vectors: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return math.sqrt(max((float(np.einsum("ij,ij->i", x, x).max(initial=0)) for x in np.split(
+        vectors, range(PREDICTED, len(vectors), PREDICTED))), default=0))
+
+
+def _shared_sums(before: np.ndarray, last: np.ndarray, before_at: np.ndarray, last_at: np.ndarray, target: np.ndarray,
+                 offset: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all heads of exponentials, for the pairs of `before[before_at]` and `last[last_at]`.
+
+    The exponential of a sum is the product of exponentials, so these are taken once a word and not once a pair. Pairs
+    come by their first word: of that one only a run is held at a time, of the other all words, for some heads at a time.
+    """
+    sums = np.zeros(len(before_at))
+    for at in range(0, len(target), HEADS):
+        some = slice(at, at + HEADS)
+        other = last @ target[some].T
+        other += offset[some]
+        np.exp(other, out=other)
+        for k in range(0, len(sums), SUMMED):
+            rows = slice(k, k + SUMMED)
+            first, end = before_at[k], before_at[rows][-1] + 1
+            one = before[first:end] @ target[some].T
+            np.exp(one, out=one)
+            sums[rows] += np.einsum("ij,ij->i", one.take(before_at[rows] - first, axis=0), other.take(last_at[rows], axis=0))
+        del other
+    return np.log(sums)
+
+
 def _log_sums(logits: np.ndarray, plain: bool = False) -> np.ndarray:
     """Logarithms of the rows' sums of exponentials; `logits` is overwritten. `plain` ones are small enough as they are."""
     top: np.ndarray | float = 0.0
@@ -393,15 +445,35 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     times = np.diff(np.append(first, len(rows)))
-    if times.max() > 32:
-        return rows[first], np.add.reduceat(values[order], first, axis=0)
-    sums, live = values[order[first]], np.flatnonzero(times > 1)
-    for k in range(1, times.max()):
-        sums[live] += values[order[first[live] + k]]
-        live = live[times[live] > k + 1]
+    sums, live = values.take(order[first], axis=0), np.flatnonzero(times > 1)
+    if times.max() <= 32:
+        for k in range(1, times.max()):
+            sums[live] += values.take(order[first[live] + k], axis=0)
+            live = live[times[live] > k + 1]
+        return rows[first], sums
+    # only the sums of many values are worth a call each
+    many = times > MANY
+    some = np.repeat(many, times)
+    starts = np.cumsum(times[many]) - times[many]
+    sums[many] = np.add.reduceat(values.take(order[some], axis=0), starts, axis=0)
+    live = live[~many[live]]
+    rest, at = values.take(order[first[live] + 1], axis=0), np.arange(len(live))
+    for k in range(2, MANY):
+        at = at[times[live[at]] > k]
+        rest[at] += values.take(order[first[live[at]] + k], axis=0)
+    sums[live] += rest
     return rows[first], sums
 
 
+def _step(table: np.ndarray, rows: np.ndarray, d: np.ndarray, rate: float) -> None:
+    """An AdaGrad step of some rows of a table that holds values and, behind them, sums of squares."""
+    some = table.take(rows, axis=0)
+    values, squares = np.split(some, 2, axis=1)
+    squares += d * d
+    values -= rate * d / np.sqrt(squares)
+    table[rows] = some
+
+
 def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarray, seed: int | list[int], batch: int = BATCH,
              n_noise: int = NOISE, rate: float = RATE, met: np.ndarray | None = None) -> LogBilinear:
     """AdaGrad steps of noise-contrastive estimation, one pass over all triples in an order drawn anew.
@@ -412,13 +484,15 @@ def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarra
     """
     draw = np.random.default_rng(seed)
     base, first = len(model.context), model.n_classes
-    context, target, scale, offset, member, member_offset = (x.astype(np.float32) for x in model.arrays())
-    inner = np.column_stack([member, member_offset])
-    del member, member_offset
-    sums = [np.full_like(x, 1e-2) for x in (target, scale, offset)]
-    context_sums, inner_sums = np.ones_like(context), np.ones_like(inner)
+    target, scale, offset = (x.astype(np.float32) for x in (model.target, model.scale, model.offset))
+    dim, sums = target.shape[1], [np.full_like(x, 1e-2) for x in (target, scale, offset)]
+    # a row lies beside its sums of squares, so that a step fetches and stores both at once
+    context, inner = np.ones((base, 2 * dim), np.float32), np.ones((len(model.member), 2 * dim + 2), np.float32)
+    context[:, :dim], inner[:, :dim], inner[:, dim] = model.context, model.member, model.member_offset
     met = np.zeros(model.rows()) if met is None else met
     met_context, met_inner, met_all = np.split(met, [base, base + len(inner)])
+    below = np.cumsum(noise)
+    below /= below[-1]
     log_kq = np.log(n_noise * noise).astype(np.float32)
     log_kg = np.log(MEMBER_NOISE / np.arange(1, GROUP + 1)).astype(np.float32)
     done, order = 0, draw.permutation(np.arange(len(triples), dtype=np.int32 if len(triples) < 1 << 31 else np.int64))
@@ -427,14 +501,15 @@ def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarra
         rows = triples[chosen]
         word, last, before = rows % base, rows // base % base, rows // base // base
         own = model.heads(word)
-        false = draw.choice(len(noise), n_noise, p=noise)
-        one, other, total = context[before], context[last], len(chosen)
+        false = below.searchsorted(draw.random(n_noise), side="right")
+        one, other = context.take(before, axis=0)[:, :dim], context.take(last, axis=0)[:, :dim]
+        total, meant = len(chosen), target.take(own, axis=0)
         hidden = one * scale[0] + other * scale[1]
-        true_error = _sigmoid((hidden * target[own]).sum(axis=1) + offset[own] - log_kq[own]) - 1
+        true_error = _sigmoid((hidden * meant).sum(axis=1) + offset[own] - log_kq[own]) - 1
         false_error = hidden @ target[false].T
         false_error += offset[false] - log_kq[false]
         _sigmoid(false_error)
-        back = true_error[:, None] * target[own] + false_error @ target[false]
+        back = true_error[:, None] * meant + false_error @ target[false]
         d_target = (_scattered(own, true_error[:, None] * hidden, len(target))
                     + _scattered(false, false_error.T @ hidden, len(target))) / total
         d_offset = (np.bincount(own, true_error, len(target))
@@ -446,27 +521,27 @@ def nce_pass(model: LogBilinear, triples: np.ndarray | Triples, noise: np.ndarra
             size = np.minimum(GROUP, len(inner) - start)
             drawn = start[:, None] + (draw.random((len(place), MEMBER_NOISE)) * size[:, None]).astype(np.int64)
             tried = np.column_stack([place, drawn])
-            vectors, near = inner[tried], hidden[at_inner]
-            error = _sigmoid(np.einsum("ijk,ik->ij", vectors[..., :-1], near) + vectors[..., -1]
+            vectors, near = inner.take(tried, axis=0), hidden[at_inner]
+            error = _sigmoid(np.einsum("ijk,ik->ij", vectors[..., :dim], near) + vectors[..., dim]
                              - log_kg[size - 1, None])
             error[:, 0] -= 1
-            back[at_inner] += np.einsum("ij,ijk->ik", error, vectors[..., :-1])
+            back[at_inner] += np.einsum("ij,ijk->ik", error, vectors[..., :dim])
             with_one = np.column_stack([near, np.ones(len(near), np.float32)])
-            touched, d = _summed(tried.ravel(), (error[..., None] * with_one[:, None, :]).reshape(-1, inner.shape[1]))
-            inner_sums[touched] += d * d
-            inner[touched] -= rate * d / np.sqrt(inner_sums[touched])
+            touched, d = _summed(tried.ravel(), (error[..., None] * with_one[:, None, :]).reshape(-1, dim + 1))
+            _step(inner, touched, d, rate)
             met_inner[touched] += 1
         d_scale = np.stack([(back * one).sum(axis=0), (back * other).sum(axis=0)]) / total
         touched, d = _summed(np.concatenate([before, last]), np.concatenate([back * scale[0], back * scale[1]]))
-        context_sums[touched] += d * d
-        context[touched] -= rate * d / np.sqrt(context_sums[touched])
+        _step(context, touched, d, rate)
         met_context[touched] += 1
         for x, squares, d in zip((target, scale, offset), sums, (d_target, d_scale, d_offset)):
             squares += d * d
             x -= (rate * d / np.sqrt(squares)).astype(np.float32)
         done += 1
     met_all += done
-    return LogBilinear(context, target, scale, offset, inner[:, :-1], inner[:, -1])
+    context = context[:, :dim].copy()
+    inner = inner[:, :dim + 1].copy()
+    return LogBilinear(context, target, scale, offset, inner[:, :dim], inner[:, dim])
 
 
 BLOCKS = "block int, moved binary, met binary"
@@ -578,16 +653,17 @@ def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, model: LogBilin
         total, rest = math.log10(known.base_total), math.log10(known.beyond_total)
         for batch in batches:
             for part in slices(batch):
-                tokens, bounds = token_hashes(texts_of(part))
-                at, found = known.places(tokens)
+                ids, hashes, bounds = token_words(texts_of(part))
+                at, found = known.places(hashes)
                 count = np.where(found, known.counts[at] if len(known.keys) else 0, 0)
-                triples = class_triples(tokens, bounds, known)
-                own = triples % (known.n_words + 1)
-                smooth = np.where(found, np.log10(count + 0.5), 0.0)  # of rare words it is added after the join
-                by_model = model.log_probability(triples) / math.log(10) + np.where(own == REST, smooth - rest, 0.0)
+                own = word_codes(hashes, known)[ids]
+                smooth = np.where(found, np.log10(count + 0.5), 0.0)[ids]  # of rare words it is added after the join
+                found = found[ids]
+                by_model = model.log_probability(code_triples(own, bounds, known.n_words)) / math.log(10)
+                by_model += np.where(own == REST, smooth - rest, 0.0)
                 n = len(bounds) - 1
                 text = np.repeat(np.arange(n), np.diff(bounds))[~found]
-                rare = tokens[~found].view(np.int64)
+                rare = hashes[ids[~found]].view(np.int64)
                 order = np.lexsort((rare, text))
                 rare, text = rare[order], text[order]
                 new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])])

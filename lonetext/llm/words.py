@@ -7,6 +7,7 @@ few megabytes, so a task's memory does not depend on its batch; a text longer th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,8 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def hashed(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of distinct words."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+    words = dictionary.to_numpy(zero_copy_only=False)  # several times as fast as a list of the words
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
