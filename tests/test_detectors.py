@@ -385,3 +385,23 @@ def test_row_wise_scores_apply_to_a_stream(spark, tmp_path):
     running.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert np.allclose(scores(got), scores(fitted.score(data)))
+
+
+def test_kde_of_rows_that_were_trained_on_and_others(spark):
+    """Training vectors give each other their sums; other rows, few rows and vectors that share a name are summed apart."""
+    rng = np.random.default_rng(8)
+    x, new = rng.normal(size=(90, 3)), rng.normal(size=(30, 3)) + 40
+    fitted = det.KDE(0.7, **SMALL).fit(table(spark, x))
+    rows = np.vstack([x, new])
+    d2 = ((rows[:, None] - x[None]) ** 2).sum(2) / (2 * 0.7 ** 2)
+    least = d2.min(1)
+    want = (np.log(90) + 3 * np.log(0.7 * np.sqrt(2 * np.pi)) + least - np.log(np.exp(least[:, None] - d2).sum(1)))
+    np.testing.assert_allclose(scores(fitted.score(table(spark, rows))), want, rtol=1e-9)
+    assert fitted.own is not None
+    few = det.KDE(0.7, **SMALL).fit(table(spark, x))
+    np.testing.assert_allclose(scores(few.score(table(spark, x[:20]))), want[:20], rtol=1e-9)
+    assert few.own is None
+    named = table(spark, x).withColumn("row_id", F.floor(F.col("row_id") / 2))
+    twice = det.KDE(0.7, **SMALL).fit(named)
+    twice.score(table(spark, x)).count()
+    assert twice.own is None

@@ -57,3 +57,65 @@ def test_blocks_of_equal_distances_and_missing_ids(spark):
     d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
     want = np.argsort(d, axis=1, kind="stable")[:, :4]
     assert got == {(q, p + 1): want[q, p] for q in range(len(x)) for p in range(4)}
+
+
+def brute_log_sums(x, weights, queries, bandwidth):
+    d2 = ((queries[:, None] - x[None]) ** 2).sum(2)
+    return np.log((weights * np.exp(-d2 / (2 * bandwidth * bandwidth))).sum(1))
+
+
+def test_locations_that_give_each_other_kernel_sums_meet_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sides = []
+    for n in (700, 900):
+        frame = pd.DataFrame({"id": np.arange(n), "none": False, "cell": np.sort(rng.integers(0, 9, n))})
+        sides.append(neighbours.Packed(neighbours._pack(frame, rng.normal(size=(n, 5)), rng.integers(1, 4, n))))
+    a, b = sides
+    pairs, logs = [], neighbours.Kernel.logs
+
+    def counted(self, x, among):
+        for cols, found in logs(self, x, among):
+            pairs.append(found.size)
+            yield cols, found
+
+    monkeypatch.setattr(neighbours.Kernel, "logs", counted)
+
+    def needed(p, cells):
+        return np.ones((len(neighbours._batches(len(p))), len(cells)), bool)
+
+    to_a, to_b = neighbours._meet(a, b, needed, 2.0, 1e-12)
+    assert sum(pairs) == len(a) * len(b)
+    np.testing.assert_allclose(np.log(to_a), brute_log_sums(b.x, b.number, a.x, 1.0), rtol=1e-12)
+    np.testing.assert_allclose(np.log(to_b), brute_log_sums(a.x, a.number, b.x, 1.0), rtol=1e-12)
+    pairs.clear()
+    own, none = neighbours._meet(b, None, needed, 2.0, 1e-12)
+    assert none is None and sum(pairs) <= len(b) * (len(b) + neighbours.BLOCK_ROWS) / 2
+    np.testing.assert_allclose(np.log(own), brute_log_sums(b.x, b.number, b.x, 1.0), rtol=1e-12)
+
+
+@pytest.mark.parametrize("spread,bandwidth", [(1.0, 1.0), (30.0, 0.5)])
+def test_own_kernel_sums_over_many_bands(spark, monkeypatch, spread, bandwidth):
+    """Copies count; cells that cannot matter, as with a wide spread, are left out."""
+    monkeypatch.setattr(neighbours, "ONE_BLOCK_ROWS", 10)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3)) + spread * rng.integers(0, 4, size=(600, 1))
+    rows = np.vstack([x, x[:150]])
+    index = Cells(vectors(spark, rows), cell_rows=20, piece_rows=16)
+    got = {r["loc"]: r.log_sum for r in index.own_log_kernel_sums(bandwidth).collect()}
+    weights = np.where(np.arange(600) < 150, 2, 1)
+    want = brute_log_sums(x, weights, x, bandwidth)
+    assert len(got) == 600
+    np.testing.assert_allclose([got[i] for i in range(600)], want, rtol=0, atol=1e-11)
+    queries = index.locations.select(F.col("loc").alias("qid"), "vec")
+    other = {r.qid: r.log_sum for r in index.log_kernel_sum(queries, bandwidth).collect()}
+    np.testing.assert_allclose([other[i] for i in range(600)], want, rtol=0, atol=1e-11)
+
+
+def test_pieces_of_work_are_dealt_out_evenly(spark):
+    costs = [1.0, 2.0, 3.0] * 20
+    keys = neighbours._dealt(spark, costs)
+    assert len(set(keys)) == len(costs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.createDataFrame(list(zip(keys, costs)), "key int, cost double")
+    loads = df.groupBy(F.pmod(F.hash("key"), parts)).agg(F.sum("cost").alias("cost")).collect()
+    assert len(loads) == parts and max(r.cost for r in loads) <= sum(costs) / parts + 3
