@@ -119,3 +119,27 @@ def test_pieces_of_work_are_dealt_out_evenly(spark):
     df = spark.createDataFrame(list(zip(keys, costs)), "key int, cost double")
     loads = df.groupBy(F.pmod(F.hash("key"), parts)).agg(F.sum("cost").alias("cost")).collect()
     assert len(loads) == parts and max(r.cost for r in loads) <= sum(costs) / parts + 3
+
+
+@pytest.mark.parametrize("kind", ["cloud", "tight clusters", "ties", "beyond single precision"])
+def test_the_best_are_found_by_bounds_and_few_exact_distances(monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    y, k = rng.normal(size=(6000, 8)), 7
+    if kind == "tight clusters":
+        y = y * 1e-6 + (np.arange(6000) % 2)[:, None]
+    elif kind == "ties":
+        y = np.round(y[:, :3])
+    elif kind == "beyond single precision":
+        y = y * 1e20
+    ids, looked = rng.permutation(len(y)), []
+    exact = neighbours.Search._exact
+    monkeypatch.setattr(neighbours.Search, "_exact", lambda self, x, r, c: looked.append(len(r)) or exact(self, x, r, c))
+    x = y[:64]
+    d = np.round(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), neighbours.TIE_DECIMALS)
+    want = np.array([np.lexsort((ids, row))[:k] for row in d])
+    for reach in (np.full(64, np.inf), np.sort(d[:, :500], axis=1)[:, k - 1] + 1e-3 * d.max()):
+        looked.clear()
+        r, c, got, place = neighbours.Search(y, ids, k).nearest(x, reach, np.arange(len(y)))
+        assert np.array_equal(c.reshape(64, k), want) and np.array_equal(place.reshape(64, k)[0], np.arange(k))
+        if kind == "cloud":
+            assert sum(looked) < 2 * k * len(x)  # pairs within reach, or let in before that was known: many times that
